@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, token_blocks, token_counts
+from quadrille.llm import bpe, quality_rules, secrets, simhash, token_blocks, token_counts
 from quadrille.llm.common import scratch, table
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -27,8 +31,16 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), scratch(spark, "ledger")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_token_counts, op5_token_blocks)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_simhash, op4_token_counts, op5_token_blocks, op7_quality_rules, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
