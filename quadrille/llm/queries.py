@@ -8,14 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, quality_rules, secrets, simhash, token_blocks, token_counts
-from quadrille.llm.common import scratch, table
+from quadrille.llm import bpe, decontaminate, html_extract, quality_classifier, quality_rules, secrets, simhash, token_blocks, token_counts
+from quadrille.llm.common import scratch, table, text_or_empty
+from quadrille.llm.sharding import ShardStore
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_classifier.score(documents, quality_classifier.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,16 +37,51 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The documents arrive in so many batches.
+ARRIVALS = 4
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends all documents in batches, compacts, and reads the committed version back."""
+    store = ShardStore(spark, scratch(spark, "shards"))
+    documents = table(spark, sf_dir, "documents")
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))
+    for batch in range(ARRIVALS):
+        store.append(documents.where(arrival == batch))
+    stored = store.read(store.compact_fully())
+    return stored.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), F.sha2(text_or_empty("text"), 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"), scratch(spark, "ledger")))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_simhash, op4_token_counts, op5_token_blocks, op7_quality_rules, op9_secret_scans)}
+    every = [
+        op1_byte_bpe,
+        op2_quality_classifier,
+        op3_simhash,
+        op4_token_counts,
+        op5_token_blocks,
+        op6_html_extract,
+        op7_quality_rules,
+        op8_sharding,
+        op9_secret_scans,
+        op10_decontaminate,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -164,3 +164,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return prints.join(materialize(placed, "placed"), "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of df that stand for their near-duplicate group: those whose key is the group's least.
+
+    Only keys are joined back; of rows that share the least key all stay, and rows with a null key always stay.
+    """
+    groups = near_duplicates(df.select(key, text), key, text, radius)
+    later = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later")).distinct()
+    return df.join(materialize(later, "later"), F.col(key) == F.col("_later"), "left_anti")
