@@ -32,7 +32,7 @@ def _unescaped(text: Column) -> Column:
         short = piece.rlike(r"^\\u[0-9A-Fa-f]{4}")
         n = F.when(short, 4).otherwise(8)
         code = F.lpad(F.substr(piece, F.lit(3), n), 8, "0")
-        character = F.decode(F.unhex(code), "UTF-32BE")
+        character = F.decode(F.unhex(code), "UTF-32")
         return F.when(short | piece.rlike(r"^\\U[0-9A-Fa-f]{8}"), F.concat(character, F.substr(piece, n + 3))).otherwise(piece)
 
     return F.when(text.rlike(r"\\[uU]"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
