@@ -84,5 +84,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+def _spans_sql(rank: int, rule: secrets.Rule) -> str:
+    """DuckDB: (doc, kind, start, end) of a rule, from the lengths of what stands between and in its matches."""
+    pattern = rule.pattern.replace("'", "''")
+    sums = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+    matches = f"""select doc, string_split_regex(body, '{pattern}') as gaps, regexp_extract_all(body, '{pattern}', 0) as found, regexp_extract_all(body, '{pattern}', {rule.group}) as part
+        from d where regexp_matches(body, '{pattern}')"""
+    return f"""select doc, {rank} as rank, '{rule.kind}' as kind, {sums.format("gaps[1:i]")} + {sums.format("found[1:i-1]")} as s, {sums.format("gaps[1:i]")} + {sums.format("found[1:i]")} as e
+        from (select *, unnest(range(1, len(found) + 1)) as i from ({matches})) where length(part[i]) >= {rule.least}"""
+
+
+def _secrets_sql() -> str:
+    base = ", ".join(f"'{r.kind}'" for r in secrets.RULES if r.base)
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.RULES if r.base)
+    listed = "coalesce(string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, rank){0}, '')"
+    return f"""with d as (select row_number() over () as doc, doc_id, coalesce(text, '') as body from documents),
+        spans as ({" union all ".join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))})
+        select any_value(doc_id) as doc_id, {counts}, sha256({listed.format(f" filter (kind in ({base}))")}) as base_sha256, {listed.format("")} as spans
+        from d left join spans using (doc) group by doc"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; tests hold the others against brute force."""
+    return {
+        "op8_sharding": "select doc_id, strlen(coalesce(text, '')) as n_bytes, sha256(coalesce(text, '')) as text_sha256, lang, source, n_chars from documents",
+        "op9_secret_scans": _secrets_sql(),
+    }
