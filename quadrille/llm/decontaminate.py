@@ -124,19 +124,25 @@ class Part:
         return best
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, item id, first_word, end_word, n_matched): a row for every document and item with a verified overlap."""
-    spark = df.sparkSession
+def _parts(benchmark: DataFrame, item: str) -> tuple[DataFrame, Iterator[Part]]:
+    """The items, and the benchmark side in parts of bounded size."""
     items = materialize(benchmark.select(F.col(item), text_or_empty("text").alias("text")), "benchmark")
     n_words = items.agg(F.sum(F.size(F.split("text", r"[\W_]+", -1)))).first()[0] or 0
-    parts = max(1, -(-n_words // PART_WORDS))
+    n = max(1, -(-n_words // PART_WORDS))
+    own = lambda p: items.where(F.pmod(F.xxhash64(item, "text"), F.lit(n)) == p)
+    return items, (Part([tuple(r) for r in own(p).collect()]) for p in range(n))
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """(key, item id, first_word, end_word, n_matched): a row for every document and item with a verified overlap."""
+    items, parts = _parts(benchmark, item)
+    item_type = to_arrow_type(items.schema[item].dataType)
     source = df.select(F.col(key), text_or_empty(text).alias("_text"))
     names = [key, item, "first_word", "end_word", "n_matched"]
     schema = T.StructType([source.schema[key], items.schema[item], *[T.StructField(c, T.LongType()) for c in names[2:]]])
-    item_type = to_arrow_type(items.schema[item].dataType)
 
-    def find(part: Part):
-        shared = spark.sparkContext.broadcast(part)
+    def find(part: Part) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = shared.value
@@ -151,14 +157,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
         return source.mapInArrow(run, schema)
 
-    found = []
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64(item, "text"), F.lit(parts)) == p) if parts > 1 else items
-        found.append(find(Part([tuple(r) for r in own.collect()])))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, map(find, parts))
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """The rows of df without a verified overlap, with all their columns: a filter in place, so no text is shuffled."""
+    at = df.columns.index(text)
+
+    def keep(df: DataFrame, part: Part) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = shared.value
+            for batch in batches:
+                yield batch.filter(pa.array([not part.overlaps(word_hashes(value.as_py() or "")) for value in batch.column(at)], pa.bool_()))
 
+        return df.mapInArrow(run, df.schema)
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose key has no verified overlap with the benchmark."""
-    hits = materialize(contaminated(df, benchmark, key, text).select(F.col(key).alias("_hit")).distinct(), "hits")
-    return df.join(hits, F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    return reduce(keep, _parts(benchmark, item)[1], df)
