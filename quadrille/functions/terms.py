@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadrille.terms import NUMERIC, RDF, XSD
+from quadrille.terms import NUMERIC, XSD
 
 _NUMERIC = [XSD[n][1:-1] for n in NUMERIC]
 _STRING = XSD.string[1:-1]

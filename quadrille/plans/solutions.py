@@ -71,26 +71,32 @@ class Solutions:
         if self._clash(other):
             new = [c for c in other.df.columns if c not in shared]
             return self._with(self.df.select("*", *[F.lit(None).cast(other.df.schema[c].dataType).alias(c) for c in new]), maybe=self.maybe | set(new))
-        right = other.df.select(*[F.col(c).alias(f"__r_{c}") if c in shared else F.col(c) for c in other.df.columns])
-        conditions = [self._matches(other, v) for v in shared] + list(filters)
-        condition = reduce(lambda a, b: a & b, conditions, F.lit(True))
-        joined = self.df.join(right, condition, "left")
-        columns = [F.coalesce(c, f"__r_{c}").alias(c) if c in shared and c in self.maybe else F.col(c) for c in self.df.columns]
         new = [c for c in other.df.columns if c not in shared]
-        return Solutions(joined.select(*columns, *new), self.iris | other.iris, self.maybe | set(new))
-
-    def _matches(self, other: Solutions, variable: str) -> Column:
-        own, theirs = F.col(variable), F.col(f"__r_{variable}")
-        equal = own == theirs
-        if variable in self.maybe:
-            equal |= own.isNull()
-        return equal | theirs.isNull() if variable in other.maybe else equal
+        iris, maybe = self.iris | other.iris, self.maybe | set(new)
+        if any(v in self.maybe or v in other.maybe for v in shared):
+            return Solutions(self._optional_maybe(other, filters, new), iris, maybe)
+        right = other.df.select(*[F.col(c).alias(f"__r_{c}") if c in shared else F.col(c) for c in other.df.columns])
+        condition = reduce(lambda a, b: a & b, [*[F.col(v) == F.col(f"__r_{v}") for v in shared], *filters], F.lit(True))
+        return Solutions(self.df.join(right, condition, "left").select(*self.df.columns, *new), iris, maybe)
+
+    def _optional_maybe(self, other: Solutions, filters: Sequence[Column], new: list[str]) -> DataFrame:
+        """A left join on variables that may be unbound: what joins, and the rows of the left side that nothing joins
+        (equal rows share their fate, so the anti-join can compare whole rows)."""
+        kept = {c: f"__l_{c}" for c in self.df.columns}
+        left = self._with(self.df.select("*", *[F.col(c).alias(k) for c, k in kept.items()]))
+        matched = left.join(other).df
+        matched = matched.where(reduce(lambda a, b: a & b, filters)) if filters else matched
+        hit = matched.select(*kept.values()).distinct()
+        missed = self.df.join(hit, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in kept.items()]), "left_anti")
+        return matched.select(*self.df.columns, *new).unionByName(missed, allowMissingColumns=True)
 
     def without(self, other: Solutions) -> Solutions:
         """OPTIONAL { other } FILTER(!bound(x)) as the anti-join that it means."""
         shared = self._shared(other)
-        if self._clash(other) or not shared:
+        if self._clash(other):
             return self
+        if not shared:  # every row has a partner as soon as other has a row
+            return self._with(self.df.join(other.df.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_anti"))
         return self._with(self.df.join(other.df.select(*shared), shared, "left_anti"))
 
     def union(self, *others: Solutions) -> Solutions:

@@ -119,6 +119,18 @@ def test_join_on_a_variable_that_may_be_unbound(spark):
     assert found == sorted([(1, "a", 10), (1, "a", 30), (2, "a", 10), (2, "b", 20), (2, None, 30)], key=str)
 
 
+def test_optional_on_a_variable_that_may_be_unbound(spark):
+    left = Solutions(spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (3, "z")], "k int, x string"), maybe=frozenset("x"))
+    right = Solutions(spark.createDataFrame([("a", 10), ("b", 20)], "x string, y int"))
+    found = left.optional(right)
+    want = [(1, "a", 10), (2, "a", 10), (2, "b", 20), (3, "z", None), (3, "z", None)]
+    assert sorted(map(tuple, found.df.select("k", "x", "y").collect()), key=str) == sorted(want, key=str)
+    filtered = left.optional(right, F.col("y") > 10).df.select("k", "x", "y").collect()
+    none = Solutions(spark.createDataFrame([], "q int"))
+    assert left.without(none).df.count() == 4 and left.without(Solutions(spark.range(2).toDF("q"))).df.count() == 0
+    assert sorted(map(tuple, filtered), key=str) == sorted([(1, "a", None), (2, "b", 20), (3, "z", None), (3, "z", None)], key=str)
+
+
 def test_construct_and_describe(spark, golden):
     made = golden.pattern("?s", EX.name, "?n").construct(("?s", EX.called, "?n"), ("_:b", EX.of, "?s"), ("?n", EX.bad, "?s"))
     assert made.where(F.col("p") == EX.called).count() == 4 and made.where(F.col("p") == EX.of).select("s").distinct().count() == 4
