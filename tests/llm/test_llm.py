@@ -122,10 +122,17 @@ def test_token_files(spark, monkeypatch):
 
 def test_long_texts_are_cut_at_safe_places(monkeypatch):
     text = "some words,  and\n more 12 words. " * 200
-    whole = token_blocks.encode(text, token_blocks._encoder(JSON, P.PATTERN)).tolist()
+    whole = token_blocks.encode(text, token_blocks._encoder(JSON, P.PATTERN), P.PATTERN).tolist()
     monkeypatch.setattr(token_blocks, "STRETCH", 50)
     assert len(list(token_blocks.stretches(text))) > 50
-    assert token_blocks.encode(text, token_blocks._encoder(JSON, P.PATTERN)).tolist() == whole == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert token_blocks.encode(text, token_blocks._encoder(JSON, P.PATTERN), P.PATTERN).tolist() == whole == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space(monkeypatch):
+    encoding = token_blocks._encoder(JSON, P.PATTERN)
+    assert len(token_blocks.encode(" " * 1_500_000 + "x<|endoftext|>", encoding, P.PATTERN)) > 2
+    text = "a b<|endoftext|>c  d\n" + " " * 300
+    assert token_blocks._by_tree(text, JSON, P.PATTERN) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def brute_fingerprint(text):
