@@ -66,9 +66,9 @@ def bgp_path_4(spark, sf):
     return path.select("o", "customer", "nation", "quantity").rendered().df
 
 
-@query("select l_quantity as quantity, l_extendedprice as price, l_discount as discount, l_shipdate as shipped from lineitem")
+@query("select l_quantity as quantity, l_extendedprice as price, l_discount as discount, l_returnflag as flag from lineitem")
 def bgp_star_lineitem(spark, sf):
-    return TableGraph(spark, sf).star("lineitem", l_quantity="quantity", l_extendedprice="price", l_discount="discount", l_shipdate="shipped").df
+    return TableGraph(spark, sf).star("lineitem", l_quantity="quantity", l_extendedprice="price", l_discount="discount", l_returnflag="flag").df
 
 
 @query("select r_name, n_name from region cross join nation")
