@@ -37,7 +37,7 @@ LANE_BYTES = 128
 #: Array cells of one tree that a block of lanes may hold.
 LANE_CELLS = 1 << 20
 #: Pieces that a worker keeps; when full, the cache starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Pieces that a single text contributes at a time.
 RUN_PIECES = 400_000
 
@@ -189,25 +189,30 @@ def encode_long(piece: bytes, merges: Merges, rank_of: dict[tuple[int, int], int
     return np.array([i for i in ids if i >= 0], np.int32)
 
 
-def encode_pieces(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
-    """Ids of every piece, by the lanes that fit it."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+def encode_pieces(pieces: list[bytes], merges: Merges) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Blocks of the pieces, by the lanes that fit them: which pieces, their ids one after another, how many each has."""
     by_size: dict[int, list[int]] = {}
     for i, piece in enumerate(pieces):
-        if piece:
-            by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
-    long_rank: dict[tuple[int, int], int] = {}
+        by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()) if piece else 4, []).append(i)
     for size, members in by_size.items():
         if size > LANE_BYTES:
-            long_rank = long_rank or merges.rank_of()
+            rank_of = merges.rank_of()
             for i in members:
-                out[i] = encode_long(pieces[i], merges, long_rank)
+                ids = encode_long(pieces[i], merges, rank_of)
+                yield [i], ids, np.array([len(ids)])
             continue
         for lo in range(0, len(members), lanes := max(1, LANE_CELLS // size)):
             block = members[lo : lo + lanes]
-            ids, counts = encode_lanes([pieces[i] for i in block], size, merges)
-            for i, part in zip(block, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                out[i] = part
+            yield block, *encode_lanes([pieces[i] for i in block], size, merges)
+
+
+def packed_ids(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """Every piece's ids as little-endian 32-bit integers."""
+    out = [b""] * len(pieces)
+    for block, ids, counts in encode_pieces(pieces, merges):
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        for i, a, b in zip(block, [0, *ends[:-1]], ends, strict=True):
+            out[i] = data[a:b]
     return out
 
 
@@ -262,8 +267,8 @@ def _encoder(path: str, pattern: str) -> tuple[regex.Pattern, PieceCache]:
 
     def encode(pieces: list[bytes]) -> list[bytes]:
         whole = [ranks.get(p) for p in pieces]  # a piece that is a token is that token
-        rest = iter(encode_pieces([p for p, w in zip(pieces, whole, strict=True) if w is None], merges))
-        return [next(rest).astype("<u4").tobytes() if w is None else w.to_bytes(4, "little") for w in whole]
+        rest = iter(packed_ids([p for p, w in zip(pieces, whole, strict=True) if w is None], merges))
+        return [next(rest) if w is None else w.to_bytes(4, "little") for w in whole]
 
     return regex.compile(pattern), PieceCache(encode)
 

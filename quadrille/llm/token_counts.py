@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.bpe import Merges, PieceCache, encode_pieces, piece_runs
+from quadrille.llm.bpe import Merges, PieceCache, encode_pieces, packed_ids, piece_runs
 from quadrille.llm.common import chunks, text_or_empty
 
 
@@ -62,8 +62,8 @@ def whole_tokens(path: str) -> frozenset[str]:
     merges, spelled, _ = load(path)
     tokens = list(spelled)
     proven = set()
-    for token, ids in zip(tokens, encode_pieces(tokens, merges), strict=True):
-        if len(ids) == 1 and ids[0] == spelled[token]:
+    for token, ids in zip(tokens, packed_ids(tokens, merges), strict=True):
+        if ids == spelled[token].to_bytes(4, "little"):
             try:
                 proven.add(token.decode())
             except UnicodeDecodeError:
@@ -74,7 +74,14 @@ def whole_tokens(path: str) -> frozenset[str]:
 @lru_cache(maxsize=4)
 def _counter(path: str, pattern: str) -> tuple[regex.Pattern, regex.Pattern | None, PieceCache]:
     merges, _, special = load(path)
-    cache = PieceCache(lambda pieces: map(len, encode_pieces(pieces, merges)), fixed=dict.fromkeys(whole_tokens(path), 1))
+
+    def lengths(pieces: list[bytes]) -> list[int]:
+        out = np.zeros(len(pieces), np.int64)
+        for block, _, counts in encode_pieces(pieces, merges):
+            out[block] = counts
+        return out.tolist()
+
+    cache = PieceCache(lengths, fixed=dict.fromkeys(whole_tokens(path), 1))
     return regex.compile(pattern), regex.compile("|".join(map(regex.escape, special))) if special else None, cache
 
 
