@@ -4,8 +4,9 @@ A text that resembles the good texts gets shorter with their dictionary. The dif
 divided by its own size, is calibrated to a probability by a logistic curve that is fitted on labelled rows which neither
 dictionary has seen.
 
-Learning uses labelled rows with crc32(key as text) mod 3 other than 1, and of these a bounded sample: the SAMPLE rows of
-each class that come first by a hash of their key, among texts of at most LONGEST characters (whole texts, never parts).
+Learning uses labelled rows with crc32(key as text) mod 3 other than 1, and of these a bounded sample: the SAMPLE keys of
+each class that come first by their hash, without texts of more than LONGEST characters (whole texts, never parts). The
+keys are chosen from the labels alone; at most 2 * SAMPLE of them are sent to the scan of the texts.
 Scoring compresses every whole text. Labels, language, source and key are never inputs of a score.
 
 Defined cases: null and empty texts have difference 0 and so the curve's score at 0; without labelled rows of both
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 
 from quadrille.llm.common import text_or_empty
 
+#: Labelled keys of each class, and characters of a text, that learning takes at most.
 SAMPLE, LONGEST = 2500, 1 << 15
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 FOLDS, HELD_OUT = 3, 1
@@ -93,9 +95,11 @@ def _dictionary(texts: list[str]) -> bytes:
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    marks = marks.where(fold("_id") != HELD_OUT).withColumn("order", F.xxhash64("_id", F.lit("sample")))
+    first = [marks.where(F.col("good") == good).orderBy("order", "_id").limit(SAMPLE) for good in (True, False)]
     source = df.select(F.col(key).alias("_id"), text_or_empty(text).alias("text")).where(F.length("text").between(1, LONGEST))
-    rows = source.join(marks.where(fold("_id") != HELD_OUT), "_id").withColumn("order", F.xxhash64("_id", F.lit("sample")))
-    sample = [r for good in (True, False) for r in rows.where(F.col("good") == good).orderBy("order", "_id", "text").limit(SAMPLE).collect()]
+    rows = source.join(F.broadcast(first[0].union(first[1])), "_id")  # at most 2 * SAMPLE keys
+    sample = sorted(rows.dropDuplicates(["_id"]).collect(), key=lambda r: (r["order"], r["_id"]))
     learn, check = ([r for r in sample if (r["order"] & 1) == side] for side in (0, 1))
     counts = [sum(r["good"] == g for r in part) for part in (learn, check) for g in (True, False)]
     total = sum(r["good"] for r in sample)
