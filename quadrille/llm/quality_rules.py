@@ -83,8 +83,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     echoes = F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, F.greatest(i - 1, F.lit(0))))))
-    df = df.select(
-        *kept,
+    made_here = [
         F.size(w).cast("long").alias("n_words"),
         F.length(_without(F.col("_text"), WHITE_SPACE)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -92,7 +91,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         _repeated(w, F.col("_hashes")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         echoes.cast("long").alias("n_echoes"),
-    )
+    ]
+    # A generator of one row: filters on the measures stay above it and do not repeat the work inside them.
+    df = df.select(*kept, F.inline(F.array(F.struct(*made_here))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
