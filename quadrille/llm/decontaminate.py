@@ -1,17 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters and digits, in lower case. A seed is a window of 12 words of which a fixed mask ignores some:
-three masks ignore every third word, each from another start. Any 12-word window in which one word was replaced (or
-several words whose positions are equal mod 3) therefore still hashes equal under some mask. The benchmark's masked
-hashes are joined with those of every window of every document; each hit fixes an item and an alignment, and the words of
-both are compared along it: the best stretch, with a match worth 1 and a substitution -4 (so 80 % at least match), must
-hold MIN_OVERLAP words, or nine tenths of a shorter item.
+Words are runs of letters and digits, in lower case. Item and document overlap if, along one alignment, one of these holds:
+
+* MIN_SHARE of the words in some window of MIN_OVERLAP words of the item are equal, ends included, or of the whole item if
+  it is shorter; words beyond the document's ends count as replaced;
+* the best stretch, with a match worth 1 and a substitution -4, holds MIN_OVERLAP words or nine tenths of a shorter item.
+
+The seeds find every such alignment. If k of n words may be replaced, the n - k equal words form at most k + 1 runs, so one
+run has at least (n - k) / (k + 1) words: 4 at 20 words, 3 or 4 at 10 to 19. (A best stretch begins with a run of 4, or has
+no substitution.) Every run of that many words of an item is a seed. Items under 10 words may have one word replaced; their
+seeds are the whole item under three masks that ignore every third word, each from another start. The benchmark's hashes
+are joined with those of every window of every document. Each hit fixes an item and an alignment; the words near all hits
+of a document are compared at once, and what can pass is compared along the whole alignment.
 
 The benchmark side is sent to all executors in parts of at most about PART_WORDS words (its size is counted first); a
 larger benchmark takes one pass over the documents for each part, so nothing grows beyond that bound.
 
-Defined cases: items of 5 to 11 words are matched as whole word sequences; shorter items and null texts are never
-matched; a null document has no words; a row per matching (key, item), with repeated rows repeated; empty tables give
+Defined cases: items under SHORTEST words and null texts are never matched; documents that are shorter than what an item
+asks for are not either; a null document has no words; a row per matching (key, item), with repeated rows repeated; empty tables give
 an empty table; extra columns are not read.
 """
 
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +39,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrille.llm.common import materialize, text_or_empty
 
-SPAN, SHORTEST, MIN_OVERLAP = 12, 5, 20
+SPAN, SHORTEST, MIN_OVERLAP, MIN_SHARE = 12, 5, 20, Fraction(4, 5)
+#: Items under WHOLE words have seeds as long as they are, others runs of at most RUN words.
+WHOLE, RUN = 10, 4
+#: Hits that are compared at once.
+HITS = 1 << 15
 PART_WORDS = 500_000
 KEPT_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 #: Odd multipliers by position: powers of the 64-bit golden ratio.
+_NEAR = np.arange(RUN - MIN_OVERLAP, MIN_OVERLAP)
+#: Beyond the document's ends: a word that no item has (items have 0 there).
+_NO_WORD = np.full(2 * MIN_OVERLAP, np.iinfo(np.uint64).max, np.uint64)
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SPAN)], np.uint64)
 
 
@@ -57,10 +72,20 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
+def needed(n_words: int) -> int:
+    """How many words must be equal in the best window of an item of so many words."""
+    return ceil(MIN_SHARE * min(n_words, MIN_OVERLAP))
+
+
+def run_length(n_words: int) -> int:
+    """The run of equal words that every accepted overlap of such an item has."""
+    equal = needed(n_words)
+    return min(RUN, ceil(Fraction(equal, min(n_words, MIN_OVERLAP) - equal + 1)))
+
+
 def seeds(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(window, positions that count): the three masks, then whole windows of the short items' lengths."""
-    masks = [(SPAN, tuple(i for i in range(SPAN) if i % 3 != start)) for start in range(3)]
-    return masks + [(n, tuple(range(n))) for n in short]
+    """(window, positions that count): three masks that between them ignore each word, for every length, SPAN by default."""
+    return [(n, tuple(i for i in range(n) if i % 3 != start)) for n in short or [SPAN] for start in range(3)]
 
 
 def masked(words: np.ndarray, seed: tuple[int, tuple[int, ...]], salt: int) -> np.ndarray:
@@ -83,28 +108,52 @@ class Part:
     def __init__(self, items: list[tuple[int, str]]):
         held = [(i, w) for i, t in items if len(w := word_hashes(t or "")) >= SHORTEST]
         self.ids, self.words = [i for i, _ in held], [w for _, w in held]
-        self.short = sorted({len(w) for w in self.words if len(w) < SPAN})
+        whole = sorted({len(w) for w in self.words if len(w) < WHOLE})
+        runs = sorted({run_length(len(w)) for w in self.words if len(w) >= WHOLE})
+        self.seeds = [(n, tuple(range(n))) for n in runs] + (seeds(whole) if whole else [])
         rows = []
-        for s, seed in enumerate(seeds(self.short)):
+        for s, seed in enumerate(self.seeds):
             for i, w in enumerate(self.words):
-                if (len(w) >= SPAN) if s < 3 else len(w) == seed[0]:
+                if (run_length(len(w)) if len(w) >= WHOLE else len(w)) == seed[0] and (len(w) >= WHOLE) == (s < len(runs)):
                     h = masked(w, seed, s)
-                    rows.append((h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)))
-        columns = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)]
+                    rows.append((h, np.full(len(h), i, np.int64), np.arange(len(h), dtype=np.int64)))
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
         order = np.argsort(columns[0], kind="stable")
         self.hashes, self.item, self.offset = (c[order] for c in columns)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # All items one after another, with room on both sides for the words near a hit.
+        room = np.zeros(2 * MIN_OVERLAP, np.uint64)
+        self.text = np.concatenate([room, *[x for w in self.words for x in (w, room)]])
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(np.concatenate([[0], lengths[:-1] + len(room)])) + len(room) if len(lengths) else lengths
+        #: The fewest equal words with which either rule can pass.
+        self.least = np.array([min(needed(n), ceil(MIN_SHARE * min(MIN_OVERLAP, -(-9 * n // 10)))) for n in map(len, self.words)], np.int64)
 
     def alignments(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position of its first word) of all hits."""
+        """(item, document position of its first word) of all hits near which enough words are equal."""
         out: set[tuple[int, int]] = set()
-        for s, seed in enumerate(seeds(self.short)):
-            h = masked(words, seed, s)
+        # One word of room is enough for a seed that goes beyond the document: one replaced word is the most it may have.
+        edge = np.concatenate([_NO_WORD[:1], words, _NO_WORD[:1]])
+        inside = np.concatenate([_NO_WORD, words, _NO_WORD])
+        for s, seed in enumerate(self.seeds):
+            h = masked(edge, seed, s)
             at = np.flatnonzero(self.bitmap[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if not len(at):
+                continue
             lo, hi = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                out.update((int(i), p - int(o)) for i, o in zip(self.item[a:b], self.offset[a:b], strict=True))
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                k = np.arange(first, min(first + HITS, int(ends[-1])))
+                hit = np.searchsorted(ends, k, "right")
+                row = lo[hit] + k - (ends - n)[hit]
+                item, offset, place = self.item[row], self.offset[row], at[hit] - 1
+                near = self.text[(self.start[item] + offset)[:, None] + _NEAR] == inside[(place + len(_NO_WORD))[:, None] + _NEAR]
+                total = np.cumsum(near, axis=1, dtype=np.int64)
+                total[:, MIN_OVERLAP:] -= total[:, :-MIN_OVERLAP].copy()
+                ok = total.max(axis=1) >= self.least[item]
+                out.update(zip(item[ok].tolist(), (place - offset)[ok].tolist(), strict=True))
         return out
 
     def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int, int]]:
@@ -118,9 +167,16 @@ class Part:
             rise = total - np.minimum.accumulate(total)
             end = int(rise.argmax())
             first = int(total[: end + 1].argmin())
-            if end - first >= min(MIN_OVERLAP, -(-9 * len(own) // 10)):
-                found = (first + lo + shift, end + lo + shift, int(equal[first:end].sum()))
-                best[i] = max(best.get(i, (0, 0, 0)), found, key=lambda x: (x[2], -x[0]))
+            if end - first < min(MIN_OVERLAP, -(-9 * len(own) // 10)):
+                count = np.concatenate([[0], np.cumsum(equal)])
+                count = count[min(MIN_OVERLAP, len(equal)) :] - count[: len(count) - min(MIN_OVERLAP, len(equal))]
+                if count.max() < needed(len(own)):
+                    continue
+                window = int(count.argmax())
+                at = window + np.flatnonzero(equal[window : window + MIN_OVERLAP])
+                first, end = int(at[0]), int(at[-1]) + 1
+            found = (first + lo + shift, end + lo + shift, int(equal[first:end].sum()))
+            best[i] = max(best.get(i, (0, 0, 0)), found, key=lambda x: (x[2], -x[0]))
         return best
 
 
