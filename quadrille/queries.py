@@ -451,14 +451,32 @@ def graph_intersect(spark, sf):
 
 @query("select count(*) * 5 as n from customer where c_custkey < 100")
 def turtle_roundtrip(spark, sf):
-    g = _some_customers(spark, sf)
+    return _turtle_returned(_some_customers(spark, sf))
+
+
+@query("select count(*) * 5 as n from customer")
+def turtle_roundtrip_all(spark, sf):
+    """The whole table: each customer is a document of its own."""
+    return _turtle_returned(TableGraph(spark, sf).materialize("customer"))
+
+
+def _turtle_returned(g: Graph):
     text = turtle.blocks(g, {"": BASE}).select(F.col("s").alias("doc"), F.concat(F.lit(turtle.header({"": BASE})), "value").alias("text"))
     return (Graph.from_triples(turtle.parse(text).select("s", "p", "o")) & g).df.agg(F.count("*").alias("n"))
 
 
 @query("select count(*) * 5 as n from customer where c_custkey < 100")
 def rdfxml_roundtrip(spark, sf):
-    g = _some_customers(spark, sf)
+    return _rdfxml_returned(_some_customers(spark, sf))
+
+
+@query("select count(*) * 5 as n from customer")
+def rdfxml_roundtrip_all(spark, sf):
+    """The whole table: each customer is a document of its own."""
+    return _rdfxml_returned(TableGraph(spark, sf).materialize("customer"))
+
+
+def _rdfxml_returned(g: Graph):
     text = rdfxml.blocks(g).select(F.col("s").alias("doc"), F.concat(F.lit(rdfxml.HEADER), "value", F.lit(rdfxml.FOOTER)).alias("text"))
     return (Graph.from_triples(rdfxml.parse(text).select("s", "p", "o")) & g).df.agg(F.count("*").alias("n"))
 
@@ -596,3 +614,9 @@ def udf_call(spark, sf):
 def cast_call(spark, sf):
     s = TableGraph(spark, sf).star("orders", "o").filter(C("o") < 50)
     return s.df.select("o", registry.call(XSD.string, C("o")).alias("text"))
+
+
+@query("select o_orderkey as o, cast(o_orderkey as varchar) as text from orders")
+def cast_call_all(spark, sf):
+    s = TableGraph(spark, sf).star("orders", "o")
+    return s.df.select("o", registry.call(XSD.string, C("o")).alias("text"))
