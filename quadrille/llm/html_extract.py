@@ -8,12 +8,17 @@ that tree
   has entropy log n / log m, so boilerplate comes near 0 and text of one page near 1;
 * presentation importance is the entropy of its child sequences, base m: a fixed menu 0, a varying article near 1.
 
+Copies of a page within a host count as one page, so that they do not make its text look like boilerplate.
+
 A leaf's importance is GAMMA times its content's and 1 - GAMMA times its parent's presentation, mixed with a prior that
-counts as PRIOR_PAGES pages: little for what stands outside the article of a page that has one, much elsewhere. Branches
-that are named for boilerplate (navigation, header, footer, aside, form, advert, notice, comments ...) have NAMED_SHARE of
-their importance, which on a host of few pages is all that tells them apart. An article's own branches keep full
-importance, since copies of an article within a host are not boilerplate. Branches below LIMIT are removed, and the
-remaining blocks are joined in page order.
+counts as some pages: little for what stands outside the article of a page that has one, much for the article itself and
+for pages without one. A branch named for boilerplate (navigation, header, footer, aside, form, advert, notice, comments
+...) has a low prior that counts as NAMED_PAGES: it decides on hosts of few pages, and entropy on others. Only where name and
+position agree, outside the article of a page that has one, the name has the last word (NAMED_SHARE), since adverts and
+comments vary as articles do. Names of html, body, article and main are no such names, nor is a header in an article; an
+article in a named branch is an article, unless its own name agrees. Where branches with such words hold most of a page
+without article, the words tell nothing there. Branches below LIMIT are removed, and the remaining blocks are joined in
+page order.
 
 The low branches come back to the pages as one list for each host, as long as its templates have such branches; Spark
 broadcasts the lists while they are small and otherwise joins by host.
@@ -39,7 +44,7 @@ from pyspark.sql import types as T
 from quadrille.llm.common import materialize, text_or_empty
 
 GAMMA, LIMIT, PRIOR_PAGES = 0.9, 0.5, 10
-OUTSIDE_PRIOR, PLAIN_PRIOR, NAMED_SHARE = 0.1, 1.0, 0.45
+OUTSIDE_PRIOR, PLAIN_PRIOR, NAMED_PRIOR, NAMED_PAGES, NAMED_SHARE = 0.1, 1.0, 0.1, 40, 0.45
 
 #: Fixed values of HTML: elements that begin a new block, and those whose content is no text.
 BLOCKS = frozenset(
@@ -64,26 +69,33 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _PARTS = re.compile(r"[^\W_]+")
 
 
-def _style(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's part of the style path, and whether it is named for boilerplate."""
+#: How a branch is named for boilerplate: not at all, by a word, by its tag.
+UNNAMED, BY_WORD, BY_TAG = range(3)
+
+
+def _style(tag: str, attributes: str, main: bool) -> tuple[str, int]:
+    """An element's part of the style path, and how it is named for boilerplate; main is whether it is inside an article."""
     names = " ".join(sorted({n for m in _NAMES.findall(attributes) for n in "".join(m).lower().split()})) if attributes else ""
-    noise = tag in NOISE_TAGS or not NOISE_WORDS.isdisjoint(_PARTS.findall(names))
-    return re.sub(r"\d+", "0", f"{tag}.{names}" if names else tag), noise
+    title = tag == "header" and main
+    words = NOISE_WORDS.intersection(_PARTS.findall(names)) - ({"header"} if title else set())
+    named = BY_TAG if tag in NOISE_TAGS and not title else BY_WORD if words and tag not in ("html", "body") else UNNAMED
+    return re.sub(r"\d+", "0", f"{tag}.{names}" if names else tag), named
 
 
 def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
     """Blocks (style path, text) in page order, and the child sequence of each path. A path begins with its standing:
-    "n" named for boilerplate, "m" inside an article, "o" outside it on a page that has one, "p" on any other page."""
-    found: list[tuple[str, str, str]] = []
+    "x" named for boilerplate outside the article of a page that has one, "n" named elsewhere, "m" inside an article,
+    "o" outside it on a page that has one, "p" on any other page."""
+    found: list[tuple[int, bool, str, str]] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, inside an article
+    stack: list[tuple[str, str, int, bool]] = [("", "", UNNAMED, False)]  # tag, path, how it is named, inside an article
     text: list[str] = []
     lo, has_main = 0, False
 
     def flush() -> None:
         if text and (words := unescape("".join(text)).split()):
             _, path, noise, main = stack[-1]
-            found.append(("n" if noise else "m" if main else "o", path, " ".join(words)))
+            found.append((noise, main, path, " ".join(words)))
         text.clear()
 
     while token := _TOKEN.search(html, lo):
@@ -109,14 +121,23 @@ def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
             while stack[-1][0] == "p" or stack[-1][0] in ENDS.get(tag, ()):
                 stack.pop()
             _, path, noise, main = stack[-1]
-            style, named = _style(tag, attributes)
+            style, named = _style(tag, attributes, main)
             children.setdefault(path, []).append(style)
-            has_main |= tag in MAIN and not (noise or named)
-            stack.append((tag, f"{path}/{style}", noise or named, main or tag in MAIN))
+            if tag in MAIN:
+                # A name of its own or above it does not tell, both do; inside an article, a named branch stays named.
+                noise = noise if main or named else UNNAMED
+                has_main |= not noise
+            else:
+                noise = max(noise, named)
+            stack.append((tag, f"{path}/{style}", noise, main or tag in MAIN and not noise))
     text.append(html[lo:])
     flush()
-    standing = "o" if has_main else "p"
-    return [(f"{standing if s == 'o' else s}{path}", t) for s, path, t in found], {p: " ".join(c) for p, c in children.items()}
+    if not has_main:
+        by_word = sum(len(t) for n, _, _, t in found if n == BY_WORD)
+        if 2 * by_word > sum(len(t) for n, _, _, t in found if n != BY_TAG):
+            found = [(UNNAMED if n == BY_WORD else n, *x) for n, *x in found]
+    standing = lambda n, main: ("n" if main or not has_main else "x") if n else "m" if main else "o" if has_main else "p"
+    return [(f"{standing(n, main)}{path}", t) for n, main, path, t in found], {p: " ".join(c) for p, c in children.items()}
 
 
 def host_of(url: str | None) -> str:
@@ -126,11 +147,11 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-_PARSED = "paths array<string>, texts array<string>, host string, nodes array<struct<path: string, kind: string, feature: bigint, first: boolean>>"
+_PARSED = "paths array<string>, texts array<string>, host string, page bigint, nodes array<struct<path: string, kind: string, feature: bigint, first: boolean>>"
 
 
 def parse(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Every page with its blocks, its host, and what it adds to the host's tree: each text of a path ("c") and the child
+    """Every page with its blocks, its host, a hash of its article (or of all its texts), and what it adds to the host's tree: each text of a path ("c") and the child
     sequence of a path ("s") once, `first` on one row per path and kind."""
     source = df.select(F.col(key), F.col(url), text_or_empty(html).alias("_html"))
 
@@ -148,10 +169,11 @@ def parse(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
                             nodes.append({"path": path[1:], "kind": "c", "feature": feature, "first": path not in seen})
                             seen |= {path, (path, feature)}
                     nodes += [{"path": p, "kind": "s", "feature": xxhash.xxh64_intdigest(c.encode()) - (1 << 63), "first": True} for p, c in sequences.items()]
-                    rows.append(([p for p, _ in own], [t for _, t in own], host_of(address.as_py()), nodes))
-                names = [key, url, "paths", "texts", "host", "nodes"]
+                    article = "\n".join([t for p, t in own if p[0] == "m"] or [t for _, t in own])
+                    rows.append(([p for p, _ in own], [t for _, t in own], host_of(address.as_py()), xxhash.xxh64_intdigest(article.encode()) - (1 << 63), nodes))
+                names = [key, url, "paths", "texts", "host", "page", "nodes"]
                 node = pa.struct([("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("first", pa.bool_())])
-                kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(node)]
+                kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int64(), pa.list_(node)]
                 yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names)
 
     schema = T.StructType([source.schema[key], source.schema[url], *T._parse_datatype_string(_PARSED).fields])
@@ -160,10 +182,14 @@ def parse(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the tree's leaves, from all pages of each host."""
-    nodes = parsed.select("host", F.inline("nodes"))
-    counted = nodes.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("f"))
+    copies = parsed.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
+    weighed = parsed.select("host", "page", "nodes").join(materialize(copies, "copies"), ["host", "page"], "left")
+    nodes = weighed.select("host", (1 / F.coalesce("copies", F.lit(1))).alias("share"), F.inline("nodes"))
+    counted = nodes.groupBy("host", "path", "kind", "feature").agg(
+        F.greatest(F.round(F.sum("share"), 6), F.lit(1.0)).alias("n"), F.sum(F.when(F.col("first"), F.col("share")).otherwise(0.0)).alias("f")
+    )
     stats = counted.groupBy("host", "path", "kind").agg(
-        F.sum("f").alias("m"), F.avg(F.log("n")).alias("mean_log"), F.sum(F.col("n") * F.log("n")).alias("n_log")
+        F.round(F.sum("f"), 6).alias("m"), F.avg(F.log("n")).alias("mean_log"), F.sum(F.col("n") * F.log("n")).alias("n_log")
     )
     m = F.col("m")
     stats = stats.select(
@@ -181,17 +207,17 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 
 def _importance(standing: str) -> Column:
-    prior = OUTSIDE_PRIOR if standing == "o" else PLAIN_PRIOR
-    mixed = (F.col("importance") * F.col("pages") + prior * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
-    return NAMED_SHARE * mixed if standing == "n" else mixed
+    prior, pages = {"n": (NAMED_PRIOR, NAMED_PAGES), "x": (OUTSIDE_PRIOR, PRIOR_PAGES), "o": (OUTSIDE_PRIOR, PRIOR_PAGES)}.get(standing, (PLAIN_PRIOR, PRIOR_PAGES))
+    mixed = (F.col("importance") * F.col("pages") + prior * pages) / (F.col("pages") + pages)
+    return NAMED_SHARE * mixed if standing == "x" else mixed
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     parsed = materialize(parse(df, key, url, html), "blocks")
     leaves = materialize(style_tree(parsed), "leaves")
-    low = [leaves.where(_importance(s) < LIMIT).select("host", F.concat(F.lit(s), "path").alias("path")) for s in "nop"]
-    there = parsed.select("host", F.explode(F.array_distinct(F.filter("paths", lambda p: F.left(p, F.lit(1)) != "m"))).alias("path")).distinct()
+    low = [leaves.where(_importance(s) < LIMIT).select("host", F.concat(F.lit(s), "path").alias("path")) for s in "nxmop"]
+    there = parsed.select("host", F.explode(F.array_distinct("paths")).alias("path")).distinct()
     listed = reduce(DataFrame.union, low).join(there, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("path").alias("low"))
     listed = materialize(listed, "low-branches")
     placed = parsed.select(key, url, "host", "paths", "texts").join(listed, "host", "left")
