@@ -133,7 +133,8 @@ class ShardStore:
                 continue
 
     def _rows(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "false").parquet(*[s.path for s in shards])
+        """The shards' rows with the union of their columns."""
+        return self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
         shards = self.shards(version)
