@@ -1,233 +1,374 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters and digits, in lower case. Item and document overlap if, along one alignment, one of these holds:
-
-* MIN_SHARE of the words in some window of MIN_OVERLAP words of the item are equal, ends included, or of the whole item if
-  it is shorter; words beyond the document's ends count as replaced;
-* the best stretch, with a match worth 1 and a substitution -4, holds MIN_OVERLAP words or nine tenths of a shorter item.
-
-The seeds find every such alignment. If k of n words may be replaced, the n - k equal words form at most k + 1 runs, so one
-run has at least (n - k) / (k + 1) words: 4 at 20 words, 3 or 4 at 10 to 19. (A best stretch begins with a run of 4, or has
-no substitution.) Every run of that many words of an item is a seed. Items under 10 words may have one word replaced; their
-seeds are the whole item under three masks that ignore every third word, each from another start. The benchmark's hashes
-are joined with those of every window of every document. Each hit fixes an item and an alignment; the words near all hits
-of a document are compared at once, and what can pass is compared along the whole alignment.
-
-The benchmark side is sent to all executors in parts of at most about PART_WORDS words (its size is counted first); a
-larger benchmark takes one pass over the documents for each part, so nothing grows beyond that bound.
-
-Defined cases: items under SHORTEST words and null texts are never matched; documents that are shorter than what an item
-asks for are not either; a null document has no words; a row per matching (key, item), with repeated rows repeated; empty tables give
-an empty table; extra columns are not read.
+Words are runs of letters and digits, in lower case. A document overlaps an item if, along one alignment, at least
+PERCENT of each hundred words in some window of MIN_OVERLAP words of the item are equal, or of the whole item if it is shorter;
+words beyond the document's ends count as replaced. Items under 5 words must thus be there word for word.
+
+A seed looks at a window of a few words under fixed masks that ignore some of its positions, by their residue. The masks
+find every such overlap (see seed_of): in a window of 20 words with 4 replaced, one half of 10 has 2 replaced at most, and
+of the 10 masks that ignore two residues mod 5, one ignores both. Test and training windows are joined on their masked
+hashes, and the words around each hit are compared.
+
+As a Spark job: the items become rows of windows, (item, place, words around it, masked hashes). A Bloom filter of the
+items' hashes goes to all executors; documents pass through it, and only windows with a hash in it become rows. The two
+tables are joined on the hash, on narrow rows; the words around both sides come back by place and are compared. Nothing of
+a document or an item passes through the driver, which sees the filter alone (at most MAX_BITS bits). A benchmark of more
+than PART_HASHES hashes takes a pass over the documents for each part, so the filter stays as selective as it is small.
+
+Documents are addressed by content: equal texts are compared once. Windows of one text that have the same words around
+them are compared once too (a repeated word gives a handful, not one for each of its pairs).
+
+Defined cases: items without words and null items match nothing; a null document has no words; the result has a row for
+each matching (row of df, item), so repeated rows and null or repeated keys repeat it; repeated items each match; empty
+tables give an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from fractions import Fraction
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+from itertools import combinations
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
-
-from quadrille.llm.common import materialize, text_or_empty
-
-SPAN, SHORTEST, MIN_OVERLAP, MIN_SHARE = 12, 5, 20, Fraction(4, 5)
-#: Items under WHOLE words have seeds as long as they are, others runs of at most RUN words.
-WHOLE, RUN = 10, 4
-#: Hits that are compared at once.
-HITS = 1 << 15
-PART_WORDS = 500_000
-KEPT_WORDS = 500_000
-_WORD = re.compile(r"[^\W_]+")
-#: Odd multipliers by position: powers of the 64-bit golden ratio.
-_NEAR = np.arange(RUN - MIN_OVERLAP, MIN_OVERLAP)
-#: Beyond the document's ends: a word that no item has (items have 0 there).
-_NO_WORD = np.full(2 * MIN_OVERLAP, np.iinfo(np.uint64).max, np.uint64)
-_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SPAN)], np.uint64)
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, kept up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.encode())
-        return value
-
-
-_HASHES = WordHashes()
-
 
-def word_hashes(text: str) -> np.ndarray:
-    found = _WORD.findall(text.lower())
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+from quadrille.llm.common import chunks, materialize, text_or_empty
+
+#: At least PERCENT of the words of a window of MIN_OVERLAP item words must be equal.
+MIN_OVERLAP, PERCENT = 20, 80
+#: Words on each side of a seed's window that a window of MIN_OVERLAP words around it can reach.
+REACH = 12
+#: The Bloom filter: bits for each hash, rounded up to a power of two; probes; its greatest size; hashes of one pass.
+BITS_EACH, PROBES, MIN_BITS, MAX_BITS, PART_HASHES = 64, 4, 1 << 16, 1 << 28, 1 << 22
+#: Windows that are looked at together, and windows whose surroundings are held at a time.
+SLICE, HELD = 1 << 17, 1 << 13
+#: Characters whose words are hashed at a time, and the hash's base.
+CHARACTERS, _BASE = 1 << 19, 0x9E3779B97F4A7C15
+#: What stands beyond the ends of a document and of an item: words that neither has, and that differ.
+_NO_WORD, _NO_ITEM = np.uint64((1 << 64) - 1), np.uint64(0)
+#: Words beyond a document between it and the next one: the surroundings of no window reach across.
+_GAP = REACH + 4
+#: Odd multipliers by position: powers of the 64-bit golden ratio.
+_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(MIN_OVERLAP + 2 * REACH)], np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are letters or digits; powers of the hash's base and of its inverse modulo 2^64."""
+    in_word = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    both = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHARACTERS, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return in_word, *both
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text: polynomials in the word's code points, from prefix sums over all texts at
+    once, CHARACTERS at a time. A word that goes on beyond such a stretch is carried over."""
+    in_word, power, inverse = _tables()
+    lower = [text.lower() for text in texts]
+    joined = "\n".join([*lower, ""])
+    lengths = np.fromiter(map(len, lower), np.int64, len(lower)) + 1
+    hashes, begins, open_word = [], [], None  # (sum, length, begin) of a word that is not over
+    for lo in range(0, len(joined), CHARACTERS):
+        codes = np.frombuffer(joined[lo : lo + CHARACTERS].encode("utf-32-le"), "<u4")
+        edges = np.diff(in_word[codes].view(np.int8), prepend=0, append=0)
+        first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        value = (codes + np.uint64(1)) * _WEIGHTS[0]
+        value ^= value >> np.uint64(29)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[: len(codes)])])
+        own, begin = (total[end] - total[first]) * inverse[first], first + lo
+        if open_word:
+            done, length, start = open_word
+            if len(first) and first[0] == 0:
+                own[0] = np.uint64((done + int(own[0]) * pow(_BASE, length, 1 << 64)) % (1 << 64))
+                begin[0] = start
+            else:
+                own, begin = np.append(np.uint64(done), own), np.append(start, begin)
+            open_word = None
+        if len(end) and end[-1] == len(codes):
+            open_word = int(own[-1]), lo + len(codes) - int(begin[-1]), int(begin[-1])
+            own, begin = own[:-1], begin[:-1]
+        hashes.append(own)
+        begins.append(begin)
+    words, begin = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((hashes, np.uint64), (begins, np.int64)))
+    words = _mixed(words)
+    return np.split(words, np.searchsorted(begin, np.cumsum(lengths)[:-1])) if texts else []
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(32))) * _WEIGHTS[0]
+    return values ^ (values >> np.uint64(29))
 
 
 def needed(n_words: int) -> int:
-    """How many words must be equal in the best window of an item of so many words."""
-    return ceil(MIN_SHARE * min(n_words, MIN_OVERLAP))
-
-
-def run_length(n_words: int) -> int:
-    """The run of equal words that every accepted overlap of such an item has."""
-    equal = needed(n_words)
-    return min(RUN, ceil(Fraction(equal, min(n_words, MIN_OVERLAP) - equal + 1)))
-
-
-def seeds(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(window, positions that count): three masks that between them ignore each word, for every length, SPAN by default."""
-    return [(n, tuple(i for i in range(n) if i % 3 != start)) for n in short or [SPAN] for start in range(3)]
-
-
-def masked(words: np.ndarray, seed: tuple[int, tuple[int, ...]], salt: int) -> np.ndarray:
-    """The hash of every window of the words, over the mask's positions."""
-    span, mask = seed
-    n = len(words) - span + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = np.full(n, np.uint64(salt + 1) * np.uint64(0xD6E8FEB86659FD93 >> 8), np.uint64)
-    for p in mask:
-        total += words[p : p + n] * _WEIGHTS[p]
-    total ^= total >> np.uint64(32)
-    total *= _WEIGHTS[0]
-    return total ^ (total >> np.uint64(29))
-
-
-class Part:
-    """The masked hashes of some benchmark items, sorted, with a bitmap of their low bits in front."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        held = [(i, w) for i, t in items if len(w := word_hashes(t or "")) >= SHORTEST]
-        self.ids, self.words = [i for i, _ in held], [w for _, w in held]
-        whole = sorted({len(w) for w in self.words if len(w) < WHOLE})
-        runs = sorted({run_length(len(w)) for w in self.words if len(w) >= WHOLE})
-        self.seeds = [(n, tuple(range(n))) for n in runs] + (seeds(whole) if whole else [])
-        rows = []
-        for s, seed in enumerate(self.seeds):
-            for i, w in enumerate(self.words):
-                if (run_length(len(w)) if len(w) >= WHOLE else len(w)) == seed[0] and (len(w) >= WHOLE) == (s < len(runs)):
-                    h = masked(w, seed, s)
-                    rows.append((h, np.full(len(h), i, np.int64), np.arange(len(h), dtype=np.int64)))
-        columns = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
-        order = np.argsort(columns[0], kind="stable")
-        self.hashes, self.item, self.offset = (c[order] for c in columns)
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        # All items one after another, with room on both sides for the words near a hit.
-        room = np.zeros(2 * MIN_OVERLAP, np.uint64)
-        self.text = np.concatenate([room, *[x for w in self.words for x in (w, room)]])
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        self.start = np.cumsum(np.concatenate([[0], lengths[:-1] + len(room)])) + len(room) if len(lengths) else lengths
-        #: The fewest equal words with which either rule can pass.
-        self.least = np.array([min(needed(n), ceil(MIN_SHARE * min(MIN_OVERLAP, -(-9 * n // 10)))) for n in map(len, self.words)], np.int64)
-
-    def alignments(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position of its first word) of all hits near which enough words are equal."""
-        out: set[tuple[int, int]] = set()
-        # One word of room is enough for a seed that goes beyond the document: one replaced word is the most it may have.
-        edge = np.concatenate([_NO_WORD[:1], words, _NO_WORD[:1]])
-        inside = np.concatenate([_NO_WORD, words, _NO_WORD])
-        for s, seed in enumerate(self.seeds):
-            h = masked(edge, seed, s)
-            at = np.flatnonzero(self.bitmap[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            ends = np.cumsum(n)
-            for first in range(0, int(ends[-1]) if len(ends) else 0, HITS):
-                k = np.arange(first, min(first + HITS, int(ends[-1])))
-                hit = np.searchsorted(ends, k, "right")
-                row = lo[hit] + k - (ends - n)[hit]
-                item, offset, place = self.item[row], self.offset[row], at[hit] - 1
-                near = self.text[(self.start[item] + offset)[:, None] + _NEAR] == inside[(place + len(_NO_WORD))[:, None] + _NEAR]
-                total = np.cumsum(near, axis=1, dtype=np.int64)
-                total[:, MIN_OVERLAP:] -= total[:, :-MIN_OVERLAP].copy()
-                ok = total.max(axis=1) >= self.least[item]
-                out.update(zip(item[ok].tolist(), (place - offset)[ok].tolist(), strict=True))
-        return out
-
-    def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int, int]]:
-        """Item -> (first word, end, words that match) of its best verified overlap in a document."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, shift in self.alignments(words):
-            own = self.words[i]
-            lo, hi = max(0, -shift), min(len(own), len(words) - shift)
-            equal = own[lo:hi] == words[lo + shift : hi + shift]
-            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-            rise = total - np.minimum.accumulate(total)
-            end = int(rise.argmax())
-            first = int(total[: end + 1].argmin())
-            if end - first < min(MIN_OVERLAP, -(-9 * len(own) // 10)):
-                count = np.concatenate([[0], np.cumsum(equal)])
-                count = count[min(MIN_OVERLAP, len(equal)) :] - count[: len(count) - min(MIN_OVERLAP, len(equal))]
-                if count.max() < needed(len(own)):
-                    continue
-                window = int(count.argmax())
-                at = window + np.flatnonzero(equal[window : window + MIN_OVERLAP])
-                first, end = int(at[0]), int(at[-1]) + 1
-            found = (first + lo + shift, end + lo + shift, int(equal[first:end].sum()))
-            best[i] = max(best.get(i, (0, 0, 0)), found, key=lambda x: (x[2], -x[0]))
-        return best
-
-
-def _parts(benchmark: DataFrame, item: str) -> tuple[DataFrame, Iterator[Part]]:
-    """The items, and the benchmark side in parts of bounded size."""
-    items = materialize(benchmark.select(F.col(item), text_or_empty("text").alias("text")), "benchmark")
-    n_words = items.agg(F.sum(F.size(F.split("text", r"[\W_]+", -1)))).first()[0] or 0
-    n = max(1, -(-n_words // PART_WORDS))
-    own = lambda p: items.where(F.pmod(F.xxhash64(item, "text"), F.lit(n)) == p)
-    return items, (Part([tuple(r) for r in own(p).collect()]) for p in range(n))
+    """How many words must be equal in a window of an item of so many words."""
+    return ceil(PERCENT * min(n_words, MIN_OVERLAP) / 100)
+
+
+@dataclass(frozen=True)
+class Seed:
+    """A window of `span` words under the masks that ignore `ignored` of the residues mod `period`."""
+
+    span: int
+    period: int
+    ignored: int
+
+    def hashes(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """For each mask, the hash of every window of the words."""
+        n = max(0, len(words) - self.span + 1)
+        residues = [sum((words[p : p + n] * _WEIGHTS[p] for p in range(r, self.span, self.period)), np.zeros(n, np.uint64)) for r in range(self.period)]
+        for mask, free in enumerate(combinations(range(self.period), self.ignored)):
+            salt = np.uint64(xxhash.xxh64_intdigest(repr((self, mask)).encode()))
+            total = sum((residues[r] for r in range(self.period) if r not in free), np.full(n, salt, np.uint64))
+            yield _mixed(total)
+
+
+def seed_of(n_words: int) -> Seed:
+    """The seed that finds every accepted overlap of an item of so many words.
+
+    20 and more: 4 of 20 words may be replaced, so at most 2 in one half. 10 to 14: at most 2 in all. 15 to 19: at most 3,
+    so at most 1 in the first or the second 7 words. 5 to 9: at most 1. Under 5: none.
+    """
+    if n_words >= MIN_OVERLAP or 10 <= n_words < 15:
+        return Seed(10, 5, 2)
+    if n_words >= 15:
+        return Seed(7, 3, 1)
+    return Seed(n_words, 3, 1) if n_words >= 5 else Seed(n_words, 1, 0)
+
+
+def _around(words: np.ndarray, span: int) -> np.ndarray:
+    """Row i: the words of the window at i - REACH of `words` (which has REACH words of padding), with REACH on each side."""
+    return np.lib.stride_tricks.sliding_window_view(words, span + 2 * REACH)
+
+
+def _new(around: np.ndarray, owner: np.ndarray, seen: dict[int, set[int]]) -> np.ndarray:
+    """Which rows have surroundings that their owner did not have before."""
+    keys = (around * _WEIGHTS[: around.shape[1]]).sum(1)
+    keys ^= keys >> np.uint64(31)
+    fresh = np.zeros(len(keys), bool)
+    for i, (k, o) in enumerate(zip(keys.tolist(), owner.tolist(), strict=True)):
+        known = seen.setdefault(o, set())
+        if k not in known:
+            known.add(k)
+            fresh[i] = True
+    return fresh
+
+
+class Bloom:
+    """Bits that are set for every hash of the benchmark; probes are stretches of the hash's own bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    def _has(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        at = (hashes >> np.uint64(12 * probe)) & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self._has(hashes, 0))
+        for probe in range(1, PROBES):
+            at = at[self._has(hashes[at], probe)]
+        return at
+
+
+def probes(hashed: Column, n_bits: int) -> Column:
+    """The bits of one hash (a signed 64-bit column), from 1, as Bloom reads them."""
+    return F.array(*[F.shiftrightunsigned(hashed, 12 * k).bitwiseAND(F.lit(n_bits - 1).cast("long")) + 1 for k in range(PROBES)])
+
+
+#: A row for each place of a window: its owner's surroundings and masked hashes there.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+
+
+def found_windows(texts: list[np.ndarray], seed: Seed, bloom: Bloom) -> Iterator[Rows]:
+    """(owner, place, surroundings, hashes in the filter) of the windows of documents that have such hashes, in parts."""
+    lengths = np.array([len(w) for w in texts], np.int64)
+    starts = _GAP + np.cumsum(lengths + _GAP) - lengths - _GAP
+    words = np.full(int(lengths.sum()) + _GAP * (len(texts) + 1), _NO_WORD, np.uint64)
+    for own, at in zip(texts, starts.tolist(), strict=True):
+        words[at : at + len(own)] = own
+    around, seen = _around(words, seed.span), {}
+    # Windows begin up to 2 words before a document: what is beyond its end may stand where a mask does not look.
+    for lo in range(_GAP - 2, len(words) - seed.span - REACH, SLICE):
+        part = words[lo : min(lo + SLICE, len(words) - seed.span - REACH) + seed.span - 1]
+        places, hashes = [], []
+        for h in seed.hashes(part):
+            places.append(bloom.places(h))
+            hashes.append(h[places[-1]])
+        at, hashed = np.concatenate(places), np.concatenate(hashes)
+        order = np.argsort(at, kind="stable")
+        at, hashed = at[order], hashed[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        groups = np.split(hashed, first[1:]) if len(first) else []
+        at = at[first] + lo
+        for some in range(0, len(at), HELD):
+            here = at[some : some + HELD]
+            rows, owner = around[here - REACH], np.searchsorted(starts - 2, here, "right") - 1
+            keep = _new(rows, owner, seen)
+            if keep.any():
+                yield owner[keep], (here - starts[owner])[keep], rows[keep], [groups[some + i] for i in np.flatnonzero(keep)]
+
+
+def item_windows(words: np.ndarray) -> Iterator[Rows]:
+    """The same for one item, of its own seed."""
+    seed = seed_of(len(words))
+    room = np.full(REACH, _NO_ITEM, np.uint64)
+    around, seen = _around(np.concatenate([room, words, room]), seed.span), {}
+    for lo in range(0, len(words) - seed.span + 1, HELD):
+        hashes = np.stack(list(seed.hashes(words[lo : lo + HELD + seed.span - 1])), axis=1)
+        place = np.arange(lo, lo + len(hashes))
+        rows, owner = around[place], np.zeros(len(place), np.int64)
+        keep = _new(rows, owner, seen)
+        yield owner[keep], place[keep], rows[keep], list(hashes[keep])
+
+
+def verify(document: np.ndarray, item: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of surroundings, one of each side: whether some window has enough equal words, how many the best one has,
+    and the first and last equal word of the accepted windows, as places in the row."""
+    equal = document == item
+    n, length = equal.shape
+    best, first, last, ok = (np.zeros(n, np.int64) for _ in range(4))
+    for size in np.unique(np.minimum(n_words, MIN_OVERLAP)).tolist():
+        rows = np.flatnonzero(np.minimum(n_words, MIN_OVERLAP) == size)
+        own = equal[rows]
+        total = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(own, axis=1, dtype=np.int64)], axis=1)
+        count = total[:, size:] - total[:, :-size]
+        good = count >= needed(size)
+        ok[rows], best[rows] = good.any(1), count.max(1)
+        covered = np.zeros_like(own)
+        for i in range(size):
+            covered[:, i : i + good.shape[1]] |= good
+        covered &= own
+        first[rows], last[rows] = covered.argmax(1), length - 1 - covered[:, ::-1].argmax(1)
+    return ok.astype(bool), best, first, last
+
+
+_WINDOW = "place long, span int, around binary, hashes array<long>"
+_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _columns(places: np.ndarray, span: int, around: np.ndarray, hashes: list[np.ndarray]) -> list[pa.Array]:
+    rows = [places.tolist(), [span] * len(places), [r.tobytes() for r in around], [h.view(np.int64) for h in hashes]]
+    return [pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)]
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """(item_id, n_words, place, span, around, hashes) of items (item_id, text): a row for each window that has its own
+    surroundings."""
+    schema = T.StructType([items.schema["item_id"], T.StructField("n_words", T.IntegerType()), *T._parse_datatype_string(_WINDOW).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                (words,) = word_hashes([str(text.as_py())])
+                for _, place, around, hashes in item_windows(words) if len(words) else ():
+                    owner = batch.column(0).take(pa.array(np.full(len(place), i)))
+                    n = pa.array(np.full(len(place), len(words)), pa.int32())
+                    yield pa.record_batch([owner, n, *_columns(place, seed_of(len(words)).span, around, hashes)], names)
+
+    return items.mapInArrow(run, schema)
+
+
+def _bloom(hashes: DataFrame) -> Bloom:
+    """The filter of the hashes in column `h`. Spark builds its pages; at most MAX_BITS bits come to the driver."""
+    n_bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_EACH * hashes.count()).bit_length()))
+    bit = hashes.select(F.explode(probes(F.col("h"), n_bits)).alias("b"))
+    pages = bit.groupBy(F.bitmap_bucket_number("b").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for page, own in pages:
+        lo = (page - 1) * len(own)
+        bits[lo : lo + len(own)] = np.frombuffer(own, np.uint8)[: len(bits) - lo]
+    return Bloom(bits)
+
+
+def document_windows(texts: DataFrame, seeds: list[Seed], bloom: Bloom) -> DataFrame:
+    """(text_id, place, span, around, hashes) of the windows of texts (text_id, text) that have hashes in the filter."""
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for chunk in chunks(str(x.as_py()) for x in batch.column(1)):
+                words = word_hashes(chunk)
+                for seed in seeds:
+                    for owner, place, around, hashes in found_windows(words, seed, shared.value):
+                        yield pa.record_batch([batch.column(0).take(pa.array(owner + at)), *_columns(place, seed.span, around, hashes)], names)
+                at += len(chunk)
+
+    schema = T.StructType([texts.schema["text_id"], *T._parse_datatype_string(_WINDOW).fields])
+    names = schema.names
+    return texts.mapInArrow(run, schema)
+
+
+def _addressed(text: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text)))
+
+
+def overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """(text_id, item_id, first_word, end_word, n_matched): a row for each distinct text of df and of the benchmark's
+    column `text` with a verified overlap: from the first to the last accepted window along one alignment (the longest
+    such stretch), and the equal words of its best window. Ids are MD5 of the texts."""
+    items = benchmark.select(_addressed("text").alias("item_id"), text_or_empty("text").alias("text")).dropDuplicates(["item_id"])
+    items = materialize(benchmark_windows(items), "benchmark")
+    texts = df.select(_addressed(text).alias("text_id"), text_or_empty(text).alias("text"))
+    # One row for each length under MIN_OVERLAP, and one for all others.
+    lengths = items.select(F.least("n_words", F.lit(MIN_OVERLAP))).distinct().collect()
+    seeds = sorted({seed_of(n) for (n,) in lengths}, key=lambda s: (s.span, s.period))
+    test = items.select("item_id", "n_words", "place", "span", F.explode("hashes").alias("h"))
+    n_parts = max(1, -(-test.count() // PART_HASHES))
+    part = F.pmod(F.xxhash64("h"), F.lit(n_parts))
+    passes = [document_windows(texts, seeds, _bloom(test.where(part == p).select("h").distinct())) for p in range(n_parts)]
+    found = materialize(reduce(DataFrame.unionByName, passes).withColumnRenamed("place", "at"), "windows")
+    hits = found.select("text_id", "at", F.explode("hashes").alias("h")).join(test, "h").select("text_id", "at", "item_id", "place", "span", "n_words").distinct()
+    own = found.select("text_id", "at", "span", F.col("around").alias("own")).dropDuplicates(["text_id", "at", "span"])
+    other = items.select("item_id", "place", F.col("around").alias("other"))
+    pairs = hits.join(own, ["text_id", "at", "span"]).join(other, ["item_id", "place"])
+    verified = _verified(pairs.select("text_id", "item_id", "at", "place", "span", "n_words", "own", "other"))
+    by_line = verified.groupBy("text_id", "item_id", "shift").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.max("equal").alias("equal"))
+    best = F.max_by(F.struct("first", "end", "equal"), F.struct(F.col("end") - F.col("first"), "equal", -F.col("shift")))
+    return by_line.groupBy("text_id", "item_id").agg(best.alias("b")).select(
+        "text_id", "item_id", F.col("b.first").alias("first_word"), F.col("b.end").alias("end_word"), F.col("b.equal").alias("n_matched")
+    )
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(text_id, item_id, shift, first, end, equal) of the hits whose surroundings have enough equal words."""
+    names = ["text_id", "item_id", "shift", "first", "end", "equal"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, place, span, n_words = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
+            for size in np.unique(span).tolist():
+                rows = np.flatnonzero(span == size)
+                sides = [np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1) for c in (6, 7)]
+                ok, equal, first, last = verify(*sides, n_words[rows])
+                kept = rows[ok]
+                lo = at[kept] - REACH
+                out = [at[kept] - place[kept], lo + first[ok], lo + last[ok] + 1, equal[ok]]
+                yield pa.record_batch([*[batch.column(c).take(pa.array(kept)) for c in (0, 1)], *[pa.array(c, pa.int64()) for c in out]], names)
+
+    return pairs.mapInArrow(run, "text_id binary, item_id binary, shift long, first long, end long, equal long")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, item id, first_word, end_word, n_matched): a row for every document and item with a verified overlap."""
-    items, parts = _parts(benchmark, item)
-    item_type = to_arrow_type(items.schema[item].dataType)
-    source = df.select(F.col(key), text_or_empty(text).alias("_text"))
-    names = [key, item, "first_word", "end_word", "n_matched"]
-    schema = T.StructType([source.schema[key], items.schema[item], *[T.StructField(c, T.LongType()) for c in names[2:]]])
-
-    def find(part: Part) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = shared.value
-            for batch in batches:
-                rows = []
-                for i, value in enumerate(batch.column(1)):
-                    found = part.overlaps(word_hashes(str(value.as_py())))
-                    rows += [(i, part.ids[k], *found[k]) for k in sorted(found)]
-                if rows:
-                    at, ids, *spans = zip(*rows, strict=True)
-                    yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(ids, item_type), *[pa.array(s, pa.int64()) for s in spans]], names)
-
-        return source.mapInArrow(run, schema)
-
-    return reduce(DataFrame.unionByName, map(find, parts))
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of df without a verified overlap, with all their columns: a filter in place, so no text is shuffled."""
-    at = df.columns.index(text)
-
-    def keep(df: DataFrame, part: Part) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = shared.value
-            for batch in batches:
-                yield batch.filter(pa.array([not part.overlaps(word_hashes(value.as_py() or "")) for value in batch.column(at)], pa.bool_()))
-
-        return df.mapInArrow(run, df.schema)
-
-    return reduce(keep, _parts(benchmark, item)[1], df)
+    """(key, item, first_word, end_word, n_matched): a row for every row of df and of the benchmark with a verified overlap."""
+    found = materialize(overlaps(df, benchmark, text), "overlaps")
+    rows = df.select(F.col(key).alias("_key"), _addressed(text).alias("text_id"))
+    items = benchmark.select(F.col(item).alias("_item"), _addressed("text").alias("item_id"))
+    joined = found.join(items, "item_id").join(rows, "text_id")
+    return joined.select(F.col("_key").alias(key), F.col("_item").alias(item), "first_word", "end_word", "n_matched")
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df without a verified overlap, with all their columns. Overlapping texts are few: Spark sends their ids
+    to the rows while they are small, and then no text moves."""
+    found = materialize(overlaps(df, benchmark, text).select(F.col("text_id").alias("_text_id")).distinct(), "contaminated")
+    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*own, _addressed(text).alias("_address")).join(found, F.col("_address") == F.col("_text_id"), "left_anti")
+    return rows.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns)])

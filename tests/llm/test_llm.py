@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrille.llm import bpe, decontaminate, html_extract, quality_classifier, quality_rules, secrets, simhash, token_blocks, token_counts
+from quadrille.llm import bpe, html_extract, quality_classifier, quality_rules, secrets, simhash, token_blocks, token_counts
 from quadrille.llm.common import scratch
 from quadrille.llm.sharding import CommitConflict, ShardStore
 
@@ -341,38 +341,6 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.score(odd, model).first()["held_out"] is False
 
 
-def bench(spark, items):
-    return spark.createDataFrame(items, "item_id long, text string")
-
-
-def test_decontamination(spark, monkeypatch):
-    passage = [f"word{i}" for i in range(40)]
-    swapped = [w if i % 11 else "other" for i, w in enumerate(passage)]
-    texts = [
-        "intro " + " ".join(passage) + " outro", "x " + " ".join(swapped).upper() + "!", " ".join(passage[:15]), "six short words are right here", None, "", "nothing in common " * 30,
-        " ".join(passage[5:30]), "five short words are right",
-    ]
-    items = bench(spark, [(1, " ".join(passage)), (2, "six short words are right here"), (3, "tiny item"), (4, None)])
-    for words in (500_000, 10):
-        monkeypatch.setattr(decontaminate, "PART_WORDS", words)
-        found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(documents(spark, texts), items).collect()}
-        assert set(found) == {(0, 1), (1, 1), (3, 2), (7, 1)}
-        assert (found[0, 1].first_word, found[0, 1].end_word, found[0, 1].n_matched) == (1, 41, 40)
-    clean = decontaminate.decontaminate(documents(spark, texts), items)
-    assert sorted(by_key(clean)) == [2, 4, 5, 6, 8] and clean.columns == documents(spark, []).columns
-    assert decontaminate.contaminated(documents(spark, texts), bench(spark, [])).count() == 0
-    assert decontaminate.contaminated(documents(spark, []), items).count() == 0
-
-
-def test_every_single_substitution_in_a_window_is_hit():
-    words = np.arange(12).astype(np.uint64) * np.uint64(7919)
-    part = [decontaminate.masked(words, s, i) for i, s in enumerate(decontaminate.seeds([]))]
-    for at in range(12):
-        changed = words.copy()
-        changed[at] = 1 << 40
-        assert any(decontaminate.masked(changed, s, i)[0] == part[i][0] for i, s in enumerate(decontaminate.seeds([])))
-
-
 def test_sharding(spark):
     store = ShardStore(spark, scratch(spark, "test"), target_bytes=1 << 20)
     for i in range(5):
