@@ -1,20 +1,26 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Base measures and the fixed base rule come first. The method then adds one-sided rules (reject if a measure exceeds a
-cutoff) whose cutoffs are chosen from labelled rows, for every stratum on its own:
-
-* Labelled rows are dealt into two folds by crc32 of the key. Candidate cutoffs are quantiles of each measure among the
-  bad rows of the first fold; the good rows of the second fold are the holdout.
-* For a cutoff that would reject k of n good holdout rows, the exact (Clopper-Pearson) upper bound of the false rejection
-  rate is at most alpha exactly if P(Binomial(n, alpha) <= k) <= delta. Cutoffs are tried from the mildest to the
-  strictest and the first failure ends the sequence, so a sequence needs no correction of its own; delta is divided by
-  the number of sequences (rules x strata), and alpha by the number of rules. With confidence 1 - DELTA, all rules
-  together reject at most ALPHA of the good rows of every stratum. Too few labelled rows: the rule stays off there.
+Base measures and the fixed base rule come first. The method then learns further rules from labelled rows, for every
+stratum on its own, among distinct texts that pass the base rule (copies count once; a text is good only if all its labels
+are). They are dealt into two folds by a hash of the text:
+
+* In the first fold, each measure's unit is the SPREAD quantile of the good texts (FLOOR at least). A text's excess is its
+  greatest measure in those units, so one cutoff of the excess is a cutoff for every measure at once, and stricter cutoffs
+  reject all that milder ones do. Candidates are quantiles of the excess of the bad texts.
+* The good texts of the second fold are the holdout. For a cutoff that would reject k of n of them, the exact
+  (Clopper-Pearson) upper bound of the false rejection rate is at most alpha exactly if P(Binomial(n, alpha) <= k) <=
+  delta. Cutoffs are tried from the mildest to the strictest and the first failure ends the sequence, so the sequence needs
+  no correction of its own; delta is divided by the number of strata.
+
+With confidence 1 - DELTA, the cutoffs reject at most ALPHA of the good texts of every stratum at once: of those that pass
+the base rule, which is no part of the guarantee. A stratum needs about 440 good holdout texts (4 strata; none rejected)
+for a cutoff; with fewer, its further rules stay off.
 
 Eight-word windows are compared by 64-bit hashes within one text (for a text of 20,000 words, a false match has a chance
 below 2e-11). Defined cases: null and empty texts have no words and fail the base rule; a null stratum is a stratum of
 its own; a key labelled twice counts as good only if all its labels are; an empty table, or one without labels, gives the
-base rule alone; repeated rows and null keys pass through row by row; extra columns are not read.
+base rule alone; repeated rows and null keys pass through row by row; extra columns are not read, and keep_good() returns
+them whatever their names are.
 """
 
 from __future__ import annotations
@@ -26,19 +32,22 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import WHITE_SPACE, materialize, text_or_empty, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, CAPITALS = "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
 ALPHA, DELTA = 0.01, 0.05
-#: Quantiles of the bad rows that are tried as cutoffs.
-STEPS = [i / 20 for i in range(1, 20)]
-#: Measure -> its value; each rule rejects what is above its cutoff.
+#: Quantiles of the bad texts' excess that are tried as cutoffs.
+STEPS = [i / 40 for i in range(1, 40)]
+#: A measure's unit: this quantile of the good texts, and the least unit.
+SPREAD, FLOOR = 0.99, 0.005
+#: Measure -> its value.
 MEASURES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
     "repeats": "n_repeat_words / greatest(n_words, 1)",
     "lines": "n_dup_lines / greatest(n_lines, 1)",
     "echoes": "n_echoes / greatest(n_words, 1)",
     "length": "word_chars / greatest(n_words, 1)",
+    "shouts": "n_capitals / greatest(word_chars, 1)",
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -67,9 +76,9 @@ def _repeated(words: Column, hashes: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the base measures, base_failed, and the further measures n_lines and n_echoes (words equal to the word
-    before). Columns of df with one of these names are replaced."""
-    made = [*BASE, "n_lines", "n_echoes", "base_failed", "_words", "_lines", "_hashes", "_text"]
+    """df with the base measures, base_failed, text_hash, and the further measures n_lines, n_echoes (words equal to the word
+    before) and n_capitals (A-Z). Columns of df with one of these names are replaced."""
+    made = [*BASE, "n_lines", "n_echoes", "n_capitals", "text_hash", "base_failed", "_words", "_lines", "_hashes", "_text"]
     kept = [c for c in df.columns if c not in made]
     df = df.select(*kept, text_or_empty(text).alias("_text"))
     df = df.withColumn("_words", words(F.col("_text")))
@@ -91,6 +100,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         _repeated(w, F.col("_hashes")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         echoes.cast("long").alias("n_echoes"),
+        (F.length("_text") - F.length(_without(F.col("_text"), CAPITALS))).cast("long").alias("n_capitals"),
+        F.xxhash64("_text").alias("text_hash"),
     ]
     # A generator of one row: filters on the measures stay above it and do not repeat the work inside them.
     df = df.select(*kept, F.inline(F.array(F.struct(*made_here))))
@@ -112,25 +123,34 @@ def _at_most(k: Column, n: Column, rate: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), add, lambda acc: acc["sum"])
 
 
+def _excess(units: dict[str, Column]) -> Column:
+    """The greatest measure in its unit."""
+    return F.greatest(*[F.expr(e).cast("double") / units[r] for r, e in MEASURES.items()])
+
+
+def labelled(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """(_stratum, good, fold, the measures' columns) of each distinct labelled text that passes the base rule."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("_good"))
+    parts = [c for c in measured.columns if c in [*BASE, "n_lines", "n_echoes", "n_capitals"]]
+    rows = measured.where("not base_failed").select(F.col(key).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), "text_hash", *parts)
+    texts = rows.join(marks, "_id").groupBy("_stratum", "text_hash").agg(F.min("_good").alias("good"), *[F.min(c).alias(c) for c in parts])
+    return texts.withColumn("fold", F.pmod(F.xxhash64("text_hash", F.lit("fold")), F.lit(2)))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(_stratum, a cutoff column per rule, null where the rule is off), one row per stratum with labelled rows."""
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
-    values = [F.struct(F.lit(r).alias("rule"), F.expr(e).cast("double").alias("value")) for r, e in MEASURES.items()]
-    rows = (
-        measured.where("not base_failed")
-        .select(F.col(key).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.array(*values).alias("v"))
-        .join(marks, "_id")
-        .select("_stratum", "good", (F.crc32(F.col("_id").cast("string")) % 2).alias("fold"), F.inline("v"))
-    )
-    rows = materialize(rows, "labelled")
-    grid = rows.where("fold = 0 and not good").groupBy("rule").agg(F.percentile_approx("value", STEPS, 10_000).alias("cuts"))
-    holdout = rows.where("fold = 1 and good").join(F.broadcast(grid), "rule")  # one row per rule
-    rejected = F.array(*[F.sum((F.col("value") > F.col("cuts")[i]).cast("long")) for i in range(len(STEPS))])
-    counts = materialize(holdout.groupBy("_stratum", "rule", "cuts").agg(F.count("*").alias("n"), rejected.alias("k")), "counts")
-    sequences = max(1, counts.count())
-    rate, level = alpha / len(MEASURES), math.log(delta / sequences)
+    """(_stratum, _unit_ column of each measure, _cut: the least excess that is rejected, null where none is safe), one row per
+    stratum with labelled rows."""
+    rows = materialize(labelled(measured, labels, key, stratum), "labelled")
+    unit = [F.greatest(F.percentile_approx(F.expr(e).cast("double"), SPREAD, 10_000), F.lit(FLOOR)).alias(f"_unit_{r}") for r, e in MEASURES.items()]
+    units = materialize(rows.where("fold = 0 and good").groupBy("_stratum").agg(*unit), "units")
+    scored = rows.join(units, "_stratum").withColumn("excess", _excess({r: F.col(f"_unit_{r}") for r in MEASURES}))
+    grid = scored.where("fold = 0 and not good").groupBy("_stratum").agg(F.percentile_approx("excess", STEPS, 10_000).alias("cuts"))
+    holdout = scored.where("fold = 1 and good").join(materialize(grid, "cutoffs"), "_stratum")
+    rejected = F.array(*[F.sum((F.col("excess") >= F.col("cuts")[i]).cast("long")) for i in range(len(STEPS))])
+    counts = materialize(holdout.groupBy("_stratum", "cuts").agg(F.count("*").alias("n"), rejected.alias("k")), "counts")
+    level = math.log(delta / max(1, counts.count()))
     n, k = F.col("n"), F.col("k")
-    passes = lambda i: F.when(F.get(k, i) < n * rate, _at_most(F.get(k, i), n, rate) <= level).otherwise(F.lit(False))
+    passes = lambda i: F.when(F.get(k, i) < n * alpha, _at_most(F.get(k, i), n, alpha) <= level).otherwise(F.lit(False))
     stricter = F.sequence(F.lit(len(STEPS) - 1), F.lit(0), F.lit(-1))
     start = F.struct(F.lit(True).alias("on"), F.lit(None).cast("double").alias("cut"))
 
@@ -138,20 +158,16 @@ def thresholds(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stra
         on = acc["on"] & passes(i)
         return F.struct(on.alias("on"), F.when(on, F.get("cuts", i)).otherwise(acc["cut"]).alias("cut"))
 
-    chosen = counts.select("_stratum", "rule", F.aggregate(stricter, start, step, lambda acc: acc["cut"]).alias("cut"))
-    wide = chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"_cut_{r}") for r in MEASURES])
-    return materialize(wide, "thresholds")
+    chosen = counts.select("_stratum", F.aggregate(stricter, start, step, lambda acc: acc["cut"]).alias("_cut"))
+    return materialize(units.join(chosen, "_stratum", "left"), "thresholds")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """measured with `kept`: neither the base rule nor a rule of the row's stratum rejects it."""
+    """measured with `kept`: neither the base rule nor the cutoff of the row's stratum rejects it."""
     kept = [c for c in measured.columns if c != "kept"]
-    rejects = [F.coalesce(F.expr(e).cast("double") > F.col(f"_cut_{r}"), F.lit(False)) for r, e in MEASURES.items()]
-    verdict = ~F.col("base_failed")
-    for rejected in rejects:
-        verdict &= ~rejected
+    rejected = F.coalesce(_excess({r: F.col(f"_unit_{r}") for r in MEASURES}) >= F.col("_cut"), F.lit(False))
     placed = measured.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    return placed.join(cutoffs, "_stratum", "left").select(*kept, verdict.alias("kept"))
+    return placed.join(cutoffs, "_stratum", "left").select(*kept, (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
 def assess(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
@@ -162,10 +178,9 @@ def assess(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of df that are kept, with df's own columns."""
-    narrow = materialize(measure(df.select(F.col(key), F.col(text), F.col(stratum)), text).drop(text), "measures")
-    cutoffs = thresholds(narrow, labels, key, stratum)
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(df.columns)]
-    carried = df.select(*own, F.col(text).alias("_body"), F.col(stratum).alias("_lang"))
-    judged = judge(measure(carried, "_body"), cutoffs, "_lang").where("kept")
-    return judged.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns)])
+    """The rows of df that are kept, with df's own columns. Rows are written once with their measures, so no text is
+    measured twice."""
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    measured = materialize(measure(df.select(*[F.col(c).alias(o) for c, o in own.items()]), own[text]), "measures")
+    cutoffs = thresholds(measured, labels, own[key], own[stratum])
+    return judge(measured, cutoffs, own[stratum]).where("kept").select(*[F.col(o).alias(c) for c, o in own.items()])
