@@ -5,96 +5,111 @@ task. Compaction looks at shards in tiers (each FANIN times as large as the one
 merged into files of about the target size, so a row is rewritten at most once per tier. Nothing is changed in place:
 a commit writes the next manifest, which lists the live shards, under a temporary name and renames it to its version;
 the rename fails if that version exists, so of two writers one commits and the other starts again from the new version.
-Readers take one manifest and see exactly its shards. Files that no manifest lists (a lost attempt) are never read.
+Readers take one manifest and see exactly its shards. Files that no manifest lists (a lost attempt) are never read;
+vacuum() removes them, and old versions, once they are older than a limit.
 
-The manifest and the shard sizes are all that the driver holds: one short line for each shard, none for rows. Merging
+The manifest keeps the schema of every shard. A version is read with the union of its shards' columns, so no file decides
+which columns there are; an append whose column has another type than before is refused before it is written.
+
+The manifest, sizes and row counts are all that the driver holds: one short line for each shard, none for rows. Merging
 coalesces the tier's own splits, so no row is shuffled.
 
-Defined cases: an empty append commits a version without new shards; nulls, repeated rows and extra columns are stored as
-they are; columns that a shard lacks read as null; a store without a version reads as an error.
+Defined cases: an append without rows commits a version without new shards (files without rows are not listed); nulls,
+repeated rows and extra columns are stored as they are; columns that a shard lacks read as null, before and after
+compaction; names that differ in case alone are one column; a store without shards reads as an error.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quadrille.storage import CommitConflict, Versions
 
 TARGET_BYTES, FANIN = 64 << 20, 4
 
 
-class CommitConflict(RuntimeError):
-    """Another writer committed the version first."""
+class SchemaConflict(ValueError):
+    """A column has another type than in the shards that are there."""
 
 
 @dataclass(frozen=True)
 class Shard:
     path: str
     n_bytes: int
+    n_rows: int
+    schema: str
+
+
+def union_type(a: T.DataType, b: T.DataType, name: str = "") -> T.DataType:
+    """A type that holds both: fields of structs are united, everything else must be equal."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name.lower(): f for f in a}
+        for f in b:
+            own = fields.get(f.name.lower())
+            fields[f.name.lower()] = f if own is None else T.StructField(own.name, union_type(own.dataType, f.dataType, own.name))
+        return T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(union_type(a.elementType, b.elementType, name))
+    if a != b:
+        raise SchemaConflict(f"{name}: {a.simpleString()} and {b.simpleString()}")
+    return a
+
+
+def union_schema(shards: list[Shard]) -> T.StructType:
+    distinct = dict.fromkeys(s.schema for s in shards)
+    return reduce(union_type, (T.StructType.fromJson(json.loads(x)) for x in distinct), T.StructType())
 
 
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanin: int = FANIN):
         self.spark, self.root, self.target, self.fanin = spark, root.rstrip("/"), target_bytes, fanin
-        hadoop = spark._jvm.org.apache.hadoop
-        self._path = hadoop.fs.Path
-        conf = spark._jsc.hadoopConfiguration()
-        self._files = self._path(self.root).getFileSystem(conf)
-        self._context = hadoop.fs.FileContext.getFileContext(self._files.getUri(), conf)
+        self.manifests = Versions(spark, f"{self.root}/manifests")
+        self._files, self._path = self.manifests.files, self.manifests.path
 
     def versions(self) -> list[int]:
-        folder = self._path(f"{self.root}/manifests")
-        if not self._files.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self._files.listStatus(folder)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+        return self.manifests.all()
 
     def shards(self, version: int | None = None) -> list[Shard]:
-        known = self.versions()
-        if not known and version is None:
+        version = self.manifests.latest() if version is None else version
+        if not version:
             return []
-        stream = self._files.open(self._path(f"{self.root}/manifests/{known[-1] if version is None else version:012d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return [Shard(**json.loads(line)) for line in text.splitlines()]
+        header, *lines = map(json.loads, self.manifests.read(version))
+        return [Shard(path, n_bytes, n_rows, header["schemas"][schema]) for path, n_bytes, n_rows, schema in lines]
 
     def _commit(self, base: int, shards: list[Shard]) -> int:
         """Makes shards the content of version base + 1, or raises CommitConflict."""
-        folder = f"{self.root}/manifests"
-        self._files.mkdirs(self._path(folder))
-        draft, final = self._path(f"{folder}/_{uuid.uuid4().hex}"), self._path(f"{folder}/{base + 1:012d}.json")
-        stream = self._files.create(draft, False)
-        stream.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards).encode()))
-        stream.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            self._context.rename(draft, final, options)  # without the option OVERWRITE: fails if it exists
-        except Py4JJavaError as e:
-            self._files.delete(draft, False)
-            if "FileAlreadyExists" in str(e.java_exception):
-                raise CommitConflict(f"version {base + 1} exists") from e
-            raise
+        schemas = list(dict.fromkeys(s.schema for s in shards))
+        lines = [{"schemas": schemas}, *([s.path, s.n_bytes, s.n_rows, schemas.index(s.schema)] for s in shards)]
+        self.manifests.commit(base + 1, map(json.dumps, lines))
         return base + 1
 
     def _written(self, df: DataFrame) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
-        files = self._files.listStatus(self._path(folder))
-        return [Shard(f.getPath().toString(), f.getLen()) for f in files if f.getPath().getName().endswith(".parquet")]
+        counted = self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"))
+        n_rows, schema = dict(map(tuple, counted.collect())), df.schema.json()
+        files = [(f.getPath(), f.getLen()) for f in self._files.listStatus(self._path(folder))]
+        return [Shard(p.toString(), size, n_rows[p.getName()], schema) for p, size in files if p.getName() in n_rows]
 
     def append(self, df: DataFrame) -> int:
         """Stores df's rows as new small shards; returns the version that has them."""
+        union_type(union_schema(self.shards()), df.schema)  # refused before it is written
         new = self._written(df)
         while True:
-            base = max(self.versions(), default=0)
+            base = self.manifests.latest()
+            live = self.shards(base)
+            union_schema(live + new)
             try:
-                return self._commit(base, self.shards() + new)
+                return self._commit(base, live + new)
             except CommitConflict:
                 continue
 
@@ -107,8 +122,8 @@ class ShardStore:
 
     def compact(self) -> int | None:
         """Merges every tier that has a run of FANIN shards or more; returns the new version, or None if no tier has."""
-        base = max(self.versions(), default=0)
-        live = self.shards()
+        base = self.manifests.latest()
+        live = self.shards(base)
         tiers: dict[int, list[Shard]] = {}
         for shard in live:
             tiers.setdefault(self.tier(shard), []).append(shard)
@@ -128,16 +143,35 @@ class ShardStore:
         while True:
             try:
                 if self.compact() is None:
-                    return max(self.versions(), default=0)
+                    return self.manifests.latest()
             except CommitConflict:
                 continue
 
     def _rows(self, shards: list[Shard]) -> DataFrame:
         """The shards' rows with the union of their columns."""
-        return self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in shards])
+        return self.spark.read.schema(union_schema(shards)).parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
         shards = self.shards(version)
         if not shards:
             raise ValueError(f"{self.root} has no shards")
         return self._rows(shards)
+
+    def vacuum(self, keep: int = 1, seconds: float = 7 * 86_400) -> int:
+        """Removes all versions but the newest `keep`, then the files that no version lists; of both only what is older
+        than `seconds`, since a writer may be about to commit it. Returns how many files it removed."""
+        before = (time.time() - seconds) * 1000
+        for version in self.versions()[: -max(1, keep)]:
+            manifest = self._path(self.manifests.name(version))
+            if self._files.getFileStatus(manifest).getModificationTime() < before:
+                self._files.delete(manifest, False)
+        listed = {s.path for v in self.versions() for s in self.shards(v)}
+        removed = 0
+        for folder in self._files.listStatus(self._path(f"{self.root}/data")) if self.versions() else ():
+            files = self._files.listStatus(folder.getPath())
+            gone = [f for f in files if f.getPath().toString() not in listed and f.getModificationTime() < before]
+            for f in gone:
+                removed += self._files.delete(f.getPath(), False)
+            if len(gone) == len(files) and folder.getModificationTime() < before:
+                self._files.delete(folder.getPath(), True)
+        return removed

@@ -1,17 +1,59 @@
-"""Columns that only some shards have are kept, before and after compaction."""
+"""Columns that only some shards have are kept, before and after compaction; files that nothing lists are removed."""
+
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm.common import scratch
-from quadrille.llm.sharding import ShardStore
+from quadrille.llm.sharding import SchemaConflict, ShardStore
+
+
+def test_new_and_missing_columns_survive_compaction(spark):
+    parts = {
+        "plain": spark.range(4).repartition(2),
+        "extra": spark.createDataFrame([(10, "a"), (11, None)], "id long, extra string").repartition(2),
+        "score": spark.createDataFrame([(20, 1.5, (1, None)), (21, None, None)], "ID long, score double, s struct<a: int, b: int>"),
+        "other": spark.createDataFrame([(30, (2, "c"))], "id long, s struct<a: int, c: string>"),
+    }
+    wide = {10: ("a", None, None, None), 20: (None, 1.5, 1, None), 30: (None, None, 2, "c")}
+    expected = {(i, *wide.get(i, (None,) * 4)) for i in [*range(4), 10, 11, 20, 21, 30]}
+
+    def found(store, version):
+        return {tuple(r) for r in store.read(version).select("id", "extra", "score", "s.a", "s.c").collect()}
+
+    for order in list(permutations(parts))[::5]:
+        store = ShardStore(spark, scratch(spark, "test"))
+        for name in order:
+            store.append(parts[name])
+        before = store.versions()[-1]
+        assert found(store, before) == expected
+        after = store.compact_fully()
+        assert after > before and found(store, after) == expected and found(store, before) == expected
+
+
+def test_an_append_without_rows_adds_no_shard(spark):
+    store = ShardStore(spark, scratch(spark, "test"))
+    store.append(spark.range(10).where("id < 5").repartition(3))
+    shards = store.shards()
+    assert sum(s.n_rows for s in shards) == 5
+    assert store.append(spark.range(0)) == 2 and store.shards() == shards
+
+
+def test_another_type_is_refused(spark):
+    store = ShardStore(spark, scratch(spark, "test"))
+    store.append(spark.range(3))
+    with pytest.raises(SchemaConflict, match="id"):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+    assert store.versions() == [1]
 
 
-def test_new_columns_survive_compaction(spark):
+def test_vacuum(spark):
     store = ShardStore(spark, scratch(spark, "test"))
-    store.append(spark.range(4).repartition(2))
-    store.append(spark.createDataFrame([(10, "a"), (11, None)], "id long, extra string").repartition(2))
-    store.append(spark.createDataFrame([(20, 1.5)], "id long, score double"))
-    expected = {(i, None, None) for i in range(4)} | {(10, "a", None), (11, None, None), (20, None, 1.5)}
-    found = lambda version: {tuple(r) for r in store.read(version).select("id", "extra", "score").collect()}
-    before = store.versions()[-1]
-    assert found(before) == expected
+    for i in range(5):
+        store.append(spark.range(10).withColumn("text", F.lit("x" * i)).coalesce(1))
     after = store.compact_fully()
-    assert after > before and found(after) == expected and found(before) == expected
+    spark.range(3).coalesce(1).write.parquet(f"{store.root}/data/lost")
+    assert store.vacuum() == 0 and store.read(1).count() == 10
+    assert store.vacuum(seconds=-60) >= 6
+    assert store.versions() == [after] and store.read().count() == 50 and store.vacuum(seconds=-60) == 0
