@@ -20,11 +20,14 @@ article in a named branch is an article, unless its own name agrees. Where branc
 without article, the words tell nothing there. Branches below LIMIT are removed, and the remaining blocks are joined in
 page order.
 
-The low branches come back to the pages as one list for each host, as long as its templates have such branches; Spark
-broadcasts the lists while they are small and otherwise joins by host.
-
-Defined cases: null or empty html gives the empty text; a null or malformed url is a host of its own; repeated pages each
-get a row; an empty table gives an empty table; extra columns are not read.
+Where the tree has little evidence, a branch's standing decides: inside an article or on a page without one it stays,
+elsewhere it goes. Only branches that the tree decides otherwise come back to the pages, as one list for each host. Each of
+them stands on 8 pages of the host at least (the priors see to that), so a list grows with a site's templates and not with
+classes that are made up for each page. Spark broadcasts the lists while they are small and otherwise joins by host.
+
+Defined cases: null or empty html gives the empty text; pages whose url is null or malformed are one host; repeated pages
+each get a row; equal pages are equal; a page is read in bounded parts of a batch, whatever its length; an empty table gives
+an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title "
     "tr ul".split()
 )
-HIDDEN = frozenset("script style noscript template textarea select option button iframe object svg canvas video audio math".split())
+HIDDEN = frozenset("script style noscript template iframe textarea select option button".split())  # the last four: form controls
 #: An element of the key ends open elements of the value that are directly above it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MAIN = frozenset({"article", "main"})
@@ -64,11 +67,17 @@ NOISE_WORDS = frozenset(
     "subscribe signup login share sharing social related recommended comment comments disqus respond reply replies".split()
 )
 
+#: Pages, and characters of their html, that become one batch.
+BATCH_PAGES, BATCH_CHARACTERS = 500, 1 << 21
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^\W_]+")
 
 
+#: Standings (see blocks) whose branches stay where the tree has little evidence.
+KEPT = "mp"
+
 #: How a branch is named for boilerplate: not at all, by a word, by its tag.
 UNNAMED, BY_WORD, BY_TAG = range(3)
 
@@ -151,30 +160,36 @@ _PARSED = "paths array<string>, texts array<string>, host string, page bigint, n
 
 
 def parse(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Every page with its blocks, its host, a hash of its article (or of all its texts), and what it adds to the host's tree: each text of a path ("c") and the child
-    sequence of a path ("s") once, `first` on one row per path and kind."""
+    """Every page with its blocks, its host, a hash of its article (or of all its texts), and what it adds to the host's
+    tree: each text of a path ("c") and the child sequence of a path ("s") once, `first` on one row per path and kind."""
     source = df.select(F.col(key), F.col(url), text_or_empty(html).alias("_html"))
+    names = [key, url, "paths", "texts", "host", "page", "nodes"]
+    node = pa.struct([("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("first", pa.bool_())])
+    kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int64(), pa.list_(node)]
+
+    def one(address: str | None, page: str) -> tuple:
+        own, sequences = blocks(page)
+        nodes, seen = [], set()
+        for path, text in own:
+            feature = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+            if (path, feature) not in seen:
+                nodes.append({"path": path[1:], "kind": "c", "feature": feature, "first": path not in seen})
+                seen |= {path, (path, feature)}
+        nodes += [{"path": p, "kind": "s", "feature": xxhash.xxh64_intdigest(c.encode()) - (1 << 63), "first": True} for p, c in sequences.items()]
+        article = "\n".join([t for p, t in own if p[0] == "m"] or [t for _, t in own])
+        return [p for p, _ in own], [t for _, t in own], host_of(address), xxhash.xxh64_intdigest(article.encode()) - (1 << 63), nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                rows = []
-                for address, page in zip(part.column(1), part.column(2), strict=True):
-                    own, sequences = blocks(str(page.as_py()))
-                    nodes, seen = [], set()
-                    for path, text in own:
-                        feature = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-                        if (path, feature) not in seen:
-                            nodes.append({"path": path[1:], "kind": "c", "feature": feature, "first": path not in seen})
-                            seen |= {path, (path, feature)}
-                    nodes += [{"path": p, "kind": "s", "feature": xxhash.xxh64_intdigest(c.encode()) - (1 << 63), "first": True} for p, c in sequences.items()]
-                    article = "\n".join([t for p, t in own if p[0] == "m"] or [t for _, t in own])
-                    rows.append(([p for p, _ in own], [t for _, t in own], host_of(address.as_py()), xxhash.xxh64_intdigest(article.encode()) - (1 << 63), nodes))
-                names = [key, url, "paths", "texts", "host", "page", "nodes"]
-                node = pa.struct([("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64()), ("first", pa.bool_())])
-                kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int64(), pa.list_(node)]
-                yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names)
+            lo, size, rows = 0, 0, []
+            for i, (address, page) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                html = str(page.as_py())
+                rows.append(one(address.as_py(), html))
+                size += len(html)
+                if size >= BATCH_CHARACTERS or len(rows) >= BATCH_PAGES or i + 1 == batch.num_rows:
+                    made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.record_batch([batch.column(c).slice(lo, len(rows)) for c in (0, 1)] + made, names)
+                    lo, size, rows = i + 1, 0, []
 
     schema = T.StructType([source.schema[key], source.schema[url], *T._parse_datatype_string(_PARSED).fields])
     return source.mapInArrow(run, schema)
@@ -212,17 +227,20 @@ def _importance(standing: str) -> Column:
     return NAMED_SHARE * mixed if standing == "x" else mixed
 
 
+def exceptions(parsed: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(host, turned): the branches of each host, with their standing, that the tree decides otherwise than standing does."""
+    turned = [leaves.where((_importance(s) < LIMIT) == F.lit(s in KEPT)).select("host", F.concat(F.lit(s), "path").alias("path")) for s in "nxmop"]
+    there = parsed.select("host", F.explode(F.array_distinct("paths")).alias("path")).distinct()
+    return reduce(DataFrame.union, turned).join(there, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("path").alias("turned"))
+
+
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     parsed = materialize(parse(df, key, url, html), "blocks")
     leaves = materialize(style_tree(parsed), "leaves")
-    low = [leaves.where(_importance(s) < LIMIT).select("host", F.concat(F.lit(s), "path").alias("path")) for s in "nxmop"]
-    there = parsed.select("host", F.explode(F.array_distinct("paths")).alias("path")).distinct()
-    listed = reduce(DataFrame.union, low).join(there, ["host", "path"], "left_semi").groupBy("host").agg(F.collect_set("path").alias("low"))
-    listed = materialize(listed, "low-branches")
+    listed = materialize(exceptions(parsed, leaves), "exceptions")
     placed = parsed.select(key, url, "host", "paths", "texts").join(listed, "host", "left")
-    block = F.arrays_zip("paths", "texts")
-    low_here = F.coalesce("low", F.array().cast("array<string>"))
-    keeps = lambda b: ~F.array_contains(low_here, b["paths"])
-    text = F.array_join(F.transform(F.filter(block, keeps), lambda b: b["texts"]), "\n\n")
+    turned = F.coalesce("turned", F.array().cast("array<string>"))
+    keeps = lambda b: F.substr(b["paths"], F.lit(1), F.lit(1)).isin(*KEPT) != F.array_contains(turned, b["paths"])
+    text = F.array_join(F.transform(F.filter(F.arrays_zip("paths", "texts"), keeps), lambda b: b["texts"]), "\n\n")
     return placed.select(key, url, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
