@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -63,6 +63,7 @@ class Merges:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
+    @cached_property
     def rank_of(self) -> dict[tuple[int, int], int]:
         return {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(r) for k, r in zip(self.keys[:-1], self.ranks[:-1], strict=True)}
 
@@ -144,8 +145,9 @@ def encode_lanes(pieces: list[bytes], size: int, merges: Merges) -> tuple[np.nda
     return ids.reshape(n, size + 1)[:, :size][alive], alive.sum(1)
 
 
-def encode_long(piece: bytes, merges: Merges, rank_of: dict[tuple[int, int], int]) -> np.ndarray:
+def encode_long(piece: bytes, merges: Merges) -> np.ndarray:
     """The same tree for one piece of any length."""
+    rank_of = merges.rank_of
     n = len(piece)
     size = 1 << max(1, (n - 1).bit_length())
     ids = merges.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
@@ -196,9 +198,8 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> Iterator[tuple[list[in
         by_size.setdefault(max(4, 1 << (len(piece) - 1).bit_length()) if piece else 4, []).append(i)
     for size, members in by_size.items():
         if size > LANE_BYTES:
-            rank_of = merges.rank_of()
             for i in members:
-                ids = encode_long(pieces[i], merges, rank_of)
+                ids = encode_long(pieces[i], merges)
                 yield [i], ids, np.array([len(ids)])
             continue
         for lo in range(0, len(members), lanes := max(1, LANE_CELLS // size)):

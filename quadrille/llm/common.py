@@ -1,14 +1,17 @@
-"""Helpers that the training-data operators share: shared scratch storage and table reading."""
+"""Helpers that the training-data operators share: shared storage, table reading, words and chunks of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.storage import checkpointed as materialize
+from quadrille.storage import shared_folder as scratch
+
+__all__ = ["WHITE_SPACE", "WORD", "chunks", "materialize", "scratch", "table", "text_or_empty", "words"]
+
 #: White space that separates words, as bytes 0x20 and 0x09-0x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session has none, as in tests on one machine, a temporary folder becomes it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quadrille-{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to shared storage and reads it back: lineage ends here, and size statistics are exact."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
