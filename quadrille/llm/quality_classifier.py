@@ -5,13 +5,16 @@ divided by its own size, is calibrated to a probability by a logistic curve that
 dictionary has seen.
 
 Learning uses labelled rows with crc32(key as text) mod 3 other than 1, and of these a bounded sample: the SAMPLE keys of
-each class that come first by their hash, without texts of more than LONGEST characters (whole texts, never parts). The
-keys are chosen from the labels alone; at most 2 * SAMPLE of them are sent to the scan of the texts.
+each class that come first by their hash, whatever the lengths of their texts. The keys are chosen from the labels alone;
+at most 2 * SAMPLE of them are sent to the scan of the texts. Half of them train the dictionaries: their texts, cut into
+pieces of PIECE characters, are drawn by hash, SAMPLE / 2 pieces a class, so that the driver holds a bounded sample however
+long a text is. The other half calibrate the curve by the differences of their whole texts, which executors compute.
 Scoring compresses every whole text. Labels, language, source and key are never inputs of a score.
 
 Defined cases: null and empty texts have difference 0 and so the curve's score at 0; without labelled rows of both
 classes every score is the smoothed share of good rows; a key labelled twice counts as good only if all its labels are;
-rows with a null key are scored, not held out; an empty table gives an empty table; extra columns are not read.
+a key that stands on several rows counts with each of them; rows with a null key are scored, not held out; an empty table
+gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import text_or_empty
+from quadrille.llm.common import materialize, text_or_empty
 
-#: Labelled keys of each class, and characters of a text, that learning takes at most.
-SAMPLE, LONGEST = 2500, 1 << 15
+#: Labelled keys of each class that learning takes at most, and characters of a piece of their texts.
+SAMPLE, PIECE = 2500, 1 << 15
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 FOLDS, HELD_OUT = 3, 1
 
@@ -93,22 +96,57 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(data)[:DICTIONARY_BYTES]
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(good, order, piece): the texts of rows (_id, good, text) in pieces, with the order in which they are drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                whole = str(text.as_py())
+                pieces = [whole[lo : lo + PIECE] for lo in range(0, len(whole), PIECE)]
+                if pieces:
+                    same = [batch.column(c).take(pa.array([i] * len(pieces))) for c in (0, 1)]
+                    yield pa.record_batch([*same, pa.array(range(len(pieces)), pa.int64()), pa.array(pieces)], names)
+
+    names = ["_id", "good", "at", "piece"]
+    schema = T.StructType([rows.schema["_id"], rows.schema["good"], T.StructField("at", T.LongType()), T.StructField("piece", T.StringType())])
+    return rows.select("_id", "good", "text").mapInArrow(run, schema).select("good", F.xxhash64("_id", "at").alias("order"), "piece")
+
+
+def _differences(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """(good, order, x): the difference of every whole text of rows (order, good, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = differences([str(t.as_py()) for t in batch.column(2)], good, bad)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.float64())], ["good", "order", "x"])
+
+    schema = T.StructType([rows.schema["good"], rows.schema["order"], T.StructField("x", T.DoubleType())])
+    return rows.select("good", "order", "text").mapInArrow(run, schema)
+
+
+def _drawn(df: DataFrame, n: int, *order: str) -> list[list]:
+    """The first n rows of each class, in that order: good ones, then bad ones."""
+    return [df.where(F.col("good") == good).orderBy(*order).limit(n).collect() for good in (True, False)]
+
+
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
     marks = marks.where(fold("_id") != HELD_OUT).withColumn("order", F.xxhash64("_id", F.lit("sample")))
     first = [marks.where(F.col("good") == good).orderBy("order", "_id").limit(SAMPLE) for good in (True, False)]
-    source = df.select(F.col(key).alias("_id"), text_or_empty(text).alias("text")).where(F.length("text").between(1, LONGEST))
-    rows = source.join(F.broadcast(first[0].union(first[1])), "_id")  # at most 2 * SAMPLE keys
-    sample = sorted(rows.dropDuplicates(["_id"]).collect(), key=lambda r: (r["order"], r["_id"]))
-    learn, check = ([r for r in sample if (r["order"] & 1) == side] for side in (0, 1))
-    counts = [sum(r["good"] == g for r in part) for part in (learn, check) for g in (True, False)]
-    total = sum(r["good"] for r in sample)
-    if min(counts) == 0:
-        share = (total + 1) / (len(sample) + 2)
+    source = df.select(F.col(key).alias("_id"), text_or_empty(text).alias("text")).where(F.col("text") != "")
+    rows = materialize(source.join(F.broadcast(first[0].union(first[1])), "_id"), "sample")  # at most 2 * SAMPLE keys
+    learn, check = (rows.where(F.col("order") % 2 == 0), rows.where(F.col("order") % 2 != 0))
+    texts = [[r["piece"] for r in own] for own in _drawn(_pieces(learn), SAMPLE // 2, "order", "piece")]
+    held = {r["good"]: r["n"] for r in check.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    if not all(texts) or len(held) < 2:
+        n_good, n = rows.where("good").count(), rows.count()
+        share = (n_good + 1) / (n + 2)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    good, bad = (_dictionary([r["text"] for r in learn if r["good"] == g]) for g in (True, False))
-    x = differences([r["text"] for r in check], good, bad)
-    return Model(good, bad, *_curve(x, np.array([float(r["good"]) for r in check])))
+    good, bad = map(_dictionary, texts)
+    drawn = _drawn(_differences(check, good, bad), SAMPLE, "order", "x")
+    x, y = zip(*((r["x"], float(r["good"])) for own in drawn for r in own), strict=True)
+    return Model(good, bad, *_curve(np.array(x), np.array(y)))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
