@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,16 +65,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp long): the SimHash of every whole text, its 64 bits as a signed number."""
-    source = df.select(F.col(key), text_or_empty(text).alias("_text"))
+def fingerprints(df: DataFrame, *keep: str | Column, text: str = "text") -> DataFrame:
+    """(*keep, fp long): the SimHash of every whole text, its 64 bits as a signed number."""
+    source = df.select(text_or_empty(text).alias("_text"), *keep)
+    names = [*source.columns[1:], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(str(x.as_py())) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(values)], [key, "fp"])
+            values = np.array([fingerprint(str(x.as_py())) for x in batch.column(0)], np.uint64).view(np.int64)
+            yield pa.record_batch([*batch.columns[1:], pa.array(values)], names)
 
-    return source.mapInArrow(run, T.StructType([source.schema[key], T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def _signed(mask: int) -> int:
@@ -155,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, fingerprint, component_id): every row's fingerprint as 16 hex digits and the least key of its component."""
-    prints = materialize(fingerprints(df, key, text), "fingerprints")
+    prints = materialize(fingerprints(df, key, text=text), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     rooted = materialize(components(links(nodes.select("fp"), radius)).join(nodes, "fp"), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
@@ -167,10 +168,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df that stand for their near-duplicate group: those whose key is the group's least.
+    """One row of each near-duplicate group: the one with the least key (a null key comes last), then the least address.
 
-    Only keys are joined back; of rows that share the least key all stay, and rows with a null key always stay.
+    A row's address is a hash of its key and its text, so that a null key, or a key that stands on several texts, is no
+    other row's. Rows that are equal in both are one row. Only addresses are joined back to the rows.
     """
-    groups = near_duplicates(df.select(key, text), key, text, radius)
-    later = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later")).distinct()
-    return df.join(materialize(later, "later"), F.col(key) == F.col("_later"), "left_anti")
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    named = F.coalesce(F.concat(F.lit("k"), F.col(own[key]).cast("string")), F.lit("n"))
+    address = F.unhex(F.md5(F.concat_ws("\n", named, text_or_empty(own[text])))).alias("_address")
+    rows = df.select(*[F.col(c).alias(o) for c, o in own.items()])
+    prints = materialize(fingerprints(rows, own[key], address, text=own[text]), "fingerprints")
+    rooted = materialize(components(links(prints.select("fp").distinct(), radius)), "rooted")
+    place = F.struct(F.col(own[key]).isNull().alias("unnamed"), F.col(own[key]).alias("key"), "_address")
+    copies = prints.groupBy("fp", "_address").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    groups = materialize(copies.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
+    first = groups.groupBy("root").agg(F.min("place").alias("first"))
+    judged = groups.join(first, "root").select("_address", "n", F.col("place").eqNullSafe(F.col("first")).alias("stays"))
+    later = materialize(judged.where("not stays").select("_address"), "later")
+    repeated = materialize(judged.where("stays and n > 1").select("_address"), "repeated")
+    addressed = rows.select("*", address)
+    once = addressed.join(later.union(repeated), "_address", "left_anti")
+    again = addressed.join(repeated, "_address", "left_semi").dropDuplicates(["_address"])
+    return once.unionByName(again).select(*[F.col(o).alias(c) for c, o in own.items()])
