@@ -8,10 +8,12 @@ between the two the blob is scanned again, and equal findings count once.
 
 Matches are leftmost and not overlapping, per rule; a match whose measured part is too short is dropped after matching.
 Positions are code points, end exclusive: the lengths of the stretches between matches and of the matches, summed in
-order (a window over one blob's matches, so linear however many there are).
+order (a window over one blob's matches, so linear however many there are). The ledger keeps positions in bytes as well,
+with which redaction cuts a text without counting its characters again for each span.
 
 Defined cases: a null text is scanned as the empty text; equal texts are scanned once and reported for every row; null
-and repeated keys pass through row by row; an empty table gives an empty table; extra columns are not read.
+and repeated keys pass through row by row; an empty table gives an empty table; extra columns are not read, and redact()
+returns them whatever their names are.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def _exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _matches(text: Column, rule: Rule) -> Column:
-    """array<struct<gap, length, measured>>: what stands before each match, the match, its measured part, as lengths."""
+    """array<struct<gap, length, measured, gap_bytes, length_bytes>>: the lengths of what stands before each match, of the
+    match, and of its measured part."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
@@ -71,11 +74,18 @@ def _matches(text: Column, rule: Rule) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
     )
     matched = F.filter(parts, lambda x: x["found"].isNotNull())  # the last stretch has no match after it
-    return F.transform(matched, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["found"]).alias("length"), F.length(x["part"]).alias("measured")))
+    sizes = lambda x: F.struct(
+        F.length(x["gap"]).alias("gap"),
+        F.length(x["found"]).alias("length"),
+        F.length(x["part"]).alias("measured"),
+        F.octet_length(x["gap"]).alias("gap_bytes"),
+        F.octet_length(x["found"]).alias("length_bytes"),
+    )
+    return F.transform(matched, sizes)
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob_id, rule, kind, start, end) of blobs (blob_id, text, todo array<string> of rule ids)."""
+    """(blob_id, rule, kind, start, end, first_byte, end_byte) of blobs (blob_id, text, todo array<string> of rule ids)."""
     text = F.col("text")
     kinds = []
     for rule in rules:
@@ -85,8 +95,10 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = hit.select("blob_id", "k.rule", "k.kind", "k.least", F.posexplode("k.m").alias("i", "m"))
     upto = Window.partitionBy("blob_id", "rule").orderBy("i")
     ended = F.sum(F.col("m.gap") + F.col("m.length")).over(upto)
-    spans = rows.select("blob_id", "rule", "kind", "least", "m", ended.alias("end"))
-    return spans.where(F.col("m.measured") >= F.col("least")).select("blob_id", "rule", "kind", (F.col("end") - F.col("m.length")).alias("start"), "end")
+    ended_bytes = F.sum(F.col("m.gap_bytes") + F.col("m.length_bytes")).over(upto)
+    spans = rows.select("blob_id", "rule", "kind", "least", "m", ended.alias("end"), ended_bytes.alias("end_byte"))
+    start, first_byte = F.col("end") - F.col("m.length"), F.col("end_byte") - F.col("m.length_bytes")
+    return spans.where(F.col("m.measured") >= F.col("least")).select("blob_id", "rule", "kind", start.alias("start"), "end", first_byte.alias("first_byte"), "end_byte")
 
 
 def addressed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,7 +106,8 @@ def addressed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def update_ledger(df: DataFrame, ledger: str, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scans what the ledger at that path has not seen; returns the ledger's findings (blob_id, kind, start, end) of `rules`."""
+    """Scans what the ledger at that path has not seen; returns the ledger's findings (blob_id, kind, start, end,
+    first_byte, end_byte) of `rules`."""
     spark = df.sparkSession
     every = F.array(*[F.lit(r.id) for r in rules])
     versions = addressed(df, key, text).select("blob_id", "text")
@@ -109,7 +122,7 @@ def update_ledger(df: DataFrame, ledger: str, key: str = "doc_id", text: str = "
     scan(unseen, rules).write.mode("append").parquet(f"{ledger}/findings")
     due.select("blob_id", "todo").distinct().select("blob_id", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
     found = spark.read.parquet(f"{ledger}/findings")
-    return found.where(F.col("rule").isin([r.id for r in rules])).select("blob_id", "kind", "start", "end").distinct()
+    return found.where(F.col("rule").isin([r.id for r in rules])).drop("rule").distinct()
 
 
 def _listed(spans: Column) -> Column:
@@ -137,16 +150,18 @@ def report(found: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULE
 def redact(df: DataFrame, ledger: str, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with every found span of its text replaced by `mask`; overlapping spans become one. Null texts stay null."""
     findings = update_ledger(df, ledger, key, text, rules)
-    by_blob = materialize(findings.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_found")), "spans")
-    body = F.col(text)
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substr(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)))
-        return F.struct(before.otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    finish = lambda acc: F.concat(acc["done"], F.substr(body, (acc["at"] + 1).cast("int")))
-    clean = F.when(F.col("_found").isNull(), body).otherwise(F.aggregate("_found", start, step, finish))
-    marked = df.withColumn("_blob", F.unhex(F.sha2(text_or_empty(text), 256)))
-    joined = marked.join(by_blob.withColumnRenamed("blob_id", "_blob"), "_blob", "left")
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in df.columns])
+    # What stays before a span: from the end of all spans before it, if that is not beyond its start.
+    before = Window.partitionBy("blob_id").orderBy("first_byte", "end_byte", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = findings.withColumn("at", F.coalesce(F.max("end_byte").over(before), F.lit(0)))
+    gap = F.when(F.col("first_byte") >= F.col("at"), F.struct("at", (F.col("first_byte") - F.col("at")).alias("n")))
+    by_blob = gaps.groupBy("blob_id").agg(F.sort_array(F.collect_list(gap)).alias("gaps"), F.max("end_byte").alias("tail"))
+    by_blob = materialize(by_blob, "spans")
+    own = {c: f"_own_{i}" for i, c in enumerate(df.columns)}
+    body = F.col(own[text])
+    data = body.cast("string").cast("binary")
+    stretch = lambda at, n: F.substr(data, (at + 1).cast("int"), n.cast("int")).cast("string")
+    kept = F.concat(F.transform("gaps", lambda g: stretch(g["at"], g["n"])), F.array(stretch(F.col("tail"), F.octet_length(data) - F.col("tail"))))
+    clean = F.when(F.col("gaps").isNull(), body).otherwise(F.array_join(kept, mask))
+    rows = df.select(*[F.col(c).alias(o) for c, o in own.items()], F.unhex(F.sha2(text_or_empty(text), 256)).alias("blob_id"))
+    joined = rows.join(by_blob, "blob_id", "left")
+    return joined.select(*[(clean if c == text else F.col(o)).alias(c) for c, o in own.items()])

@@ -62,7 +62,7 @@ def test_bpe_of_any_text(text):
 @given(st.lists(st.sampled_from([b"a", b"b", b"th", b"e ", b"ing", "é".encode()]), min_size=1, max_size=60).map(b"".join))
 def test_lanes_and_long_pieces_use_one_tree(piece):
     merges = bpe.merges_of_ranks(RANKS)
-    alone = bpe.encode_long(piece, merges, merges.rank_of()).astype("<u4").tobytes()
+    alone = bpe.encode_long(piece, merges).astype("<u4").tobytes()
     assert bpe.packed_ids([piece], merges) == [alone]
 
 
@@ -235,8 +235,62 @@ def test_cutoffs_keep_their_guarantee(spark):
     found = quality_rules.assess(df, df.select("doc_id", "quality"), "doc_id").join(df, "doc_id")
     shares = {(r["lang"], r["quality"]): r["share"] for r in found.groupBy("lang", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("share")).collect()}
     assert shares["a", 1] <= quality_rules.ALPHA and shares["b", 1] <= quality_rules.ALPHA and shares["a", 0] > 0.9
-    kept = quality_rules.keep_good(df.withColumn("kept", F.lit("own")), df.select("doc_id", "quality"))
-    assert kept.columns == [*df.columns, "kept"] and kept.count() == found.where("kept").count()
+    clashing = df.withColumn("kept", F.lit("own")).withColumn("n_words", F.lit("own")).withColumn("_text", F.lit("own")).withColumn("text_hash", F.lit("own"))
+    kept = quality_rules.keep_good(clashing, df.select("doc_id", "quality"))
+    assert kept.columns == clashing.columns and kept.select("n_words").distinct().collect() == [("own",)] and kept.count() == found.where("kept").count()
+
+
+def brute_cutoffs(rows, alpha, delta):
+    """Stratum -> cutoff, or None, from labelled texts as dicts, with exact quantiles and tails."""
+    from math import ceil, comb
+
+    quantile = lambda values, q: sorted(values)[max(1, ceil(q * len(values))) - 1]
+    tail = lambda k, n: sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1))
+    value = lambda r: {
+        "symbols": r["n_symbols"] / max(r["word_chars"], 1), "repeats": r["n_repeat_words"] / max(r["n_words"], 1), "lines": r["n_dup_lines"] / max(r["n_lines"], 1),
+        "echoes": r["n_echoes"] / max(r["n_words"], 1), "length": r["word_chars"] / max(r["n_words"], 1), "shouts": r["n_capitals"] / max(r["word_chars"], 1),
+    }
+    strata, out = sorted({r["_stratum"] for r in rows}), {}
+    folds = {s: {(f, g): [value(r) for r in rows if (r["_stratum"], r["fold"], r["good"]) == (s, f, g)] for f in (0, 1) for g in (True, False)} for s in strata}
+    tested = [s for s in strata if folds[s][0, True] and folds[s][0, False] and folds[s][1, True]]
+    for s in tested:
+        units = {m: max(quantile([v[m] for v in folds[s][0, True]], 0.99), 0.005) for m in folds[s][0, True][0]}
+        excess = lambda v, units=units: max(v[m] / u for m, u in units.items())
+        out[s] = None
+        held = [excess(v) for v in folds[s][1, True]]
+        for step in reversed(quality_rules.STEPS):
+            cut = quantile([excess(v) for v in folds[s][0, False]], step)
+            k = sum(x >= cut for x in held)
+            if k >= len(held) * alpha or tail(k, len(held)) > delta / len(tested):
+                break
+            out[s] = cut
+    return out
+
+
+def test_cutoffs_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        stratum, good = "abc"[i % 3], bool(rng.random() < 0.8)
+        n = int(rng.integers(30, 300))
+        noise = float(rng.beta(2, 5)) if good else float(rng.beta(5, 4))
+        rows.append((i, stratum, i, False, n, 5 * n, int(noise * n * (0.1 if good else 1)), int(rng.integers(0, 3)), 0, 20, int(noise * 8), int(5 * n * noise * 0.3)))
+    schema = "doc_id long, lang string, text_hash long, base_failed boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_echoes long, n_capitals long"
+    goods = spark.createDataFrame([(r[0], int(r[6] < r[4] * 0.1)) for r in rows], "doc_id long, quality int")
+    measured = spark.createDataFrame(rows, schema)
+    for alpha in (0.01, 0.05):
+        found = {r._stratum: r._cut for r in quality_rules.thresholds(measured, goods, alpha=alpha).collect()}
+        want = brute_cutoffs([r.asDict() for r in quality_rules.labelled(measured, goods).collect()], alpha, quality_rules.DELTA)
+        assert found == pytest.approx(want) and (alpha < 0.05 or all(c is not None for c in want.values()))
+
+
+def test_copies_count_once(spark):
+    rows = [(i, "same text " * 3 + ("a" if i < 500 else f"{i}")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    measured = quality_rules.measure(df)
+    marks = spark.createDataFrame([(i, int(i != 3), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    found = quality_rules.labelled(measured.withColumn("base_failed", F.lit(False)), marks).collect()
+    assert len(found) == 101 and sum(not r.good for r in found) == 1
 
 
 def test_exact_binomial_tail(spark):
@@ -289,11 +343,64 @@ def test_the_ledger_scans_only_what_is_new(spark, monkeypatch):
     assert found[0].spans == "more:0:8"
 
 
+def test_texts_of_more_than_a_run(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    whole = "".join(rng.choice(["word ", "naïve ", "12 ", "\n\n", "a" * 200, "漢字", "<|endoftext|>"], 300_000))
+    assert len(whole) > 4 * bpe.RUN_PIECES
+    found = by_key(bpe.digests(documents(spark, [whole, "short"]), RANKS, P.PATTERN))
+    ids = ENCODING.encode_ordinary(whole)
+    assert (found[0].n_tokens, found[0].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    counted = by_key(token_counts.count_tokens(documents(spark, [whole, "short"]), JSON, P.PATTERN))
+    assert counted[0].n_tokens == len(LIBRARY.encode(whole, add_special_tokens=False).ids)
+
+
+def test_vocabularies_that_tiktoken_would_merge_otherwise(tmp_path):
+    import json
+
+    token_blocks.check_vocabulary(JSON)
+    spec = json.load(open(JSON, encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    merges[5], merges[6] = merges[6], merges[5]
+    (tmp_path / "order.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="order"):
+        token_blocks.check_vocabulary(str(tmp_path / "order.json"))
+
+
+def test_a_key_on_many_rows(spark):
+    texts = [f"text {i % 50} " * 20 for i in range(2000)]
+    path = scratch(spark, "test")
+    token_blocks.write(documents(spark, texts, [7] * 2000), path, JSON, P.PATTERN)
+    found = sorted(token_blocks.read(spark, path).collect(), key=lambda r: r["start"])
+    counts = Counter(zlib.crc32(np.array([*LIBRARY.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts)
+    assert Counter(zlib.crc32(r["ids_le32"]) for r in found) == counts
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+
+
+def test_one_row_of_each_group(spark):
+    base, other = " ".join(f"word{i}" for i in range(400)), " ".join(f"other{i}" for i in range(50))
+    rows = [(None, base), (None, base + " tail"), (5, base), (5, base), (5, base), (9, other), (9, base + " more"), (None, "quite alone here"), (None, "quite alone here"), (None, None), (3, "")]
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, _later string, _address string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(5, base), (9, other), (None, "quite alone here"), (3, "")], key=str)
+
+
 def test_redaction(spark):
     texts = ["x token=abcdefgh1 y", "password=" + "0123456789abcdef" * 2, None, "clean", "é AKIAABCDEFGHIJKLM"]
     found = by_key(secrets.redact(documents(spark, texts), scratch(spark, "test")))
     assert [found[i].text for i in range(5)] == ["x [SECRET] y", "[SECRET]", None, "clean", "é [SECRET]"]
     assert found[0].N_TOKENS == 1
+    clashing = spark.createDataFrame([(1, "é🙂 token=abcdefgh1,", "a", "b", "c")], "doc_id long, text string, _blob string, _found string, blob_id string")
+    row = secrets.redact(clashing, scratch(spark, "test")).first()
+    assert tuple(row) == (1, "é🙂 [SECRET],", "a", "b", "c")
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    many = "ü token=abcdefgh1 " * 3000
+    both = "password=" + "0123456789abcdef" * 2 + " é " + "eyJ" + "a" * 40 + "." + "eyJ" + "b" * 40 + "." + "c" * 40
+    found = by_key(secrets.redact(documents(spark, [many, both, "token=abcdefgh" * 2]), scratch(spark, "test")))
+    assert found[0].text == "ü [SECRET] " * 3000 and found[1].text == "[SECRET] é [SECRET]"
+    assert found[2].text == "[SECRET]"
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p><!--";</script></head><body class="home"><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
@@ -341,6 +448,26 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.score(odd, model).first()["held_out"] is False
 
 
+def test_classifier_on_the_drivers_labels(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    df, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality_classifier.score(df, quality_classifier.fit(df, marks)).join(marks, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert len(bad) > 10 and auc > 0.9
+
+
+def test_classifier_takes_long_texts_and_ties(spark):
+    texts = ["river stone garden " * (20 if i else 20_000) if i % 2 else "win$$ free*** " * (20 if i > 10 else 20_000) for i in range(60)]
+    df, marks = documents(spark, texts), labels(spark, [(i, i % 2, 0) for i in range(60)])
+    found = by_key(quality_classifier.score(df, quality_classifier.fit(df, marks)))
+    assert all(found[i].predicted == i % 2 for i in range(60))
+
+
 def test_sharding(spark):
     store = ShardStore(spark, scratch(spark, "test"), target_bytes=1 << 20)
     for i in range(5):
