@@ -9,14 +9,14 @@ starts, so part of a segment can be read without the rest.
 Block layout, little endian: minimum u32, width u8, exceptions u16, packed differences (64 * width bytes; the last block
 is filled with its minimum), exception positions u16 each, exception differences u32 each.
 
-Texts are encoded where they are read, and their ids (2 bytes each where the vocabulary allows it) are written to shared
-storage; only ids are then ordered by key and packed. Rows with equal keys are dealt by a hash, so that a key on many rows
-does not end up in one task.
+Texts are dealt by ranges of keys and encoded there: their ids take as much room as they do (2 bytes for about as many
+characters), so that encoding first would move no less and write the ids once more. Rows with equal keys are dealt by a
+hash, so that a key on many rows does not end up in one task.
 
 A shard is one writing task, so a lost executor's shard is written again by the same plan. Segments carry their own
 order; nothing depends on file names or on how Spark splits the files when reading.
 
-Defined cases: a null text has only its end id; documents with equal keys are ordered by a hash of their ids; null keys
+Defined cases: a null text has only its end id; documents with equal keys are ordered by a hash of their texts; null keys
 come first; an empty table gives an empty dataset, which reads as an empty table; columns other than key and text are not
 read.
 """
@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm.bpe import packed_ids
-from quadrille.llm.common import materialize, text_or_empty
+from quadrille.llm.common import text_or_empty
 from quadrille.llm.token_counts import load
 
 BLOCK = 512
-#: Ids of a segment and of a shard, about.
-SEGMENT, SHARD = 1 << 18, 1 << 25
+#: Ids of a segment, about.
+SEGMENT = 1 << 18
 #: Share of a block's values that the packed width must hold.
 PERCENTILE = 0.95
 
@@ -185,37 +185,14 @@ def encode(text: str, encoding: tiktoken.Encoding, pattern: str) -> np.ndarray:
     return np.array(parts[0] if len(parts) == 1 else [i for part in parts for i in part], np.uint32)
 
 
-def encode_rows(df: DataFrame, tokenizer: str, pattern: str, end_id: int, width: int, key: str, text: str) -> DataFrame:
-    """(key, ids binary): every text's ids and `end_id`, little endian, `width` bytes each."""
-    source = df.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoder(tokenizer, pattern)
-        end = np.array([end_id], f"<u{width}").tobytes()
-        for batch in batches:
-            lo, size, held = 0, 0, []
-            for i, value in enumerate(batch.column(1)):
-                held.append(encode(str(value.as_py()), encoding, pattern).astype(f"<u{width}").tobytes() + end)
-                size += len(held[-1])
-                if size >= 1 << 23 or i + 1 == batch.num_rows:  # bounded output batches
-                    yield pa.record_batch([batch.column(0).slice(lo, len(held)), pa.array(held, pa.binary())], ["key", "ids"])
-                    lo, size, held = i + 1, 0, []
-
-    return source.mapInArrow(run, T.StructType([source.schema["key"], T.StructField("ids", T.BinaryType())]))
-
-
 def write(df: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Writes every text's ids and `end_id`, in ascending key order, as a dataset at `path` on shared storage."""
     check_vocabulary(tokenizer)
-    width = 2 if max(_encoder(tokenizer, pattern).max_token_value, end_id) < 1 << 16 else 4
-    encoded = materialize(encode_rows(df, tokenizer, pattern, end_id, width, key, text), "ids")
-    total = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // width
-    # Shards of SHARD ids; of less if the session runs more tasks at once, but of a segment at least.
-    partitions = max(1, total // SHARD, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SEGMENT))
-    order = ["key", F.xxhash64("ids"), F.monotonically_increasing_id()]
-    ordered = encoded.select("key", "ids", *[c.alias(f"_{i}") for i, c in enumerate(order[1:])]).repartitionByRange(partitions, "key", "_0", "_1")
-    ordered = ordered.sortWithinPartitions("key", "_0", "_1").select("key", "ids")
-    kind = encoded.schema["key"].dataType
+    source = df.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    order = {"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()}
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = source.withColumns(order).repartitionByRange(partitions, "key", *order).sortWithinPartitions("key", *order).select("key", "text")
+    kind = source.schema["key"].dataType
     schema = T.StructType(
         [
             T.StructField("shard", T.IntegerType()),
@@ -230,32 +207,31 @@ def write(df: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoder(tokenizer, pattern)
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
+        end = np.array([end_id], np.uint32)
         keys: list[pa.Array] = []
-        parts: list[bytes] = []
+        arrays: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), f"<u{width}").astype(np.uint32)
+            ids = np.concatenate(arrays)
             starts, payload = pack(ids)
-            firsts = np.cumsum([0, *map(len, parts[:-1])]) // width
+            firsts = np.cumsum([0, *map(len, arrays[:-1])])
             held = pa.concat_arrays(keys)
             row = [[shard], [segment], [before], [len(ids)], pa.ListArray.from_arrays([0, len(held)], held), [firsts], [starts], [payload]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([x if k is None else pa.array(x, k) for x, k in zip(row, kinds, strict=True)], schema.names)
 
         for batch in batches:
-            lo = 0
-            for i, ids in enumerate(batch.column(1)):
-                parts.append(ids.as_py())
-                size += len(parts[-1]) // width
-                if size >= SEGMENT or i + 1 == batch.num_rows:
-                    keys.append(batch.column(0).slice(lo, i + 1 - lo))
-                    lo = i + 1
+            for i, value in enumerate(batch.column(1)):
+                keys.append(batch.column(0).slice(i, 1))
+                arrays.append(np.append(encode(str(value.as_py()), encoding, pattern), end))
+                size += len(arrays[-1])
                 if size >= SEGMENT:
                     yield close()
-                    segment, before, keys, parts, size = segment + 1, before + size, [], [], 0
-        if parts:
+                    segment, before, keys, arrays, size = segment + 1, before + size, [], [], 0
+        if arrays:
             yield close()
 
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
