@@ -5,10 +5,12 @@ Null stands for an unbound variable and for an error alike; SQL's three-valued A
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadrille.terms import NUMERIC, XSD
+from quadrille.terms import INTEGERS, NUMERIC, XSD
 
 _NUMERIC = [XSD[n][1:-1] for n in NUMERIC]
 _STRING = XSD.string[1:-1]
@@ -36,7 +38,7 @@ def same_term(a: Column, b: Column) -> Column:
 
 def lexical(key: Column) -> Column:
     """A literal's unescaped text, or an IRI's text; null for blank nodes (STR)."""
-    inner = F.regexp_extract(key, r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
+    inner = F.regexp_extract(key, r'(?s)^"((?:[^"\\]++|\\.)*+)"', 1)
     hidden = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
     for escaped, plain in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
         hidden = F.replace(hidden, F.lit(escaped), F.lit(plain))
@@ -91,21 +93,51 @@ def string(key: Column) -> Column:
 
 
 def effective_boolean(key: Column) -> Column:
-    number = numeric(key)
-    return F.coalesce(boolean(key), (number != 0) & ~F.isnan(number), F.length(string(key)) > 0)
+    """EBV: booleans, numbers other than 0 and NaN, texts that are not empty; null for other terms."""
+
+    def truth(x: Column) -> Column:
+        number, text, boolean_, _ = _values_of(x, "a")
+        return F.coalesce(boolean_, (number != 0) & ~F.isnan(number), F.length(text) > 0)
+
+    return _bound(_parts(a=key), truth)
+
+
+def _bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of a struct of the values, each computed once however often body reads it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), 1)
+
+
+def _parts(**keys: Column) -> dict[str, Column]:
+    """Of each key: itself, its text and its datatype."""
+    return {f"{n}{part}": value for n, key in keys.items() for part, value in (("", key), ("_text", lexical(key)), ("_type", datatype(key)))}
+
+
+def _value(x: Column, n: str, types: list[str], kind: str) -> Column:
+    return F.when(x[f"{n}_type"].isin(types), x[f"{n}_text"].try_cast(kind))
+
+
+def _values_of(x: Column, n: str) -> list[Column]:
+    """A bound key's value as a number, a text, a boolean and an instant; all but one are null."""
+    truth = F.when(x[f"{n}_type"] == XSD.boolean[1:-1], F.when(x[f"{n}_text"].isin("true", "1"), True).when(x[f"{n}_text"].isin("false", "0"), False))
+    return [_value(x, n, _NUMERIC, "double"), _value(x, n, [_STRING], "string"), truth, _value(x, n, [XSD.dateTime[1:-1], XSD.date[1:-1]], "timestamp")]
 
 
 def equal(a: Column, b: Column) -> Column:
     """"=" of keys: by value for numbers, booleans and dates; equal terms are equal; literals of other types that differ
     as terms are an error (null)."""
-    by_value = F.coalesce(numeric(a) == numeric(b), boolean(a) == boolean(b), instant(a) == instant(b), string(a) == string(b))
-    unknown = is_literal(a) & is_literal(b) & (lang(a) == "") & (lang(b) == "")
-    return F.when(a == b, True).otherwise(F.coalesce(by_value, F.when(~unknown, a == b)))
+
+    def compared(x: Column) -> Column:
+        by_value = F.coalesce(*[v == w for v, w in zip(_values_of(x, "a"), _values_of(x, "b"), strict=True)])
+        unknown = x["a_type"].isNotNull() & x["b_type"].isNotNull()  # literals without a language
+        same = x["a"] == x["b"]
+        return F.when(same, True).otherwise(F.coalesce(by_value, F.when(~unknown, same)))
+
+    return _bound(_parts(a=a, b=b), compared)
 
 
 def less(a: Column, b: Column) -> Column:
     """"<" of keys: numbers, texts, booleans, dates; null for what does not compare."""
-    return F.coalesce(numeric(a) < numeric(b), string(a) < string(b), boolean(a) < boolean(b), instant(a) < instant(b))
+    return _bound(_parts(a=a, b=b), lambda x: F.coalesce(*[v < w for v, w in zip(_values_of(x, "a"), _values_of(x, "b"), strict=True)]))
 
 
 def order_key(key: Column) -> list[Column]:
@@ -119,3 +151,107 @@ def divide(a: Column, b: Column) -> Column:
     a, b = a.cast("double"), b.cast("double")
     by_zero = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
     return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+# Arithmetic and aggregates of term keys. Numbers are promoted: integer, decimal, float, double. Integers are exact to 37
+# digits, decimals to 18 places; what does not fit is an error (null), as is an operand that is not a number.
+
+_KINDS = ["integer", "decimal", "float", "double"]
+_INTEGERS = [XSD[n][1:-1] for n in INTEGERS]
+
+
+def _kind(x: Column, n: str) -> Column:
+    """Of a bound key: 0 for integers of any type, 1 decimals, 2 floats, 3 doubles; null for what is not a number."""
+    type_ = x[f"{n}_type"]
+    rank = F.when(type_.isin(_INTEGERS), 0)
+    for i, name in enumerate(_KINDS[1:], 1):
+        rank = rank.when(type_ == XSD[name][1:-1], i)
+    return F.when(x[f"{n}_text"].try_cast("double").isNotNull(), rank)
+
+
+def numeric_kind(key: Column) -> Column:
+    """0 for integers of any type, 1 decimals, 2 floats, 3 doubles; null for what is not a number of its type."""
+    return _bound(_parts(a=key), lambda x: _kind(x, "a"))
+
+
+def _number(kind: Column, whole: Column, decimal: Column, double: Column) -> Column:
+    """The key of a number of that kind."""
+    plain = F.regexp_replace(F.regexp_replace(decimal.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    texts = [whole.cast("string"), plain, double.cast("float").cast("string"), double.cast("string")]
+    written = lambda k: F.coalesce(*[F.when(k["k"] == i, F.concat(F.lit('"'), t, F.lit(f'"^^{XSD[name]}'))) for i, (t, name) in enumerate(zip(texts, _KINDS, strict=True))])
+    return _bound({"k": kind}, written)
+
+
+def _binary(a: Column, b: Column, whole: str, decimal: str, exact, inexact, least: int = 0) -> Column:
+    def result(x: Column) -> Column:
+        both = {"k": F.when(_kind(x, "a").isNotNull() & _kind(x, "b").isNotNull(), F.greatest(_kind(x, "a"), _kind(x, "b"), F.lit(least)))}
+        of = lambda kind: [x[f"{n}_text"].try_cast(kind) for n in "ab"]
+        return _number(both["k"], exact(*of(whole)), exact(*of(decimal)), inexact(*of("double")))
+
+    return _bound(_parts(a=a, b=b), result)
+
+
+def add(a: Column, b: Column) -> Column:
+    """"+" of keys."""
+    return _binary(a, b, "decimal(37,0)", "decimal(37,18)", F.try_add, lambda x, y: x + y)
+
+
+def subtract(a: Column, b: Column) -> Column:
+    """"-" of keys."""
+    return _binary(a, b, "decimal(37,0)", "decimal(37,18)", F.try_subtract, lambda x, y: x - y)
+
+
+def multiply(a: Column, b: Column) -> Column:
+    """"*" of keys; operands up to 18 digits, decimals with up to 8 places."""
+    return _binary(a, b, "decimal(18,0)", "decimal(18,8)", F.try_multiply, lambda x, y: x * y)
+
+
+def divide_terms(a: Column, b: Column) -> Column:
+    """"/" of keys: integers give decimals; by zero an error for exact numbers, infinity or NaN for others."""
+    return _binary(a, b, "decimal(18,0)", "decimal(18,8)", F.try_divide, divide, least=1)
+
+
+def negate(key: Column) -> Column:
+    """Unary "-"."""
+    return subtract(F.lit(f'"0"^^{XSD.integer}'), key)
+
+
+def positive(key: Column) -> Column:
+    """Unary "+": the number itself, null for other terms."""
+    return F.when(numeric_kind(key).isNotNull(), key)
+
+
+def _total(key: Column, aggregate) -> tuple[Column, Column, Column, Column]:
+    """The kind of a group's numbers (null if a bound term is not a number), and an aggregate of their exact and double values."""
+    kind, text = numeric_kind(key), lexical(key)
+    all_numbers = F.count(key) == F.count(kind)
+    return F.when(all_numbers, F.max(kind)), *[aggregate(text.try_cast(t)) for t in ("decimal(28,0)", "decimal(28,10)", "double")]
+
+
+def sum_terms(key: Column, distinct: bool = False) -> Column:
+    """SUM of keys, an aggregate column: a number of the widest kind; 0 of no terms, null if a term is not a number. With
+    distinct, each value counts once."""
+    kind, whole, decimal, double = _total(key, F.sum_distinct if distinct else F.sum)
+    return F.when(F.count(key) == 0, F.lit(f'"0"^^{XSD.integer}')).otherwise(_number(kind, whole, decimal, double))
+
+
+def avg_terms(key: Column) -> Column:
+    """AVG of keys, an aggregate column: a decimal for exact numbers."""
+    kind, _, _, double = _total(key, F.avg)
+    exact = F.try_divide(F.sum(lexical(key).try_cast("decimal(28,10)")).cast("decimal(28,10)"), F.count(key).cast("decimal(12,0)"))
+    return F.when(F.count(key) == 0, F.lit(f'"0"^^{XSD.integer}')).otherwise(_number(F.greatest(kind, F.lit(1)), F.lit(None).cast("string"), exact, double))
+
+
+def _ordered(key: Column) -> Column:
+    rank, value, text, whole = order_key(key)
+    return F.struct(rank.alias("a"), value.alias("b"), text.alias("c"), whole.alias("d"))
+
+
+def min_term(key: Column) -> Column:
+    """MIN in the order of ORDER BY, an aggregate column; unbound terms don't count."""
+    return F.min_by(key, F.when(key.isNotNull(), _ordered(key)))
+
+
+def max_term(key: Column) -> Column:
+    """MAX in the order of ORDER BY, an aggregate column."""
+    return F.max_by(key, F.when(key.isNotNull(), _ordered(key)))

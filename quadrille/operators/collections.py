@@ -6,7 +6,9 @@ the chain with itself, so a list of n members takes log2(n) joins, not n. Round
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_literal
@@ -69,6 +71,41 @@ def read_lists(graph: Graph, heads: DataFrame, check: bool = True) -> DataFrame:
     return heads.toDF("node").distinct().join(found, "node", "left").select("node", F.coalesce(F.transform("m", lambda x: x["val"]), empty).alias("items")).where("items is not null")
 
 
+def heads(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """(node, val): the first member of each list that is not empty, without walking the lists."""
+    first = graph.df.where(F.col("p") == RDF.first).select(F.col("s").alias("node"), F.col("o").alias("val")).distinct()
+    return nodes.toDF("node").distinct().join(first, "node")
+
+
+def tails(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """(node, tail): the node of the list after the first member."""
+    rest = graph.df.where(F.col("p") == RDF.rest).select(F.col("s").alias("node"), F.col("o").alias("tail")).distinct()
+    return nodes.toDF("node").distinct().join(rest, "node")
+
+
+def items_at(graph: Graph, nodes: DataFrame, position: int) -> DataFrame:
+    """(node, val): the member at a position from 0, of the lists that have one."""
+    return members(graph, nodes).where(F.col("pos") == position).select("node", "val")
+
+
+def lengths(graph: Graph, nodes: DataFrame) -> DataFrame:
+    """(node, n): how many members each list has; the empty list has 0."""
+    found = cells(graph, nodes).groupBy("node").agg(F.count("*").alias("n"))
+    all_ = nodes.toDF("node").distinct().join(found, "node", "left")
+    return all_.select("node", F.coalesce("n", F.when(F.col("node") == RDF.nil, F.lit(0).cast("long"))).alias("n")).where("n is not null")
+
+
+def map_lists(lists: DataFrame, member: Callable[[Column], Column]) -> DataFrame:
+    """Lists (node, items) with every member changed; build_lists() makes them triples again."""
+    return lists.select("node", F.transform("items", member).alias("items"))
+
+
+def filter_lists(lists: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Lists (node, items) with the members that pass; a list without members is rdf:nil's, whatever its node was."""
+    kept = F.filter("items", keep)
+    return lists.select(F.when(F.size(kept) == 0, F.lit(RDF.nil)).otherwise(F.col("node")).alias("node"), kept.alias("items"))
+
+
 def build_lists(lists: DataFrame) -> DataFrame:
     """Triples (s, p, o) of lists (node, items array): node is the head, further cells are labelled from it."""
     cell = lambda i: F.when(F.col("pos") + i == 0, F.col("node")).when(F.col("pos") + i == F.col("n"), F.lit(RDF.nil)).otherwise(
@@ -88,12 +125,14 @@ def list_frame(graph: Graph, heads: DataFrame) -> Graph:
 
 
 def read_containers(graph: Graph) -> DataFrame:
-    """(node, items): containers by rdf:_1, rdf:_2 ...; members after a gap are not part of them."""
+    """(node, items): containers by rdf:_1, rdf:_2 ...; members after a gap are not part of them, and of several values at
+    one ordinal all are, in order of their keys."""
     number = F.regexp_extract("p", r"#_([1-9]\d*)>$", 1).try_cast("long")
     rows = graph.df.where(F.startswith("p", F.lit(RDF["_"][:-1]))).select(F.col("s").alias("node"), number.alias("pos"), F.col("o").alias("val")).where("pos is not null").distinct()
-    listed = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("m"))
+    by_ordinal = rows.groupBy("node", "pos").agg(F.sort_array(F.collect_list("val")).alias("vals"))
+    listed = by_ordinal.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "vals"))).alias("m"))
     dense = F.filter("m", lambda x, i: x["pos"] == i + 1)
-    return listed.select("node", F.transform(dense, lambda x: x["val"]).alias("items")).where(F.size("items") > 0)
+    return listed.select("node", F.flatten(F.transform(dense, lambda x: x["vals"])).alias("items")).where(F.size("items") > 0)
 
 
 def build_containers(lists: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from quadrille.operators.quads import Graph
 from quadrille.terms import DATATYPES, OWL, RDF, RDFS
 
 #: The predefined annotation properties, and the characteristics of object properties.
-ANNOTATIONS = [RDFS.label, RDFS.comment, RDFS.seeAlso, RDFS.isDefinedBy, *(OWL[n] for n in "deprecated versionInfo priorVersion backwardCompatibleWith incompatibleWith annotatedSource".split())]
+ANNOTATIONS = [RDFS.label, RDFS.comment, RDFS.seeAlso, RDFS.isDefinedBy, *(OWL[n] for n in "deprecated versionInfo versionIRI priorVersion backwardCompatibleWith incompatibleWith".split())]
 CHARACTERISTICS = {
     OWL[f"{n}Property"]: n for n in "Functional InverseFunctional Reflexive Irreflexive Symmetric Asymmetric Transitive".split()
 }
@@ -113,6 +113,23 @@ def entities(graph: Graph) -> DataFrame:
     return reduce(DataFrame.union, rows).where(~F.col("s").isin(own)).distinct()
 
 
+def contains(graph: Graph, of: DataFrame) -> DataFrame:
+    """(s, there): whether the graph, as an ontology, has each of the entities in the one column of `of`: whether it types
+    them."""
+    typed = graph.df.where(F.col("p") == RDF.type).select("s", F.lit(True).alias("typed")).distinct()
+    return of.toDF("s").distinct().join(typed, "s", "left").select("s", F.coalesce("typed", F.lit(False)).alias("there"))
+
+
+def add_entities(graph: Graph, frames: DataFrame) -> Graph:
+    """The ontology with entities: their frames, triples (s, p, o) as frame() or a make_* function gives them."""
+    return graph | Graph.from_triples(frames)
+
+
+def remove_entities(graph: Graph, of: DataFrame) -> Graph:
+    """The ontology without the entities in the one column of `of`: without the triples of their frames."""
+    return Graph(graph.df.join(of.toDF("s").distinct(), "s", "left_anti").select("g", "s", "p", "o"))
+
+
 def ontologies(graph: Graph) -> DataFrame:
     return _typed(graph, OWL.Ontology)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.operators.quads import Graph
+from quadrille.operators.quads import Graph, Part
 from quadrille.plans.solutions import Solutions, union_all
 from quadrille.terms import RDF, XSD, iri_column, literal_column
 
@@ -87,21 +87,30 @@ class TableGraph:
             value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         return literal_column(value, datatype=XSD[_XSD[kind]] if kind in _XSD else None)
 
-    def triples(self, table: str) -> Solutions:
-        """?s ?p ?o over a table with a key: each row read once and unpivoted to one row per property, and its class."""
+    def triples(self, table: str, *columns: str) -> Solutions:
+        """?s ?p ?o over a table with a key: each row read once and unpivoted to one row per property, and its class. With
+        columns, only their properties (`a` is the class): the scan reads these columns alone."""
         spec = TABLES[table]
         df = self.table(table)
         subject = iri_column(F.concat(F.lit(self.prefix(table)), F.col(spec.key).cast("string")))
-        kept = [(c, kind) for c, kind in df.dtypes if c != spec.key and c not in spec.left_out and not kind.startswith("array")]
-        pairs = [F.struct(F.lit(f"<{self.base}{c}>").alias("p"), self._term(table, c, kind).alias("o")) for c, kind in kept]
-        if table not in SUBJECTS:
+        own = [(c, kind) for c, kind in df.dtypes if c != spec.key and c not in spec.left_out and not kind.startswith("array")]
+        if unknown := set(columns) - {c for c, _ in own} - {"a"}:
+            raise ValueError(f"{table} has no properties {sorted(unknown)}")
+        pairs = [F.struct(F.lit(f"<{self.base}{c}>").alias("p"), self._term(table, c, kind).alias("o")) for c, kind in own if not columns or c in columns]
+        if table not in SUBJECTS and (not columns or "a" in columns):
             pairs.append(F.struct(F.lit(RDF.type).alias("p"), F.lit(f"<{self.base}{table}>").alias("o")))
         return Solutions(df.select(subject.alias("s"), F.inline(F.array(*pairs))).where(F.col("o").isNotNull()))
 
+    def pattern(self, table: str, s: Part, p: str, o: Part) -> Solutions:
+        """A triple pattern over a table with a constant predicate: one column of its scan, or its class."""
+        column = "a" if p == RDF.type else p[len(self.base) + 1 : -1]
+        return self.graph(table, column).pattern(s, p, o)
+
+    def graph(self, table: str, *columns: str, name: str | None = None) -> Graph:
+        """The table's quads, of these columns only if there are any, in the graph of that name or the default graph."""
+        return Graph(self.triples(table, *columns).df.select(F.lit(name).cast("string").alias("g"), "s", "p", "o"))
+
     def materialize(self, *tables: str, graphs: bool = False) -> Graph:
         """Tables as quads, in the default graph, or each in the named graph `<base>graph/<table>`."""
-        parts = []
-        for t in tables:
-            g = F.lit(f"<{self.base}graph/{t}>" if graphs else None).cast("string")
-            parts.append(Solutions(self.triples(t).df.select(g.alias("g"), "s", "p", "o")))
+        parts = [Solutions(self.graph(t, name=f"<{self.base}graph/{t}>" if graphs else None).df) for t in tables]
         return Graph(union_all(parts).df)

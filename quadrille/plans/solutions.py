@@ -131,6 +131,10 @@ class Solutions:
         df = self.df.offset(offset) if offset else self.df
         return self._with(df if limit is None else df.limit(limit))
 
+    def count_all(self, distinct: bool = False) -> Column:
+        """COUNT(*), or COUNT(DISTINCT *) over the visible variables, for aggregate()."""
+        return F.count_distinct(F.struct(*map(F.col, self.variables))) if distinct else F.count("*")
+
     def aggregate(self, *aggregates: Column, by: Sequence[str] = (), having: Column | None = None) -> Solutions:
         """Aggregates; plain variables beside them are the groups."""
         df = self.df.groupBy(*by).agg(*aggregates) if by else self.df.agg(*aggregates)

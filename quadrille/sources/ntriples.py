@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quadrille.operators.quads import Graph
 
 _IRI, _BLANK = r"<[^<>\"{}|^`\\\x00-\x20]*>", r"_:[\w.-]*\w"
-_LITERAL = rf'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
+#: Possessive, so that Java's matcher does not recurse into long literals.
+_LITERAL = rf'"(?:[^"\\\n\r]++|\\.)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
 _LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from quadrille.operators.quads import COLUMNS, Graph
+from quadrille.operators.quads import COLUMNS, SCHEMA, Graph, Part
+from quadrille.storage import CommitConflict, Versions
+from quadrille.terms import as_key
+
+#: Partitions of a batch, by the hash of the predicate.
+PREDICATES = 64
+
+
+def _partition(p: Column) -> Column:
+    return F.pmod(F.xxhash64(p), F.lit(PREDICATES)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -18,7 +27,9 @@ class QuadStore:
     """Reads see what is stored and what is pending. `context` is the named graph that reads and writes are limited to.
 
     Every commit writes a new batch: inserted quads, or removed ones. A quad is present if its latest batch inserts it,
-    so commits append files and never rewrite them; compact() writes the present quads as one batch.
+    so commits append files and never rewrite them; compact() writes the present quads as one batch. A manifest lists the
+    batches of each version. It is committed by a rename that fails if the version exists: of two writers one commits, and
+    the other writes its batch again under the next number. Readers see the batches of one manifest.
     """
 
     spark: SparkSession
@@ -27,31 +38,47 @@ class QuadStore:
     pending: Graph | None = None
     removed: Graph | None = field(default=None)
 
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+    @property
+    def _versions(self) -> Versions:
+        return Versions(self.spark, f"{self.path.rstrip('/')}/manifests")
+
+    def versions(self) -> list[int]:
+        return self._versions.all()
 
-    def stored(self) -> Graph:
-        log = self._log()
+    def _batches(self, version: int) -> list[str]:
+        return [json.loads(line)["batch"] for line in self._versions.read(version)] if version else []
+
+    def _log(self, version: int | None = None) -> DataFrame | None:
+        batches = self._batches(self._versions.latest() if version is None else version)
+        if not batches:
+            return None
+        root = f"{self.path.rstrip('/')}/data"
+        schema = f"{SCHEMA}, inserts boolean, number long, batch string, pid int"
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/batch={b}" for b in batches])
+
+    def stored(self, p: Part = None, version: int | None = None) -> Graph:
+        """The quads of a version (default: the newest); with a predicate, its partition alone is read."""
+        log = self._log(version)
         if log is None:
             return Graph.empty(self.spark)
-        latest = log.groupBy(*COLUMNS).agg(F.max_by("inserts", "batch").alias("present")).where("present").select(*COLUMNS)
+        if p is not None:
+            log = log.where((F.col("pid") == _partition(F.lit(as_key(p)))) & (F.col("p") == as_key(p)))
+        latest = log.groupBy(*COLUMNS).agg(F.max_by("inserts", "number").alias("present")).where("present").select(*COLUMNS)
         return Graph(latest if self.context is None else latest.where(F.col("g") == self.context))
 
-    def graph(self) -> Graph:
-        found = self.stored()
+    def graph(self, p: Part = None) -> Graph:
+        found = self.stored(p)
         found = found if self.removed is None else found - self.removed
         return found if self.pending is None else found | self.pending
 
-    def get(self, s=None, p=None, o=None) -> Graph:
-        return self.graph().get(s, p, o)
+    def get(self, s: Part = None, p: Part = None, o: Part = None) -> Graph:
+        return self.graph(p).get(s, p, o)
 
-    def has(self, s=None, p=None, o=None) -> bool:
-        return self.graph().has(s, p, o)
+    def has(self, s: Part = None, p: Part = None, o: Part = None) -> bool:
+        return self.graph(p).has(s, p, o)
+
+    def contains(self, s: Part, p: Part, o: Part) -> bool:
+        return self.has(s, p, o)
 
     def _own(self, triples: Sequence[Sequence] | Graph) -> Graph:
         given = triples if isinstance(triples, Graph) else Graph.of(self.spark, triples)
@@ -65,24 +92,31 @@ class QuadStore:
         gone = self._own(graph or triples)
         return replace(self, removed=gone if self.removed is None else self.removed | gone, pending=self.pending and self.pending - gone)
 
-    def _batch(self) -> int:
-        log = self._log()
-        return 0 if log is None else (log.agg(F.max("batch")).first()[0] or 0) + 1
-
-    def _write(self, rows: DataFrame, mode: str = "append") -> None:
-        rows.withColumn("pid", F.pmod(F.xxhash64("p"), F.lit(64)).cast("int")).write.mode(mode).partitionBy("pid").parquet(self.path)
+    def _write(self, rows: DataFrame, number: int) -> str:
+        batch = uuid.uuid4().hex
+        numbered = rows.withColumn("number", F.lit(number).cast("long")).withColumn("pid", _partition(F.col("p")))
+        numbered.write.partitionBy("pid").parquet(f"{self.path.rstrip('/')}/data/batch={batch}")
+        return batch
 
     def commit(self) -> QuadStore:
-        """Stores what is pending as one batch."""
+        """Stores what is pending as one batch after all others."""
         parts = [x.df.select(*COLUMNS, F.lit(inserts).alias("inserts")) for x, inserts in ((self.removed, False), (self.pending, True)) if x is not None]
-        if parts:
-            rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-            self._write(rows.withColumn("batch", F.lit(self._batch()).cast("long")))
+        while parts:
+            base = self._versions.latest()
+            batches = [*self._batches(base), self._write(parts[0] if len(parts) == 1 else parts[0].union(parts[1]), base + 1)]
+            try:
+                self._versions.commit(base + 1, [json.dumps({"batch": b}) for b in batches])
+                break
+            except CommitConflict:
+                continue
         return replace(self, pending=None, removed=None)
 
     def compact(self, path: str | None = None) -> QuadStore:
-        """The present quads in a new folder; the old one stays for readers that have it open."""
-        fresh = replace(self, path=path or f"{self.path.rstrip('/')}-{uuid.uuid4().hex}", context=None)
-        whole = replace(self, context=None).stored().df
-        fresh._write(whole.select(*COLUMNS, F.lit(True).alias("inserts"), F.lit(0).cast("long").alias("batch")))
-        return replace(fresh, context=self.context, pending=self.pending, removed=self.removed)
+        """The present quads as one batch: of the next version, or of a store at another path. Older versions stay readable. A
+        commit that came between is an error (CommitConflict), and then nothing is changed."""
+        base = self._versions.latest()
+        whole = replace(self, context=None).stored(version=base).df.select(*COLUMNS, F.lit(True).alias("inserts"))
+        target = self if path is None else replace(self, path=path)
+        number = 1 + (base if path is None else target._versions.latest())
+        target._versions.commit(number, [json.dumps({"batch": target._write(whole, number)})])
+        return target

@@ -16,7 +16,7 @@ from quadrille.terms import ESCAPES, RDF, XSD
 
 _NAME = r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:[\w:%](?:[\w.:%-]*[\w:%-])?)?"
 _IRI = r"<[^<>\"{}|^`\s]*>"
-_STRING = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n\r]|\\.)*"|\'(?:[^\'\\\n\r]|\\.)*\''
+_STRING = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]++|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n\r]++|\\.)*+"|\'(?:[^\'\\\n\r]++|\\.)*+\''
 _TOKEN = (
     rf"#[^\n]*|{_IRI}|(?:{_STRING})(?:@(?!prefix|base)[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^(?:{_IRI}|{_NAME}))?"
     rf"|@prefix\b|@base\b|_:\w(?:[\w.-]*[\w-])?|{_NAME}|[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+|[+-]?\d*\.\d+|[+-]?\d+"
@@ -64,12 +64,26 @@ def _resolved(text: Column, base: Column) -> Column:
     )
 
 
+def _with_dots(text: Column, tokens: Column) -> Column:
+    """PREFIX and BASE, which end without a dot, as @prefix and @base, which end with one."""
+    said = lambda i: F.lower(F.coalesce(F.get(tokens, i), F.lit("")))
+
+    def written(token: Column, i: Column) -> Column:
+        word = F.lower(token)
+        keyword = word.isin("prefix", "base")
+        ends = token.startswith("<") & ((said(i - 1) == "base") | ((said(i - 2) == "prefix") & said(i - 1).endswith(":")))
+        return F.when(keyword, F.array(F.concat(F.lit("@"), word))).when(ends, F.array(token, F.lit("."))).otherwise(F.array(token))
+
+    return F.when(text.rlike(r"(?i)(?<![\w@])(?:prefix|base)\s"), F.flatten(F.transform(tokens, written))).otherwise(tokens)
+
+
 def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
     """(doc, s, p, o) of documents (doc, text). Blank nodes are labelled apart for each document."""
     by_doc = Window.partitionBy("doc").orderBy("i")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = F.col("tok")
-    tokens = documents.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("i", "tok")).where(~t.startswith("#"))
+    found = documents.select("doc", "text", F.filter(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda x: ~x.startswith("#")).alias("toks"))
+    tokens = found.select("doc", F.posexplode(_with_dots(F.col("text"), F.col("toks"))).alias("i", "tok"))
     step = F.when(t.isin("[", "("), 1).when(t.isin("]", ")"), -1).otherwise(0)
     rows = tokens.select("*", F.lead("tok").over(by_doc).alias("next"), F.sum(step).over(so_far).alias("deep"))
     rows = rows.withColumn("level", F.when(step == 1, F.col("deep") - 1).otherwise(F.col("deep"))).where(step >= 0)

@@ -37,23 +37,22 @@ RDF = Namespace("http://www.w3.org/1999/02/22-rdf-syntax-ns#")
 RDFS = Namespace("http://www.w3.org/2000/01/rdf-schema#")
 OWL = Namespace("http://www.w3.org/2002/07/owl#")
 
-#: The numeric datatypes, then the datatypes that OWL 2 predefines.
+#: The numeric datatypes, integers first.
 INTEGERS = (
     "integer nonPositiveInteger negativeInteger nonNegativeInteger positiveInteger "
     "long int short byte unsignedLong unsignedInt unsignedShort unsignedByte"
 ).split()
 NUMERIC = [*INTEGERS, "decimal", "float", "double"]
+#: The datatypes that a graph knows without stating them. They are the XSD types of RDF literals rather than
+#: the datatype map of OWL 2, which leaves out the calendar types below and has some more.
 DATATYPES = [
-    *(
-        XSD[n]
-        for n in [
-            *[x for x in INTEGERS if x != "positiveInteger"],
-            *"decimal float double string normalizedString token language Name NCName boolean hexBinary base64Binary anyURI".split(),
-            *"dateTime date time duration gYear gYearMonth gMonth gMonthDay gDay QName NOTATION ID IDREF IDREFS ENTITY ENTITIES".split(),
-        ]
-    ),
-    RDF.XMLLiteral,
-]
+    XSD[name]
+    for name in (
+        "boolean byte double float long short duration dateTime time date gYearMonth gYear gMonthDay gDay gMonth base64Binary "
+        "hexBinary anyURI QName NOTATION string normalizedString token language Name NCName ID IDREF IDREFS ENTITY ENTITIES "
+        "decimal integer nonPositiveInteger negativeInteger int nonNegativeInteger unsignedLong unsignedInt unsignedByte unsignedShort"
+    ).split()
+] + [RDF.XMLLiteral]
 
 
 def iri(value: str) -> str:
