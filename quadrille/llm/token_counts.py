@@ -1,8 +1,9 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every string of the vocabulary is run through the merges; those that come out as the one token that they spell
-are proven whole. A pre-token among them counts as one token without a merge; all others are merged (once per worker
-while they stay in a bounded cache) and counted. Strings of special tokens inside a text count as that token, which is
+Before any text is read, the driver runs every string of the vocabulary through the merges, once; those that come out as
+the one token that they spell are proven whole, and their list (no more than the vocabulary) goes to all executors. A
+pre-token among them counts as one token without a merge; all others are merged (once per worker while they stay in a
+bounded cache) and counted. Strings of special tokens inside a text count as that token, which is
 the tokenizer library's default.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and null or repeated keys pass through row
@@ -71,50 +72,60 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(proven)
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str, pattern: str) -> tuple[regex.Pattern, regex.Pattern | None, PieceCache]:
-    merges, _, special = load(path)
-
-    def lengths(pieces: list[bytes]) -> list[int]:
-        out = np.zeros(len(pieces), np.int64)
-        for block, _, counts in encode_pieces(pieces, merges):
-            out[block] = counts
-        return out.tolist()
-
-    cache = PieceCache(lengths, fixed=dict.fromkeys(whole_tokens(path), 1))
-    return regex.compile(pattern), regex.compile("|".join(map(regex.escape, special))) if special else None, cache
-
-
-def count_texts(texts: list[str], path: str, pattern: str) -> Iterator[int]:
-    split, special, cache = _counter(path, pattern)
-    for chunk in chunks(texts):
-        plain, extra = chunk, [0] * len(chunk)
-        if special is not None and any(special.search(t) for t in chunk):
-            extra = [len(special.findall(t)) for t in chunk]
-            plain = [special.split(t) if n else t for t, n in zip(chunk, extra, strict=True)]
-        if len(chunk) == 1:
-            total = extra[0]
-            for part in plain[0] if isinstance(plain[0], list) else plain:
-                for run in piece_runs(part, split):
-                    cache.learn([run])
-                    total += sum(map(cache.__getitem__, run))
-            yield total
-            continue
-        runs = [[p for part in t for p in split.findall(part)] if isinstance(t, list) else split.findall(t) for t in plain]
-        cache.learn(runs)
-        for run, n in zip(runs, extra, strict=True):
-            yield n + sum(map(cache.__getitem__, run))
+class Counter:
+    """Counts tokens of texts; whole strings are given, the lengths of other pieces are learned."""
+
+    def __init__(self, path: str, pattern: str, whole: frozenset[str]):
+        merges, _, special = load(path)
+
+        def lengths(pieces: list[bytes]) -> list[int]:
+            out = np.zeros(len(pieces), np.int64)
+            for block, _, counts in encode_pieces(pieces, merges):
+                out[block] = counts
+            return out.tolist()
+
+        self.cache = PieceCache(lengths, fixed=dict.fromkeys(whole, 1))
+        self.split = regex.compile(pattern)
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+
+    def count(self, texts: list[str]) -> Iterator[int]:
+        cache, split, special = self.cache, self.split, self.special
+        for chunk in chunks(texts):
+            plain, extra = chunk, [0] * len(chunk)
+            if special is not None and any(special.search(t) for t in chunk):
+                extra = [len(special.findall(t)) for t in chunk]
+                plain = [special.split(t) if n else t for t, n in zip(chunk, extra, strict=True)]
+            if len(chunk) == 1:
+                total = extra[0]
+                for part in plain[0] if isinstance(plain[0], list) else plain:
+                    for run in piece_runs(part, split):
+                        cache.learn([run])
+                        total += sum(map(cache.__getitem__, run))
+                yield total
+                continue
+            runs = [[p for part in t for p in split.findall(part)] if isinstance(t, list) else split.findall(t) for t in plain]
+            cache.learn(runs)
+            for run, n in zip(runs, extra, strict=True):
+                yield n + sum(map(cache.__getitem__, run))
+
+
+#: The counters of this worker, so that tasks go on with what earlier ones learned.
+_COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of every whole text, by the byte-level BPE file at `path`."""
     source = df.select(F.col(key), text_or_empty(text).alias("_text"))
+    shared = df.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _COUNTERS.get((path, pattern))
+        if counter is None:
+            counter = _COUNTERS[path, pattern] = Counter(path, pattern, shared.value)
         for batch in batches:
             texts = [str(x.as_py()) for x in batch.column(1)]
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count_texts(texts, path, pattern), pa.int64())],
+                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())],
                 [key, "n_bytes", "n_tokens"],
             )
 
