@@ -345,7 +345,7 @@ def test_the_ledger_scans_only_what_is_new(spark, monkeypatch):
 
 def test_texts_of_more_than_a_run(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    whole = "".join(rng.choice(["word ", "naïve ", "12 ", "\n\n", "a" * 200, "漢字", "<|endoftext|>"], 300_000))
+    whole = "".join(rng.choice(["word ", "naïve ", "12 ", "\n\n", "a" * 200, "漢字", "<|endoftext|>"], 50_000))
     assert len(whole) > 4 * bpe.RUN_PIECES
     found = by_key(bpe.digests(documents(spark, [whole, "short"]), RANKS, P.PATTERN))
     ids = ENCODING.encode_ordinary(whole)
