@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,18 @@ class ParseError(ValueError):
     """Text that is not RDF in the format asked for."""
 
 
+@contextmanager
+def parsing() -> Iterator[None]:
+    """Around what reads the rows of a graph: bad text of any format, which Spark reports then, is a ParseError."""
+    try:
+        yield
+    except Exception as e:
+        found = re.search(r"(?:not a statement|not Turtle|undeclared prefix|no XML name): [^\n]*|(?<=ParseError: )[^\n]*", str(e))
+        if found is None:
+            raise
+        raise ParseError(found.group()) from e
+
+
 def statements(lines: DataFrame) -> DataFrame:
     """(g, s, p, o, line) of lines (value); where a line is not a statement s is null. Comments and blank lines go."""
     rows = lines.where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions.terms import is_blank
+from quadrille.operators.collections import cells
 from quadrille.operators.quads import Graph
+from quadrille.storage import checkpointed
 from quadrille.terms import ESCAPES, RDF, XSD
 
 _NAME = r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:[\w:%](?:[\w.:%-]*[\w:%-])?)?"
@@ -160,30 +163,78 @@ def read_text(spark: SparkSession, text: str, base: str | None = None) -> Graph:
     return Graph.from_triples(parse(spark.createDataFrame([("0", text)], "doc string, text string"), base).select("s", "p", "o"))
 
 
-def blocks(graph: Graph, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """(s, value): one Turtle statement for each subject, predicates and objects in order of their keys. `prefixes` maps
-    prefixes to IRIs; write() puts their header in front. Blank nodes keep their labels."""
-
-    def short(key: Column) -> Column:
-        out = key
-        for name, space in (prefixes or {}).items():
-            local = F.substr(key, F.lit(len(space) + 2), F.length(key) - len(space) - 2)
-            legal = F.startswith(key, F.lit("<" + space)) & local.rlike(r"^(?:[^\W\d]\w*)?$")
-            out = F.when(legal, F.concat(F.lit(f"{name}:"), local)).otherwise(out)
-        return out
-
-    p = F.when(F.col("p") == RDF.type, F.lit("a")).otherwise(short(F.col("p")))
-    by_pair = graph.df.groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("os"))
-    listed = F.concat(p, F.lit(" "), F.array_join(F.transform("os", short), ", "))
-    by_subject = by_pair.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", listed.alias("t")))).alias("ps"))
-    return by_subject.select("s", F.concat(short(F.col("s")), F.lit(" "), F.array_join(F.transform("ps", lambda x: x["t"]), " ;\n    "), F.lit(" .")).alias("value"))
+def _shortened(key: Column, prefixes: dict[str, str] | None) -> Column:
+    """A key as Turtle writes it: with a prefix where that is legal."""
+    out = key
+    for name, space in (prefixes or {}).items():
+        local = F.substr(key, F.lit(len(space) + 2), F.length(key) - len(space) - 2)
+        legal = F.startswith(key, F.lit("<" + space)) & local.rlike(r"^(?:[^\W\d]\w*)?$")
+        out = F.when(legal, F.concat(F.lit(f"{name}:"), local)).otherwise(out)
+    return out
+
+
+def _bodies(rows: DataFrame, between: str) -> DataFrame:
+    """(s, body): the predicates and objects of rows (s, p, pos, t), in order; those of a list (p is null) one after another."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"])
+    by_pair = rows.groupBy("s", "p").agg(texts.alias("ts"))
+    listed = F.when(F.col("p").isNull(), F.array_join("ts", " ")).otherwise(F.concat("p", F.lit(" "), F.array_join("ts", ", ")))
+    by_subject = by_pair.groupBy("s").agg(F.sort_array(F.collect_list(listed)).alias("ps"))
+    return by_subject.select("s", F.array_join("ps", between).alias("body"))
+
+
+def _nested(rows: DataFrame, triples: DataFrame, first: Column) -> DataFrame:
+    """rows (s, p, pos, o, t) in which blank nodes that are the object of one triple, and the lists of such nodes, are
+    written in place: round by round, innermost first, so that a graph nested d deep takes d rounds. What is part of a
+    cycle keeps its label. `first` is how rows write rdf:first."""
+    uses = triples.where(is_blank(F.col("o"))).groupBy("o").agg(F.count("*").alias("n"), F.min("p").alias("by"))
+    single = checkpointed(uses.where("n = 1").select(F.col("o").alias("s"), "by"))
+    count = lambda p: F.sum((F.col("p") == p).cast("int"))
+    shape = triples.groupBy("s").agg(F.count("*").alias("n"), count(RDF.first).alias("f"), count(RDF.rest).alias("r"))
+    cell = checkpointed(shape.where("n = 2 and f = 1 and r = 1").select("s").join(single, "s"))
+    parts = triples.join(cell.select("s"), "s", "left_semi")
+    reached = cells(Graph.from_triples(parts), cell.where(F.col("by") != RDF.rest).select("s"), check=False)
+    ends = parts.where((F.col("p") == RDF.rest) & (F.col("o") == RDF.nil)).select(F.col("s").alias("cell"))
+    lists = checkpointed(reached.join(reached.join(ends, "cell").select("node"), "node", "left_semi"))
+    members = lists.join(rows.where(F.col("p") == first).select(F.col("s").alias("cell"), "o", "t"), "cell")
+    members = members.select(F.col("node").alias("s"), F.lit(None).cast("string").alias("p"), "pos", "o", "t")
+    rows = checkpointed(rows.join(lists.select(F.col("cell").alias("s")), "s", "left_anti").unionByName(members))
+    inner = single.where(F.col("by") != RDF.rest).select("s")
+    while True:
+        waits = rows.join(inner.select(F.col("s").alias("o")), "o", "left_semi").select("s")  # an object of theirs is not written yet
+        ready = inner.join(waits, "s", "left_anti")
+        bodies = _bodies(rows.join(ready, "s", "left_semi"), " ; ")
+        is_list = rows.where("p is null").select("s", F.lit(True).alias("list")).distinct()
+        written = ready.join(bodies, "s", "left").join(is_list, "s", "left")
+        text = F.when(F.col("list"), F.concat(F.lit("( "), "body", F.lit(" )"))).otherwise(F.coalesce(F.concat(F.lit("[ "), "body", F.lit(" ]")), F.lit("[]")))
+        written = checkpointed(written.select(F.col("s").alias("w"), text.alias("text")))
+        if written.isEmpty():
+            return rows
+        rows = rows.join(written.select(F.col("w").alias("s")), "s", "left_anti").join(written, rows["o"] == written["w"], "left")
+        rows = checkpointed(rows.select("s", "p", "pos", F.when(F.col("w").isNull(), F.col("o")).alias("o"), F.coalesce("text", "t").alias("t")))
+        inner = checkpointed(inner.join(written.select(F.col("w").alias("s")), "s", "left_anti"))
+
+
+def _predicate(key: Column, prefixes: dict[str, str] | None) -> Column:
+    return F.when(key == RDF.type, F.lit("a")).otherwise(_shortened(key, prefixes))
+
+
+def blocks(graph: Graph, prefixes: dict[str, str] | None = None, nested: bool = False, indent: int = 4) -> DataFrame:
+    """(s, value): one Turtle statement for each subject, predicates and objects in order of their keys, continued lines
+    `indent` wide. `prefixes` maps prefixes to IRIs (none: full IRIs); write() puts their header in front. Blank nodes keep
+    their labels, or with `nested` are written in brackets, and lists in parentheses, where they are used once."""
+    triples = graph.df.select("s", "p", "o").distinct()
+    rows = triples.select("s", _predicate(F.col("p"), prefixes).alias("p"), F.lit(0).cast("long").alias("pos"), "o", _shortened(F.col("o"), prefixes).alias("t"))
+    if nested:
+        rows = _nested(rows, checkpointed(triples), _predicate(F.lit(RDF.first), prefixes))
+    whole = _bodies(rows, " ;\n" + " " * indent)
+    return whole.select("s", F.concat(_shortened(F.col("s"), prefixes), F.lit(" "), "body", F.lit(" .")).alias("value"))
 
 
 def header(prefixes: dict[str, str] | None) -> str:
     return "".join(f"@prefix {name}: <{space}> .\n" for name, space in (prefixes or {}).items())
 
 
-def write(graph: Graph, path: str, prefixes: dict[str, str] | None = None, mode: str = "error") -> None:
+def write(graph: Graph, path: str, prefixes: dict[str, str] | None = None, mode: str = "error", nested: bool = False, indent: int = 4) -> None:
     """Text files of whole statements; each row carries the header, so every part file is a document of its own."""
-    statements = blocks(graph, prefixes)
+    statements = blocks(graph, prefixes, nested, indent)
     statements.select(F.concat(F.lit(header(prefixes)), F.col("value")).alias("value")).write.mode(mode).text(path)

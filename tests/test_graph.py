@@ -74,6 +74,33 @@ def test_round_trips(spark, golden, tmp_path):
     assert again.size() == golden.size() and (again & named).same(named)
 
 
+def test_turtle_nests_what_is_used_once(spark, golden):
+    prefixes = {"": EX.base}
+    values = {r.s: r.value for r in turtle.blocks(golden, prefixes, nested=True).collect()}
+    assert set(values) == {EX.alice, EX.bob, EX.carol, EX.list1}
+    assert '[ :name "Anon" ]' in values[EX.carol] and values[EX.list1] == ':list1 :items ( "x" "y" ) .'
+    deep = turtle.read_text(
+        spark,
+        """@prefix : <http://example.org/> . :a :p [ :q ( 1 [ :r "deep" ; :s ( ) ] [ ] ) ] , _:twice . :b :p _:twice . _:twice :v 1 .
+        _:x :to _:y . _:y :to _:x . :c :p ( ( 2 ) ) . _:top :p :a . :d :p _:l . _:l <http://www.w3.org/1999/02/22-rdf-syntax-ns#first> 3 .""",
+    )
+    text = turtle.blocks(deep, prefixes, nested=True, indent=2).collect()
+    again = turtle.read_text(spark, turtle.header(prefixes) + "\n".join(r.value for r in text))
+    named = lambda g: g.df.where(~F.startswith("s", F.lit("_:")) & ~F.startswith("o", F.lit("_:"))).select("s", "p", "o")
+    shape = lambda g: sorted(map(tuple, g.df.groupBy("p", F.when(~F.startswith("o", F.lit("_:")), F.col("o")).alias("o")).count().collect()), key=str)
+    assert again.size() == deep.size() and shape(again) == shape(deep) and rows(named(again), "s", "p", "o") == rows(named(deep), "s", "p", "o")
+    assert len(text) == 8  # a, b, c, d; the node used twice, one of nobody, and the two of the cycle
+
+
+def test_bad_text_is_one_error(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("nonsense\n")
+    for graph in (lambda: turtle.read_text(spark, "x:a x:b x:c ."), lambda: turtle.read_text(spark, "<a> <b> nonsense ."), lambda: rdfxml.read_text(spark, "<a"), lambda: ntriples.read(spark, f"{tmp_path}/a.nt")):
+        with pytest.raises(ntriples.ParseError), ntriples.parsing():
+            graph().df.collect()
+    with pytest.raises(ZeroDivisionError), ntriples.parsing():
+        1 / 0
+
+
 def test_ntriples_rejects_bad_lines(spark, tmp_path):
     (tmp_path / "a.nt").write_text('<http://a> <http://b> "c"^^<http://www.w3.org/2001/XMLSchema#string> <http://g> . # quad\n\n# comment\nnonsense\n')
     assert rows(ntriples.read(spark, f"{tmp_path}/a.nt", strict=False), "g", "o") == [("<http://g>", '"c"')]
