@@ -11,7 +11,7 @@ from quadrille.operators.quads import Graph, View
 from quadrille.plans.mapping import BASE, TableGraph
 from quadrille.plans.solutions import Solutions
 from quadrille.register import EX, number, query, resource
-from quadrille.sources import ntriples
+from quadrille.sources import ntriples, turtle
 from quadrille.sources.store import QuadStore
 from quadrille.storage import shared_folder
 from quadrille.terms import RDF, XSD, literal, literal_column
@@ -355,6 +355,26 @@ def ntriples_texts(spark, sf):
     return (ntriples.read(spark, path) & g).df.agg(F.count("*").alias("n"))
 
 
+@query("select c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos, c_name as name, c_acctbal as balance from customer")
+def turtle_nested(spark, sf):
+    """Lists of blank nodes (every nation's customers), written nested as one Turtle statement a nation, and read again."""
+    t = TableGraph(spark, sf).table("customer")
+    node = F.concat(F.lit("_:k"), C("c_custkey").cast("string"))
+    said = lambda p, o: t.select(node.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    listed = t.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("k"))
+    head = F.concat(F.lit("_:h"), C("c_nationkey").cast("string"))
+    lists = listed.select(resource("nation", C("c_nationkey")).alias("s"), head.alias("node"), F.transform("k", lambda x: F.concat(F.lit("_:k"), x.cast("string"))).alias("items"))
+    triples = collections.build_lists(lists.select("node", "items")).union(lists.select("s", F.lit(EX.customers), "node"))
+    triples = triples.union(said(EX.name, literal_column(C("c_name")))).union(said(EX.balance, literal_column(C("c_acctbal"), datatype=XSD.double)))
+    text = turtle.blocks(Graph.from_triples(triples), {"": BASE}, nested=True)
+    read = Graph.from_triples(turtle.parse(text.select(C("s").alias("doc"), F.concat(F.lit(turtle.header({"": BASE})), "value").alias("text"))).select("s", "p", "o"))
+    heads = read.pattern("?nation", EX.customers, "?list").df
+    members = collections.members(read, heads.select("list")).withColumnsRenamed({"node": "list", "val": "k"})
+    named = read.bgp(("?k", EX.name, "?name"), ("?k", EX.balance, "?balance")).df
+    found = heads.join(members, "list").join(named, "k")
+    return found.select(number("nation").cast("int").alias("nation"), "pos", fn.lexical(C("name")).alias("name"), fn.numeric(C("balance")).alias("balance"))
+
+
 @query("select 'customers' as part, count(*) as n from customer union all select 'nobody', 0")
 def pattern_without_variables(spark, sf):
     """A pattern without variables is one empty solution if its triple is there."""
