@@ -12,13 +12,17 @@ Copies of a page within a host count as one page, so that they do not make its t
 
 A leaf's importance is GAMMA times its content's and 1 - GAMMA times its parent's presentation, mixed with a prior that
 counts as some pages: little for what stands outside the article of a page that has one, much for the article itself and
-for pages without one. A branch named for boilerplate (navigation, header, footer, aside, form, advert, notice, comments
-...) has a low prior that counts as NAMED_PAGES: it decides on hosts of few pages, and entropy on others. Only where name and
-position agree, outside the article of a page that has one, the name has the last word (NAMED_SHARE), since adverts and
-comments vary as articles do. Names of html, body, article and main are no such names, nor is a header in an article; an
-article in a named branch is an article, unless its own name agrees. Where branches with such words hold most of a page
-without article, the words tell nothing there. Branches below LIMIT are removed, and the remaining blocks are joined in
-page order.
+for pages without one. Names are of two kinds:
+
+* Words that name parts of a template (header, menu, sidebar, banner, notice, share ...) are a low prior that counts as
+  NAMED_PAGES: they decide on hosts of few pages. On others entropy does, since a real part of a template repeats.
+* Adverts, reader comments and teasers vary as articles do, so entropy cannot tell them: their names (VARIED_WORDS), and
+  tags that mean what they say (nav, footer, aside, form ...), have the last word, as any name has outside the article of a
+  page that has one.
+
+Names of html, body, article and main are no such names, nor is a header in an article; an article in a named branch is an
+article, unless its own name agrees. Where branches with such words hold most of a page without article, the words tell
+nothing there. Branches below LIMIT are removed, and the remaining blocks are joined in page order.
 
 Where the tree has little evidence, a branch's standing decides: inside an article or on a page without one it stays,
 elsewhere it goes. Only branches that the tree decides otherwise come back to the pages, as one list for each host. Each of
@@ -59,14 +63,16 @@ HIDDEN = frozenset("script style noscript template iframe textarea select option
 #: An element of the key ends open elements of the value that are directly above it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MAIN = frozenset({"article", "main"})
-NOISE_TAGS = frozenset({"head", "nav", "header", "footer", "aside", "form", "menu", "dialog"})
-#: Words in class, id or role that name boilerplate.
-NOISE_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
-    "breadcrumbs header footer sidebar aside widget cookie cookies consent notice notices gdpr popup modal overlay newsletter "
-    "subscribe signup login share sharing social related recommended comment comments disqus respond reply replies".split()
+NOISE_TAGS = frozenset({"head", "nav", "footer", "aside", "form", "menu", "dialog"})
+#: Words in class, id or role that name parts of a template, and those that name what varies without being the article.
+TEMPLATE_WORDS = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget cookie cookies consent notice "
+    "notices gdpr popup modal overlay newsletter subscribe signup login share sharing social".split()
+)
+VARIED_WORDS = frozenset(
+    "ad ads adv advert advertisement advertising sponsor sponsored promo promotion related recommended comment comments disqus "
+    "respond reply replies".split()
 )
-
 #: Pages, and characters of their html, that become one batch.
 BATCH_PAGES, BATCH_CHARACTERS = 500, 1 << 21
 
@@ -78,23 +84,24 @@ _PARTS = re.compile(r"[^\W_]+")
 #: Standings (see blocks) whose branches stay where the tree has little evidence.
 KEPT = "mp"
 
-#: How a branch is named for boilerplate: not at all, by a word, by its tag.
-UNNAMED, BY_WORD, BY_TAG = range(3)
+#: How a branch is named for boilerplate: not at all, by a word of a template, by a word of what varies, by its tag.
+UNNAMED, BY_WORD, BY_VARIED, BY_TAG = range(4)
 
 
 def _style(tag: str, attributes: str, main: bool) -> tuple[str, int]:
     """An element's part of the style path, and how it is named for boilerplate; main is whether it is inside an article."""
     names = " ".join(sorted({n for m in _NAMES.findall(attributes) for n in "".join(m).lower().split()})) if attributes else ""
-    title = tag == "header" and main
-    words = NOISE_WORDS.intersection(_PARTS.findall(names)) - ({"header"} if title else set())
-    named = BY_TAG if tag in NOISE_TAGS and not title else BY_WORD if words and tag not in ("html", "body") else UNNAMED
+    parts = set(_PARTS.findall(names)) if tag not in ("html", "body") else set()
+    if tag == "header":
+        parts = parts - {"header"} if main else parts | {"header"}
+    named = BY_TAG if tag in NOISE_TAGS else BY_VARIED if parts & VARIED_WORDS else BY_WORD if parts & TEMPLATE_WORDS else UNNAMED
     return re.sub(r"\d+", "0", f"{tag}.{names}" if names else tag), named
 
 
 def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
     """Blocks (style path, text) in page order, and the child sequence of each path. A path begins with its standing:
-    "x" named for boilerplate outside the article of a page that has one, "n" named elsewhere, "m" inside an article,
-    "o" outside it on a page that has one, "p" on any other page."""
+    "x" named for boilerplate for good (by tag, by a varied word, or outside the article of a page that has one), "n" by a
+    word of a template elsewhere, "m" inside an article, "o" outside it on a page that has one, "p" on any other page."""
     found: list[tuple[int, bool, str, str]] = []
     children: dict[str, list[str]] = {}
     stack: list[tuple[str, str, int, bool]] = [("", "", UNNAMED, False)]  # tag, path, how it is named, inside an article
@@ -142,10 +149,11 @@ def blocks(html: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
     text.append(html[lo:])
     flush()
     if not has_main:
-        by_word = sum(len(t) for n, _, _, t in found if n == BY_WORD)
+        by_word = sum(len(t) for n, _, _, t in found if n in (BY_WORD, BY_VARIED))
         if 2 * by_word > sum(len(t) for n, _, _, t in found if n != BY_TAG):
-            found = [(UNNAMED if n == BY_WORD else n, *x) for n, *x in found]
-    standing = lambda n, main: ("n" if main or not has_main else "x") if n else "m" if main else "o" if has_main else "p"
+            found = [(UNNAMED if n in (BY_WORD, BY_VARIED) else n, *x) for n, *x in found]
+    branch = lambda n, main: "x" if n > BY_WORD or has_main and not main else "n"
+    standing = lambda n, main: branch(n, main) if n else "m" if main else "o" if has_main else "p"
     return [(f"{standing(n, main)}{path}", t) for n, main, path, t in found], {p: " ".join(c) for p, c in children.items()}
 
 

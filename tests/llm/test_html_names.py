@@ -28,9 +28,9 @@ def test_names(page, kept):
 
 
 def test_entropy_outweighs_names(spark):
-    body = "<article><p>Own text %d</p><div class='box'>Like this text</div><div class='related'>Aside %d</div></article><div class='ad'>Buy %d</div>"
-    pages = [(i, f"http://many.org/{i}", body % (i, i, i)) for i in range(60)]
-    pages += [(100 + i, f"http://few.org/{i}", body % (i, i, i)) for i in range(5)]
+    body = "<article><p>Own text %d</p><div class='box'>Like this text</div><div class='widget'>Aside %d</div><div class='related'>More %d</div><aside>Side %d</aside><form>Ask %d</form><section id='comments'><p>Reader %d</p></section></article><div class='ad'>Buy %d</div>"
+    pages = [(i, f"http://many.org/{i}", body % ((i,) * 7)) for i in range(60)]
+    pages += [(100 + i, f"http://few.org/{i}", body % ((i,) * 7)) for i in range(5)]
     # Copies count once: their article is no boilerplate.
     pages += [(200 + i, f"http://copies.org/{i}", "<article><p>Own text</p></article>") for i in range(60)]
     found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
