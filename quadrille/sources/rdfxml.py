@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_blank, is_iri, lang, lexical
 from quadrille.operators.quads import Graph
 from quadrille.sources.ntriples import ParseError
+from quadrille.storage import whole_files
 from quadrille.terms import RDF, blank, iri, literal
 
 _R = f"{{{RDF.base}}}"
@@ -24,8 +26,9 @@ _ATTRIBUTES = {f"{_R}{n}" for n in ("about", "ID", "nodeID", "resource", "dataty
 class _Document:
     """The triples of one document, gathered by a walk over its nodes and properties."""
 
-    def __init__(self, name: str, base: str):
-        self.mark, self.base, self.count = hashlib.md5(name.encode()).hexdigest(), base, 0
+    def __init__(self, name: str, scope: str, base: str):
+        self.mark, self.scope = (hashlib.md5(x.encode()).hexdigest() for x in (name, scope))
+        self.base, self.count = base, 0
         self.found: list[tuple[str, str, str]] = []
 
     def fresh(self) -> str:
@@ -37,7 +40,7 @@ class _Document:
             return iri(urljoin(base, about))
         if (name := x.get(f"{_R}ID")) is not None:
             return iri(urljoin(base, f"#{name}"))
-        return blank(f"d{self.mark}n{x.get(f'{_R}nodeID')}") if x.get(f"{_R}nodeID") else self.fresh()
+        return blank(f"d{self.scope}n{x.get(f'{_R}nodeID')}") if x.get(f"{_R}nodeID") else self.fresh()
 
     def node(self, x: ET.Element, base: str, language: str | None) -> str:
         base, language = x.get(f"{_XML}base", base), x.get(f"{_XML}lang", language)
@@ -83,7 +86,7 @@ class _Document:
                 raise ParseError(f"{y.tag} holds more than one node")
             o = self.node(children[0], base, language)
         elif (resource := y.get(f"{_R}resource")) is not None or y.get(f"{_R}nodeID") or set(y.attrib) - _ATTRIBUTES:
-            o = iri(urljoin(base, resource)) if resource is not None else blank(f"d{self.mark}n{y.get(f'{_R}nodeID')}") if y.get(f"{_R}nodeID") else self.fresh()
+            o = iri(urljoin(base, resource)) if resource is not None else blank(f"d{self.scope}n{y.get(f'{_R}nodeID')}") if y.get(f"{_R}nodeID") else self.fresh()
             self.attributes(o, y, base, language)
         else:
             datatype = y.get(f"{_R}datatype")
@@ -91,31 +94,32 @@ class _Document:
         return o
 
 
-def _triples(name: str, text: str, base: str | None) -> list[tuple[str, str, str]]:
+def _triples(name: str, scope: str, text: str, base: str | None) -> list[tuple[str, str, str]]:
     try:
         root = ET.fromstring(text)
     except ET.ParseError as e:
         raise ParseError(f"{name}: {e}") from e
-    document = _Document(name, root.get(f"{_XML}base", base or name))
+    document = _Document(name, scope, root.get(f"{_XML}base", base or name))
     for x in root if root.tag == f"{_R}RDF" else [root]:
         document.node(x, document.base, root.get(f"{_XML}lang"))
     return document.found
 
 
 def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
-    """(doc, s, p, o) of documents (doc, text)."""
+    """(doc, s, p, o) of documents (doc, text); with a column `scope`, a node id means one node in all documents of a scope."""
+    scope = "scope" if "scope" in documents.columns else "doc"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                yield pd.DataFrame([(doc, *t) for t in _triples(doc, text, base)], columns=["doc", "s", "p", "o"], dtype="object")
+            for doc, own, text in zip(batch["doc"], batch["scope"], batch["text"], strict=True):
+                yield pd.DataFrame([(doc, *t) for t in _triples(doc, own, text, base)], columns=["doc", "s", "p", "o"], dtype="object")
 
-    return documents.select(F.col("doc").cast("string"), "text").mapInPandas(run, "doc string, s string, p string, o string").distinct()
+    return documents.select(F.col("doc").cast("string").alias("doc"), F.col(scope).cast("string").alias("scope"), "text").mapInPandas(run, "doc string, s string, p string, o string").distinct()
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:
-    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
-    return Graph.from_triples(parse(files, base).select("s", "p", "o"))
+    """The triples of whole files, one document each; the files of one path are one scope of node ids."""
+    return Graph.from_triples(parse(whole_files(spark, *paths), base).select("s", "p", "o"))
 
 
 def read_text(spark: SparkSession, text: str, base: str = "http://example.org/") -> Graph:
@@ -131,8 +135,8 @@ def _escaped(text: Column) -> Column:
     return text
 
 
-def blocks(graph: Graph) -> DataFrame:
-    """(s, value): an rdf:Description for each subject. A predicate must end in an XML name, or the row is an error."""
+def _properties(graph: Graph) -> DataFrame:
+    """(s, about, line): the property element of each triple, and how its subject is named."""
     space, name = (F.regexp_extract("p", r"^<(.*[^\w.-]|)([^\W\d][\w.-]*)>$", i) for i in (1, 2))
     checked = F.when(name == "", F.raise_error(F.concat(F.lit("no XML name: "), "p"))).otherwise(name)
     o = F.col("o")
@@ -154,14 +158,24 @@ def blocks(graph: Graph) -> DataFrame:
     )
     line = F.concat(F.lit("    <p:"), checked, F.lit(' xmlns:p="'), _escaped(space), F.lit('"'), value)
     about = F.when(is_blank(F.col("s")), F.concat(F.lit('rdf:nodeID="'), label(F.col("s")))).otherwise(F.concat(F.lit('rdf:about="'), _escaped(lexical(F.col("s")))))
-    rows = graph.df.select("s", "p", "o").distinct().select("s", line.alias("line"))
-    listed = rows.groupBy("s").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return listed.select("s", F.concat(F.lit("  <rdf:Description "), about, F.lit('">\n'), F.array_join("lines", "\n"), F.lit("\n  </rdf:Description>")).alias("value"))
+    return graph.df.select("s", "p", "o").distinct().select("s", F.concat(about, F.lit('"')).alias("about"), line.alias("line"))
+
+
+def blocks(graph: Graph) -> DataFrame:
+    """(s, value): an rdf:Description for each subject. A predicate must end in an XML name, or the row is an error."""
+    listed = _properties(graph).groupBy("s", "about").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    return listed.select("s", F.concat(F.lit("  <rdf:Description "), "about", F.lit(">\n"), "lines", F.lit("\n  </rdf:Description>")).alias("value"))
+
+
+def write(graph: Graph, path: str, mode: str = "error") -> None:
+    """One document for each partition of the graph: an rdf:Description a triple between header and footer, line by line, so
+    that neither a subject nor a file is ever one string and nothing is shuffled for it. read() of the folder gives the
+    nodes that its files share."""
+    rows = _properties(graph).select(F.concat(F.lit("  <rdf:Description "), "about", F.lit(">"), F.trim("line"), F.lit("</rdf:Description>")).alias("value"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([HEADER])], ["value"])
+        yield from batches
+        yield pa.record_batch([pa.array([FOOTER])], ["value"])
 
-def write(graph: Graph, path: str, subjects_per_file: int = 100_000, mode: str = "error") -> None:
-    """Files that are documents of their own: each row of text holds the subjects of one bucket by hash."""
-    statements = blocks(graph)
-    n = max(1, -(-statements.count() // subjects_per_file))
-    bucketed = statements.groupBy(F.pmod(F.xxhash64("s"), F.lit(n)).alias("bucket")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("body"))
-    bucketed.repartition(n, "bucket").select(F.concat_ws("\n", F.lit(HEADER), "body", F.lit(FOOTER)).alias("value")).write.mode(mode).text(path)
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.terms import is_blank
 from quadrille.operators.collections import cells
 from quadrille.operators.quads import Graph
-from quadrille.storage import checkpointed
+from quadrille.storage import checkpointed, whole_files
 from quadrille.terms import ESCAPES, RDF, XSD
 
 _NAME = r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:[\w:%](?:[\w.:%-]*[\w:%-])?)?"
@@ -81,12 +81,14 @@ def _with_dots(text: Column, tokens: Column) -> Column:
 
 
 def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
-    """(doc, s, p, o) of documents (doc, text). Blank nodes are labelled apart for each document."""
+    """(doc, s, p, o) of documents (doc, text). Blank nodes are labelled apart for each document; with a column `scope`, a
+    label means one node in all documents of a scope."""
+    documents = documents.select("doc", "text", *(["scope"] if "scope" in documents.columns else [F.col("doc").alias("scope")]))
     by_doc = Window.partitionBy("doc").orderBy("i")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = F.col("tok")
-    found = documents.select("doc", "text", F.filter(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda x: ~x.startswith("#")).alias("toks"))
-    tokens = found.select("doc", F.posexplode(_with_dots(F.col("text"), F.col("toks"))).alias("i", "tok"))
+    found = documents.select("doc", "scope", "text", F.filter(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda x: ~x.startswith("#")).alias("toks"))
+    tokens = found.select("doc", "scope", F.posexplode(_with_dots(F.col("text"), F.col("toks"))).alias("i", "tok"))
     step = F.when(t.isin("[", "("), 1).when(t.isin("]", ")"), -1).otherwise(0)
     rows = tokens.select("*", F.lead("tok").over(by_doc).alias("next"), F.sum(step).over(so_far).alias("deep"))
     rows = rows.withColumn("level", F.when(step == 1, F.col("deep") - 1).otherwise(F.col("deep"))).where(step >= 0)
@@ -128,7 +130,7 @@ def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
         .when(t.isin("[", "("), label(F.col("i")))
         .when(t.startswith("<"), F.concat(F.lit("<"), _resolved(_unescaped(F.substr(t, F.lit(2), F.length(t) - 2)), F.col("base")), F.lit(">")))
         .when(t.rlike("^[\"']"), F.concat(_literal(t), F.when(tail.startswith("^^"), F.when(typed == XSD.string, "").otherwise(F.concat(F.lit("^^"), typed))).otherwise(tail)))
-        .when(t.startswith("_:"), F.concat(F.lit("_:d"), F.md5(F.col("doc").cast("string")), F.lit("n"), F.substr(t, F.lit(3))))
+        .when(t.startswith("_:"), F.concat(F.lit("_:d"), F.md5(F.col("scope").cast("string")), F.lit("n"), F.substr(t, F.lit(3))))
         .when(full.isNotNull(), F.concat(F.lit("<"), full, F.lit(">")))
         .when(t == "a", F.lit(RDF.type))
         .when(t.isin("true", "false"), number("boolean"))
@@ -154,9 +156,9 @@ def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:
-    """The triples of whole files, one document each."""
-    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
-    return Graph.from_triples(parse(files, base).select("s", "p", "o"))
+    """The triples of whole files, one document each. The files of one path are one scope of blank node labels, so that what
+    write() spreads over a folder's files stays one node."""
+    return Graph.from_triples(parse(whole_files(spark, *paths), base).select("s", "p", "o"))
 
 
 def read_text(spark: SparkSession, text: str, base: str | None = None) -> Graph:

@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -31,6 +33,12 @@ def checkpointed(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(doc, scope, text): each file's name, the path that it was asked for by, and its whole text."""
+    read = lambda path: spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.lit(path).alias("scope"), F.col("value").alias("text"))
+    return reduce(DataFrame.union, map(read, paths))
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed the version first."""
 

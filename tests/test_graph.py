@@ -72,6 +72,14 @@ def test_round_trips(spark, golden, tmp_path):
     rdfxml.write(golden, f"{tmp_path}/xml")
     again = rdfxml.read(spark, f"{tmp_path}/xml")
     assert again.size() == golden.size() and (again & named).same(named)
+    many = Graph(golden.df.repartition(8, "s"))
+    turtle.write(many, f"{tmp_path}/ttl8", prefixes)
+    rdfxml.write(many, f"{tmp_path}/xml8")
+    assert len(list((tmp_path / "xml8").glob("*.txt"))) > 2
+    for found in (turtle.read(spark, f"{tmp_path}/ttl8"), rdfxml.read(spark, f"{tmp_path}/xml8")):  # nodes that files share
+        assert found.size() == golden.size()
+        assert found.bgp((EX.carol, EX.knows, "?x"), ("?x", EX.name, "?n")).df.count() == 1
+        assert collections.read_lists(found, found.get(EX.list1, EX["items"]).df.select("o")).first()["items"] == [literal("x"), literal("y")]
 
 
 def test_turtle_nests_what_is_used_once(spark, golden):
