@@ -11,9 +11,10 @@ hashes, and the words around each hit are compared.
 
 As a Spark job: the items become rows of windows, (item, place, words around it, masked hashes). A Bloom filter of the
 items' hashes goes to all executors; documents pass through it, and only windows with a hash in it become rows. The two
-tables are joined on the hash, on narrow rows; the words around both sides come back by place and are compared. Nothing of
-a document or an item passes through the driver, which sees the filter alone (at most MAX_BITS bits). A benchmark of more
-than PART_HASHES hashes takes a pass over the documents for each part, so the filter stays as selective as it is small.
+tables are joined on the hash, on narrow rows of distinct surroundings; the words around both sides come back and are
+compared once for each pair of surroundings, and only then texts and items are named. Nothing of a document or an item
+passes through the driver, which sees the filter alone (at most MAX_BITS bits). A benchmark of more than PART_HASHES hashes
+takes a pass over the documents for each part, so the filter stays as selective as it is small.
 
 Documents are addressed by content: equal texts are compared once. Windows of one text that have the same words around
 them are compared once too (a repeated word gives a handful, not one for each of its pairs).
@@ -310,50 +311,59 @@ def _addressed(text: str) -> Column:
     return F.unhex(F.md5(text_or_empty(text)))
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """(text_id, item_id, first_word, end_word, n_matched): a row for each distinct text of df and of the benchmark's
-    column `text` with a verified overlap: from the first to the last accepted window along one alignment (the longest
-    such stretch), and the equal words of its best window. Ids are MD5 of the texts."""
+def matches(df: DataFrame, benchmark: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, other, first, last, equal) of the surroundings of windows that overlap; where surroundings `own` stand in texts
+    (text_id, at), and `other` in items (item_id, place). Equal surroundings are compared once: neither a passage that many
+    documents share nor a phrase that many items share makes pairs of them."""
     items = benchmark.select(_addressed("text").alias("item_id"), text_or_empty("text").alias("text")).dropDuplicates(["item_id"])
-    items = materialize(benchmark_windows(items), "benchmark")
+    window = F.least("n_words", F.lit(MIN_OVERLAP)).alias("window")
+    items = benchmark_windows(items).select("item_id", "place", "span", window, "around", "hashes", F.md5(F.concat(F.col("around"), window.cast("string").cast("binary"))).alias("other"))
+    items = materialize(items, "benchmark")
     texts = df.select(_addressed(text).alias("text_id"), text_or_empty(text).alias("text"))
-    # One row for each length under MIN_OVERLAP, and one for all others.
-    lengths = items.select(F.least("n_words", F.lit(MIN_OVERLAP))).distinct().collect()
+    lengths = items.select("window").distinct().collect()  # MIN_OVERLAP rows at most
     seeds = sorted({seed_of(n) for (n,) in lengths}, key=lambda s: (s.span, s.period))
-    test = items.select("item_id", "n_words", "place", "span", F.explode("hashes").alias("h"))
+    test = items.select("other", "window", "span", F.explode("hashes").alias("h")).distinct()
     n_parts = max(1, -(-test.count() // PART_HASHES))
     part = F.pmod(F.xxhash64("h"), F.lit(n_parts))
     passes = [document_windows(texts, seeds, _bloom(test.where(part == p).select("h").distinct())) for p in range(n_parts)]
-    found = materialize(reduce(DataFrame.unionByName, passes).withColumnRenamed("place", "at"), "windows")
-    hits = found.select("text_id", "at", F.explode("hashes").alias("h")).join(test, "h").select("text_id", "at", "item_id", "place", "span", "n_words").distinct()
-    own = found.select("text_id", "at", "span", F.col("around").alias("own")).dropDuplicates(["text_id", "at", "span"])
-    other = items.select("item_id", "place", F.col("around").alias("other"))
-    pairs = hits.join(own, ["text_id", "at", "span"]).join(other, ["item_id", "place"])
-    verified = _verified(pairs.select("text_id", "item_id", "at", "place", "span", "n_words", "own", "other"))
-    by_line = verified.groupBy("text_id", "item_id", "shift").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.max("equal").alias("equal"))
-    best = F.max_by(F.struct("first", "end", "equal"), F.struct(F.col("end") - F.col("first"), "equal", -F.col("shift")))
-    return by_line.groupBy("text_id", "item_id").agg(best.alias("b")).select(
-        "text_id", "item_id", F.col("b.first").alias("first_word"), F.col("b.end").alias("end_word"), F.col("b.equal").alias("n_matched")
-    )
+    found = materialize(reduce(DataFrame.unionByName, passes).select("text_id", F.col("place").alias("at"), "around", "hashes", F.md5("around").alias("own")), "windows")
+    hits = found.select("own", F.explode("hashes").alias("h")).distinct().join(test, "h").select("own", "other", "window", "span").distinct()
+    sides = [side.groupBy(name).agg(F.first("around").alias(f"{name}_words")) for side, name in ((found, "own"), (items, "other"))]
+    pairs = hits.join(sides[0], "own").join(sides[1], "other").select("own", "other", "window", "span", "own_words", "other_words")
+    return materialize(_verified(pairs), "matches"), found.select("own", "text_id", "at"), items.select("other", "item_id", "place")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(text_id, item_id, shift, first, end, equal) of the hits whose surroundings have enough equal words."""
-    names = ["text_id", "item_id", "shift", "first", "end", "equal"]
+    """(own, other, first, last, equal) of the pairs of surroundings that have enough equal words."""
+    names = ["own", "other", "first", "last", "equal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, place, span, n_words = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
+            window, span = (batch.column(c).to_numpy() for c in (2, 3))
             for size in np.unique(span).tolist():
                 rows = np.flatnonzero(span == size)
-                sides = [np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1) for c in (6, 7)]
-                ok, equal, first, last = verify(*sides, n_words[rows])
-                kept = rows[ok]
-                lo = at[kept] - REACH
-                out = [at[kept] - place[kept], lo + first[ok], lo + last[ok] + 1, equal[ok]]
-                yield pa.record_batch([*[batch.column(c).take(pa.array(kept)) for c in (0, 1)], *[pa.array(c, pa.int64()) for c in out]], names)
+                sides = [np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1) for c in (4, 5)]
+                ok, equal, first, last = verify(*sides, window[rows])
+                kept = pa.array(rows[ok])
+                yield pa.record_batch([*[batch.column(c).take(kept) for c in (0, 1)], *[pa.array(x[ok], pa.int64()) for x in (first, last, equal)]], names)
+
+    return pairs.mapInArrow(run, "own string, other string, first long, last long, equal long")
+
 
-    return pairs.mapInArrow(run, "text_id binary, item_id binary, shift long, first long, end long, equal long")
+def overlaps(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """(text_id, item_id, first_word, end_word, n_matched): a row for each distinct text of df and of the benchmark's
+    column `text` with a verified overlap: from the first to the last accepted window along one alignment (the longest
+    such stretch), and the equal words of its best window. Ids are MD5 of the texts."""
+    verified, own, other = matches(df, benchmark, text)
+    lo = F.col("at") - REACH
+    placed = verified.join(own, "own").join(other, "other").select(
+        "text_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), (lo + F.col("first")).alias("first"), (lo + F.col("last") + 1).alias("end"), "equal"
+    )
+    by_line = placed.groupBy("text_id", "item_id", "shift").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.max("equal").alias("equal"))
+    best = F.max_by(F.struct("first", "end", "equal"), F.struct(F.col("end") - F.col("first"), "equal", -F.col("shift")))
+    return by_line.groupBy("text_id", "item_id").agg(best.alias("b")).select(
+        "text_id", "item_id", F.col("b.first").alias("first_word"), F.col("b.end").alias("end_word"), F.col("b.equal").alias("n_matched")
+    )
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -368,7 +378,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df without a verified overlap, with all their columns. Overlapping texts are few: Spark sends their ids
     to the rows while they are small, and then no text moves."""
-    found = materialize(overlaps(df, benchmark, text).select(F.col("text_id").alias("_text_id")).distinct(), "contaminated")
+    verified, places, _ = matches(df, benchmark, text)
+    found = places.join(verified.select("own").distinct(), "own", "left_semi").select(F.col("text_id").alias("_text_id")).distinct()
+    found = materialize(found, "contaminated")
     own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(df.columns)]
     rows = df.select(*own, _addressed(text).alias("_address")).join(found, F.col("_address") == F.col("_text_id"), "left_anti")
     return rows.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -197,6 +197,9 @@ def test_the_filter_holds_every_hash(spark):
 
 
 def test_hot_passages_keep_every_row(spark):
-    passage = " ".join(f"w{i}" for i in range(25))
-    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{passage} tail"), (F.col("id") % 150).cast("string")).alias("text"))
-    assert d.contaminated(df, spark.createDataFrame([(1, passage)], "item_id long, text string")).count() == 300
+    passage = " ".join(f"w{i}" for i in range(120))
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{passage} tail"), (F.col("id") % 30).cast("string")).alias("text"))
+    items = spark.createDataFrame([(i, f"{passage} {i}") for i in range(20)], "item_id long, text string")  # a phrase that many items share
+    assert d.contaminated(df, items).count() == 60 * 20 and d.decontaminate(df, items).count() == 0
+    compared = d.matches(df, items, "text")[0].count()
+    assert compared < 20_000 < 30 * 20 * 111  # pairs of surroundings, not of all windows of texts and items
