@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import chunks, materialize, text_or_empty
+from quadrille.llm.common import chunks, materialize, text_or_empty, without
 
 #: At least PERCENT of the words of a window of MIN_OVERLAP item words must be equal.
 MIN_OVERLAP, PERCENT = 20, 80
@@ -376,11 +376,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df without a verified overlap, with all their columns. Overlapping texts are few: Spark sends their ids
-    to the rows while they are small, and then no text moves."""
+    """The rows of df without a verified overlap, with all their columns; texts that are surely clean do not move."""
     verified, places, _ = matches(df, benchmark, text)
-    found = places.join(verified.select("own").distinct(), "own", "left_semi").select(F.col("text_id").alias("_text_id")).distinct()
-    found = materialize(found, "contaminated")
+    found = places.join(verified.select("own").distinct(), "own", "left_semi").select(F.col("text_id").alias("_address")).distinct()
     own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(df.columns)]
-    rows = df.select(*own, _addressed(text).alias("_address")).join(found, F.col("_address") == F.col("_text_id"), "left_anti")
-    return rows.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns)])
+    kept = without(df.select(*own, _addressed(text).alias("_address")), "_address", materialize(found, "contaminated"))
+    return kept.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns)])

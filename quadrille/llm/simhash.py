@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import materialize, text_or_empty
+from quadrille.llm.common import materialize, text_or_empty, without
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Largest bucket whose members are compared directly.
@@ -184,9 +184,9 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     groups = materialize(copies.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "groups")
     first = groups.groupBy("root").agg(F.min("place").alias("first"))
     judged = groups.join(first, "root").select("_address", "n", F.col("place").eqNullSafe(F.col("first")).alias("stays"))
-    later = materialize(judged.where("not stays").select("_address"), "later")
+    later = materialize(judged.where("not stays or n > 1").select("_address"), "later")
     repeated = materialize(judged.where("stays and n > 1").select("_address"), "repeated")
     addressed = rows.select("*", address)
-    once = addressed.join(later.union(repeated), "_address", "left_anti")
+    once = without(addressed, "_address", later)
     again = addressed.join(repeated, "_address", "left_semi").dropDuplicates(["_address"])
     return once.unionByName(again).select(*[F.col(o).alias(c) for c, o in own.items()])

@@ -376,6 +376,18 @@ def test_a_key_on_many_rows(spark):
     assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
 
 
+def test_rows_without_some_values(spark, monkeypatch):
+    from quadrille.llm import common
+
+    rows = spark.range(5000).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("a"), F.lit("x").alias("_page"))
+    for most in (1 << 28, 1 << 15):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        for some in (0, 1, 3000):
+            kept = common.without(rows.drop("_page"), "a", rows.where(F.col("id") < some).select("a")).collect()
+            assert sorted(r.id for r in kept) == list(range(some, 5000))
+    assert common.without(rows.drop("_page").union(spark.createDataFrame([(-1, None)], "id long, a binary")), "a", rows.select("a")).collect()[0].id == -1
+
+
 def test_one_row_of_each_group(spark):
     base, other = " ".join(f"word{i}" for i in range(400)), " ".join(f"other{i}" for i in range(50))
     rows = [(None, base), (None, base + " tail"), (5, base), (5, base), (5, base), (9, other), (9, base + " more"), (None, "quite alone here"), (None, "quite alone here"), (None, None), (3, "")]
