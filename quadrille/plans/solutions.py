@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_blank, is_literal
+from quadrille.plans.ordering import ordered
+
+#: Rows of an order that Spark's own OFFSET and LIMIT may go through.
+DEEP = 20_000
 
 
 @dataclass(frozen=True)
@@ -25,6 +29,9 @@ class Solutions:
     df: DataFrame
     iris: dict[str, str] = field(default_factory=dict)
     maybe: frozenset[str] = frozenset()
+    #: After order_by(): the order, and the solutions before it.
+    order: tuple[Column, ...] = ()
+    unsorted: DataFrame | None = None
 
     @property
     def variables(self) -> list[str]:
@@ -35,7 +42,7 @@ class Solutions:
         return F.col(f"`{variable}`")
 
     def _with(self, df: DataFrame, **changes) -> Solutions:
-        return replace(self, df=df, **changes)
+        return replace(self, df=df, **({"order": (), "unsorted": None} | changes))
 
     def _shared(self, other: Solutions) -> list[str]:
         return [c for c in self.df.columns if c in other.df.columns]
@@ -125,9 +132,14 @@ class Solutions:
 
     def order_by(self, *columns: Column) -> Solutions:
         """ORDER BY columns, each ascending (unbound first) unless it is a sort order already."""
-        return self._with(self.df.orderBy(*columns))
+        return replace(self, df=self.df.orderBy(*columns), order=columns, unsorted=self.df)
 
     def slice(self, offset: int = 0, limit: int | None = None) -> Solutions:
+        """LIMIT and OFFSET. Beyond the first DEEP rows of an order, the solutions are dealt to ranges of the order on shared
+        storage, and only the ranges that hold the window are read: Spark's own OFFSET would keep offset + limit rows in
+        each task and merge them all in one."""
+        if self.order and offset + (limit or 0) > DEEP:
+            return self._with(ordered(self.unsorted, *self.order).window(offset, limit).orderBy(*self.order))
         df = self.df.offset(offset) if offset else self.df
         return self._with(df if limit is None else df.limit(limit))
 

@@ -10,6 +10,7 @@ from quadrille.functions import terms as fn
 from quadrille.operators import collections, owl
 from quadrille.operators.quads import Graph
 from quadrille.plans.mapping import BASE, TableGraph
+from quadrille.plans.ordering import ordered
 from quadrille.plans.solutions import Solutions
 from quadrille.register import EX, ORACLES, QUERIES, query
 from quadrille.sources import rdfxml, turtle
@@ -262,6 +263,18 @@ def order_desc_offset(spark, sf):
     return TableGraph(spark, sf).star("customer", "c").order_by(C("c").desc_nulls_last()).slice(30, 10).df
 
 
+@query("select l_orderkey as o, l_extendedprice as price from lineitem order by l_extendedprice desc, l_orderkey limit 1000 offset 40000")
+def order_deep_offset(spark, sf):
+    lines = TableGraph(spark, sf).star("lineitem", l_orderkey="o", l_extendedprice="price").select("o", "price")
+    return lines.order_by(C("price").desc_nulls_last(), C("o")).slice(40_000, 1000).df
+
+
+@query("select o_orderkey as o, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as position from orders")
+def order_positions(spark, sf):
+    orders = TableGraph(spark, sf).star("orders", "o", o_totalprice="total").df
+    return ordered(orders, C("total").desc_nulls_last(), C("o")).numbered().select("o", "position")
+
+
 @query("select o_orderkey as o, o_totalprice as total from orders order by o_totalprice desc, o_orderkey limit 10")
 def topk_orders(spark, sf):
     return TableGraph(spark, sf).star("orders", "o", o_totalprice="total").order_by(C("total").desc(), C("o")).slice(limit=10).df
