@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, decontaminate, html_extract, quality_classifier, quality_rules, secrets, simhash, token_blocks, token_counts
+from quadrille.llm import bpe, decontaminate, html_extract, quality_classifier, quality_rules, resampling, secrets, simhash, token_blocks, token_counts
 from quadrille.llm.common import scratch, table, text_or_empty
 from quadrille.llm.sharding import ShardStore
 
@@ -68,6 +68,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_byte_bpe,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sharding,
         op9_secret_scans,
         op10_decontaminate,
+        op11_importance_resampling,
     ]
     return {f.__name__: f for f in every}
 
