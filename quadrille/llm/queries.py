@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, decontaminate, html_extract, quality_classifier, quality_rules, resampling, secrets, simhash, token_blocks, token_counts
+from quadrille.llm import bpe, decontaminate, hard_negatives, html_extract, quality_classifier, quality_rules, resampling, secrets, simhash, token_blocks, token_counts
 from quadrille.llm.common import scratch, table, text_or_empty
 from quadrille.llm.sharding import ShardStore
 
@@ -73,6 +73,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_byte_bpe,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scans,
         op10_decontaminate,
         op11_importance_resampling,
+        op12_hard_negatives,
     ]
     return {f.__name__: f for f in every}
 
@@ -110,9 +116,22 @@ def _secrets_sql() -> str:
         from d left join spans using (doc) group by doc"""
 
 
+_NEGATIVES_SQL = """with e as materialized (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.r as anchor, a.vec_id as anchor_id, b.vec_id, b.r, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+        from e a join e b on a.vec_id % 100 = 0 and a.r <> b.r),
+    positives as (select * from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id, r) <= 5)
+    select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.anchor, p.r order by n.score desc, n.vec_id, n.r))::int as rank, n.vec_id as negative_id,
+        p.score as positive_score, n.score as negative_score
+    from positives p join scored n on p.anchor = n.anchor and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+    qualify row_number() over (partition by p.anchor, p.r order by n.score desc, n.vec_id, n.r) <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; tests hold the others against brute force."""
     return {
         "op8_sharding": "select doc_id, strlen(coalesce(text, '')) as n_bytes, sha256(coalesce(text, '')) as text_sha256, lang, source, n_chars from documents",
         "op9_secret_scans": _secrets_sql(),
+        "op12_hard_negatives": _NEGATIVES_SQL,
     }
