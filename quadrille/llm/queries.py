@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, decontaminate, hard_negatives, html_extract, quality_classifier, quality_rules, resampling, secrets, simhash, token_blocks, token_counts
+from quadrille.llm import bpe, decontaminate, hard_negatives, html_extract, pii, quality_classifier, quality_rules, resampling, secrets, simhash, token_blocks, token_counts
 from quadrille.llm.common import scratch, table, text_or_empty
 from quadrille.llm.sharding import ShardStore
 
@@ -78,6 +78,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("vec_id") % 100 == 0)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.report(pii.find_pii(documents, pii.fit(documents)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_byte_bpe,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_decontaminate,
         op11_importance_resampling,
         op12_hard_negatives,
+        op13_pii,
     ]
     return {f.__name__: f for f in every}
 
