@@ -117,7 +117,8 @@ def test_importance_against_brute_force(spark):
 def test_classes_of_single_pages_are_not_listed(spark):
     pages = [(i, f"http://h.org/{i}", f"<article><p>Own text {i}</p></article><div class='c{chr(97 + i % 26)}{chr(97 + i // 26)}'><p>Aside {i}</p></div>") for i in range(200)]
     parsed = html_extract.parse(spark.createDataFrame(pages, "page_id long, url string, html string"), "page_id", "url", "html")
-    assert html_extract.exceptions(parsed, html_extract.style_tree(parsed)).count() == 0
+    listed = html_extract.exceptions(parsed, html_extract.style_tree(parsed)).collect()
+    assert [sorted(r.turned) for r in listed] == [["+m/article/p"]]
 
 
 def test_long_pages_and_many_in_a_batch(spark, monkeypatch):
