@@ -60,8 +60,8 @@ from quadrille.llm.common import materialize, text_or_empty
 GAMMA = 0.9
 #: Pages that a branch needs for the tree to speak; a gap that is wide; the least gap; importance of a host's best branches.
 SUPPORT, WIDE_GAP, LEAST_GAP, BEST = 8, 0.3, 0.03, 0.8
-#: Limit and half a gap for hosts without a gap.
-PLAIN_LIMIT, PLAIN_HALF = 0.85, 0.1
+#: For hosts without a gap: half a gap, and the distance of the limit from the best branch.
+PLAIN_HALF = 0.1
 #: By standing (see blocks): what is added to a branch's score, for good and as a number of pages that its own pages outweigh.
 PRIORS = {"m": (0.6, 10), "p": (0.0, 8), "o": (-0.5, -8), "n": (-0.2, -20), "x": (-3.0, 0)}
 #: What an article has without a name goes only below this importance too.
@@ -378,8 +378,8 @@ def limits(leaves: DataFrame) -> DataFrame:
     edges = F.struct("below", "importance")
     wide = F.max_by(F.when(F.col("gap") >= WIDE_GAP, edges), F.when(F.col("gap") >= WIDE_GAP, F.col("gap")))
     top = F.max_by(F.when(F.col("gap") >= LEAST_GAP, edges), F.when(F.col("gap") >= LEAST_GAP, F.col("importance")))
-    found = gaps.groupBy("host").agg(F.coalesce(wide, top).alias("g"))
-    limit = F.coalesce((F.col("g.below") + F.col("g.importance")) / 2, F.lit(PLAIN_LIMIT))
+    found = gaps.groupBy("host").agg(F.coalesce(wide, top).alias("g"), F.max("importance").alias("best"))
+    limit = F.coalesce((F.col("g.below") + F.col("g.importance")) / 2, F.col("best") - PLAIN_HALF)
     return found.select("host", limit.alias("limit"), F.coalesce((F.col("g.importance") - F.col("g.below")) / 2, F.lit(PLAIN_HALF)).alias("half"))
 
 
