@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrille.storage import checkpointed as materialize
 from quadrille.storage import shared_folder as scratch
 
-__all__ = ["WHITE_SPACE", "WORD", "chunks", "materialize", "scratch", "table", "text_or_empty", "without", "words"]
+__all__ = ["WHITE_SPACE", "WORD", "chunks", "marked", "materialize", "scratch", "table", "text_or_empty", "without", "words"]
 
 #: White space that separates words, as bytes 0x20 and 0x09-0x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -29,12 +29,12 @@ def text_or_empty(column: str) -> Column:
 BITS_EACH, MOST_BITS, PAGE = 64, 1 << 28, 1 << 15
 
 
-def without(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """The rows whose `column` is not in the one column of `values` (which has distinct values of the same name).
+def marked(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """rows with a boolean column `_set`: true where `column` is in the one column of `values` (which has distinct values of
+    the same name), and for a few others. No row moves.
 
-    A bitmap of the values' hashes goes to all executors, at most MOST_BITS bits in pages. Rows whose bit is not set stay
-    where they are; only the others, the rows to drop and a few more, are joined with the values. With more values than the
-    bitmap can tell apart, all rows are joined: slower, but the same rows.
+    A bitmap of the values' hashes goes to all executors, at most MOST_BITS bits in pages. With more values than the bitmap
+    can tell apart, it is true for all rows.
     """
     n_bits = min(MOST_BITS, max(PAGE, 1 << (BITS_EACH * values.count()).bit_length()))
     bit = F.pmod(F.xxhash64(column), F.lit(n_bits))
@@ -44,8 +44,14 @@ def without(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     placed = rows.select("*", place.alias("_place"), page).join(F.broadcast(pages), "_page", "left")
     byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.col("_place") % 8 + 1)) != 0, F.lit(False))
-    marked = placed.select(*rows.columns, set_.alias("_set"))
-    kept, doubtful = marked.where("not _set").drop("_set"), marked.where("_set").drop("_set")
+    return placed.select(*rows.columns, set_.alias("_set"))
+
+
+def without(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose `column` is not in the one column of `values` (which has distinct values of the same name). Only the
+    rows to drop and a few more are joined with the values; the others stay where they are."""
+    told = marked(rows, column, values)
+    kept, doubtful = told.where("not _set").drop("_set"), told.where("_set").drop("_set")
     return kept.unionByName(doubtful.join(values, column, "left_anti").select(*rows.columns))
 
 

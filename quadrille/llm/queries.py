@@ -103,12 +103,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _spans_sql(rank: int, rule: secrets.Rule) -> str:
-    """DuckDB: (doc, kind, start, end) of a rule, from the lengths of what stands between and in its matches."""
-    pattern = rule.pattern.replace("'", "''")
+    """DuckDB: (doc, kind, start, end) of a rule, from the lengths of what stands between and in its matches. DuckDB's
+    expressions cannot look behind: there a match takes the character before it too, which does not count."""
+    pattern = (f"(?:^|[^{rule.apart}])" if rule.apart else "") + rule.pattern.replace("'", "''")
+    before = f" + (regexp_matches(found[i], '^[^{rule.apart}]'))::int" if rule.apart else ""
     sums = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
     matches = f"""select doc, string_split_regex(body, '{pattern}') as gaps, regexp_extract_all(body, '{pattern}', 0) as found, regexp_extract_all(body, '{pattern}', {rule.group}) as part
         from d where regexp_matches(body, '{pattern}')"""
-    return f"""select doc, {rank} as rank, '{rule.kind}' as kind, {sums.format("gaps[1:i]")} + {sums.format("found[1:i-1]")} as s, {sums.format("gaps[1:i]")} + {sums.format("found[1:i]")} as e
+    return f"""select doc, {rank} as rank, '{rule.kind}' as kind, {sums.format("gaps[1:i]")} + {sums.format("found[1:i-1]")}{before} as s, {sums.format("gaps[1:i]")} + {sums.format("found[1:i]")} as e
         from (select *, unnest(range(1, len(found) + 1)) as i from ({matches})) where length(part[i]) >= {rule.least}"""
 
 

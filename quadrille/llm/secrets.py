@@ -2,9 +2,13 @@
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger is a folder on shared storage with two
 tables: `scanned` (blob_id, rule versions that it was scanned with) and `findings` (blob_id, rule version, span). A scan
-takes the distinct blobs, drops the (blob, rule version) pairs that the ledger has, runs only the rest, appends to the
-ledger, and joins findings back to every path that has the blob. Findings are written before `scanned`: after a crash
-between the two the blob is scanned again, and equal findings count once.
+drops the (blob, rule version) pairs that the ledger has, runs only the rest, appends to the ledger, and joins findings back
+to every path that has the blob. Findings are written before `scanned`: after a crash between the two the blob is scanned
+again, and equal findings count once.
+
+Texts are scanned where they are: a bitmap of the ledger's blobs tells most new ones at once, and only texts that the ledger
+knows but that newer rules have not seen are joined with it. Copies within one batch give equal findings, which are made one
+before the shuffle. Every rule reads a text in time linear in its length.
 
 Matches are leftmost and not overlapping, per rule; a match whose measured part is too short is dropped after matching.
 Positions are code points, end exclusive: the lengths of the stretches between matches and of the matches, summed in
@@ -24,12 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from quadrille.llm.common import materialize, text_or_empty
+from quadrille.llm.common import marked, materialize, text_or_empty
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern; matches count if the given group has at least so many characters. A new version is a new rule to the ledger."""
+    """A pattern; matches count if the given group has at least so many characters. No character of the class `apart`, in
+    which the match begins, stands directly before a match. A new version is a new rule to the ledger."""
 
     kind: str
     pattern: str
@@ -37,6 +42,11 @@ class Rule:
     least: int
     base: bool = False
     version: int = 1
+    apart: str = ""
+
+    @property
+    def bounded(self) -> str:
+        return f"(?<![{self.apart}]){self.pattern}" if self.apart else self.pattern
 
     @property
     def id(self) -> str:
@@ -49,7 +59,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, base=True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, base=True),  # the runs of [0-9a-f]+ that are long enough
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, version=2, apart="A-Za-z0-9_-"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 )
@@ -67,9 +77,9 @@ def _exists(spark: SparkSession, path: str) -> DataFrame | None:
 def _matches(text: Column, rule: Rule) -> Column:
     """array<struct<gap, length, measured, gap_bytes, length_bytes>>: the lengths of what stands before each match, of the
     match, and of its measured part."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.bounded)
     parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
+        F.split(text, rule.bounded, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
     )
@@ -85,14 +95,15 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob_id, rule, kind, start, end, first_byte, end_byte) of blobs (blob_id, text, todo array<string> of rule ids)."""
+    """(blob_id, rule, kind, start, end, first_byte, end_byte) of blobs (blob_id, text, todo array<string> of rule ids), once
+    for all rows of a blob."""
     text = F.col("text")
     kinds = []
     for rule in rules:
-        due = F.array_contains("todo", rule.id) & text.rlike(rule.pattern)
+        due = F.array_contains("todo", rule.id) & text.rlike(rule.bounded)
         kinds.append(F.when(due, F.struct(F.lit(rule.id).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), _matches(text, rule).alias("m"))))
     hit = blobs.select("blob_id", F.explode(F.array_compact(F.array(*kinds))).alias("k"))
-    rows = hit.select("blob_id", "k.rule", "k.kind", "k.least", F.posexplode("k.m").alias("i", "m"))
+    rows = hit.select("blob_id", "k.rule", "k.kind", "k.least", F.posexplode("k.m").alias("i", "m")).dropDuplicates(["blob_id", "rule", "i"])
     upto = Window.partitionBy("blob_id", "rule").orderBy("i")
     ended = F.sum(F.col("m.gap") + F.col("m.length")).over(upto)
     ended_bytes = F.sum(F.col("m.gap_bytes") + F.col("m.length_bytes")).over(upto)
@@ -112,14 +123,17 @@ def update_ledger(df: DataFrame, ledger: str, key: str = "doc_id", text: str = "
     every = F.array(*[F.lit(r.id) for r in rules])
     versions = addressed(df, key, text).select("blob_id", "text")
     scanned = _exists(spark, f"{ledger}/scanned")
-    if scanned is None:
-        due = versions.withColumn("todo", every)
-    else:
-        seen = scanned.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
-        due = versions.join(seen, "blob_id", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
-        due = due.where(F.size("todo") > 0).select("blob_id", "text", "todo")
-    unseen = due.dropDuplicates(["blob_id"])
-    scan(unseen, rules).write.mode("append").parquet(f"{ledger}/findings")
+    due = versions.withColumn("todo", every)
+    if scanned is not None:
+        seen = materialize(scanned.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen")), "seen")
+        told = marked(versions, "blob_id", seen.select("blob_id"))
+        known = told.where("_set").drop("_set")
+        todo = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
+        lacking = known.select("blob_id").distinct().join(seen, "blob_id", "left").select("blob_id", todo).where(F.size("todo") > 0)
+        lacking = materialize(lacking, "lacking")
+        again = marked(known, "blob_id", lacking.select("blob_id")).where("_set").drop("_set").join(lacking, "blob_id")
+        due = told.where("not _set").drop("_set").withColumn("todo", every).unionByName(again)
+    scan(due, rules).write.mode("append").parquet(f"{ledger}/findings")
     due.select("blob_id", "todo").distinct().select("blob_id", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
     found = spark.read.parquet(f"{ledger}/findings")
     return found.where(F.col("rule").isin([r.id for r in rules])).drop("rule").distinct()
@@ -163,5 +177,7 @@ def redact(df: DataFrame, ledger: str, key: str = "doc_id", text: str = "text",
     kept = F.concat(F.transform("gaps", lambda g: stretch(g["at"], g["n"])), F.array(stretch(F.col("tail"), F.octet_length(data) - F.col("tail"))))
     clean = F.when(F.col("gaps").isNull(), body).otherwise(F.array_join(kept, mask))
     rows = df.select(*[F.col(c).alias(o) for c, o in own.items()], F.unhex(F.sha2(text_or_empty(text), 256)).alias("blob_id"))
-    joined = rows.join(by_blob, "blob_id", "left")
+    # Texts without findings stay where they are.
+    told = marked(rows, "blob_id", by_blob.select("blob_id"))
+    joined = told.where("_set").drop("_set").join(by_blob, "blob_id", "left").unionByName(told.where("not _set").drop("_set"), allowMissingColumns=True)
     return joined.select(*[(clean if c == text else F.col(o)).alias(c) for c, o in own.items()])
