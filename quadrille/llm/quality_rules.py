@@ -14,7 +14,10 @@ are). They are dealt into two folds by a hash of the text:
 
 With confidence 1 - DELTA, the cutoffs reject at most ALPHA of the good texts of every stratum at once: of those that pass
 the base rule, which is no part of the guarantee. A stratum needs about 440 good holdout texts (4 strata; none rejected)
-for a cutoff; with fewer, its further rules stay off.
+for a cutoff. Labelled strata with fewer are pooled to one, which is a stratum of the guarantee like any other: at most ALPHA
+of the good texts of all of them together, though not of each. Their texts are still measured in their own stratum's units.
+Which strata are pooled depends on counts alone, not on what a cutoff rejects. A pool with too few texts, and strata without
+labels, have the base rule alone. The bound takes labelled texts as independent draws; copies count once, near copies do not.
 
 Eight-word windows are compared by 64-bit hashes within one text (for a text of 20,000 words, a false match has a chance
 below 2e-11). Defined cases: null and empty texts have no words and fail the base rule; a null stratum is a stratum of
@@ -40,6 +43,8 @@ ALPHA, DELTA = 0.01, 0.05
 STEPS = [i / 40 for i in range(1, 40)]
 #: A measure's unit: this quantile of the good texts, and the least unit.
 SPREAD, FLOOR = 0.99, 0.005
+#: The stratum of the guarantee that holds all strata with too few labelled texts.
+POOL = "\x00small strata"
 #: Measure -> its value.
 MEASURES = {
     "symbols": "n_symbols / greatest(word_chars, 1)",
@@ -141,13 +146,16 @@ def thresholds(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stra
     """(_stratum, _unit_ column of each measure, _cut: the least excess that is rejected, null where none is safe), one row per
     stratum with labelled rows."""
     rows = materialize(labelled(measured, labels, key, stratum), "labelled")
+    sizes = materialize(rows.groupBy("_stratum").agg(F.sum((F.col("good") & (F.col("fold") == 1)).cast("long")).alias("n")), "strata")
+    needed = math.log(delta / max(1, sizes.count())) / math.log1p(-alpha)
+    pools = sizes.select("_stratum", F.when(F.col("n") >= needed, F.col("_stratum")).otherwise(POOL).alias("_pool"))
     unit = [F.greatest(F.percentile_approx(F.expr(e).cast("double"), SPREAD, 10_000), F.lit(FLOOR)).alias(f"_unit_{r}") for r, e in MEASURES.items()]
     units = materialize(rows.where("fold = 0 and good").groupBy("_stratum").agg(*unit), "units")
-    scored = rows.join(units, "_stratum").withColumn("excess", _excess({r: F.col(f"_unit_{r}") for r in MEASURES}))
-    grid = scored.where("fold = 0 and not good").groupBy("_stratum").agg(F.percentile_approx("excess", STEPS, 10_000).alias("cuts"))
-    holdout = scored.where("fold = 1 and good").join(materialize(grid, "cutoffs"), "_stratum")
+    scored = rows.join(units, "_stratum").join(pools, "_stratum").withColumn("excess", _excess({r: F.col(f"_unit_{r}") for r in MEASURES}))
+    grid = scored.where("fold = 0 and not good").groupBy("_pool").agg(F.percentile_approx("excess", STEPS, 10_000).alias("cuts"))
+    holdout = scored.where("fold = 1 and good").join(materialize(grid, "cutoffs"), "_pool")
     rejected = F.array(*[F.sum((F.col("excess") >= F.col("cuts")[i]).cast("long")) for i in range(len(STEPS))])
-    counts = materialize(holdout.groupBy("_stratum", "cuts").agg(F.count("*").alias("n"), rejected.alias("k")), "counts")
+    counts = materialize(holdout.groupBy("_pool", "cuts").agg(F.count("*").alias("n"), rejected.alias("k")), "counts")
     level = math.log(delta / max(1, counts.count()))
     n, k = F.col("n"), F.col("k")
     passes = lambda i: F.when(F.get(k, i) < n * alpha, _at_most(F.get(k, i), n, alpha) <= level).otherwise(F.lit(False))
@@ -158,8 +166,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stra
         on = acc["on"] & passes(i)
         return F.struct(on.alias("on"), F.when(on, F.get("cuts", i)).otherwise(acc["cut"]).alias("cut"))
 
-    chosen = counts.select("_stratum", F.aggregate(stricter, start, step, lambda acc: acc["cut"]).alias("_cut"))
-    return materialize(units.join(chosen, "_stratum", "left"), "thresholds")
+    chosen = counts.select("_pool", F.aggregate(stricter, start, step, lambda acc: acc["cut"]).alias("_cut"))
+    return materialize(units.join(pools, "_stratum").join(chosen, "_pool", "left").drop("_pool"), "thresholds")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

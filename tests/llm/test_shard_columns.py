@@ -57,3 +57,31 @@ def test_vacuum(spark):
     assert store.vacuum() == 0 and store.read(1).count() == 10
     assert store.vacuum(seconds=-60) >= 6
     assert store.versions() == [after] and store.read().count() == 50 and store.vacuum(seconds=-60) == 0
+
+
+def test_an_append_writes_its_own_lines_only(spark, monkeypatch):
+    from quadrille.llm import sharding
+
+    monkeypatch.setattr(sharding, "FULL_EVERY", 4)
+    store = ShardStore(spark, scratch(spark, "test"), fanin=100)
+    for i in range(11):
+        store.append(spark.range(i, i + 1).coalesce(1) if i != 5 else spark.range(5, 6).withColumn("more", F.lit("x")).coalesce(1))
+    lines = [len(store.manifests.read(v)) - 1 for v in store.versions()]
+    assert lines == [1, 1, 1, 1, 5, 1, 1, 1, 9, 1, 1]
+    for v in store.versions():
+        assert sorted(r["id"] for r in store.read(v).collect()) == list(range(v)) and len(store.shards(v)) == v
+    with pytest.raises(SchemaConflict):
+        store.append(spark.createDataFrame([(1, 2)], "id long, more int"))
+    store.vacuum(keep=2, seconds=-60)
+    assert store.versions() == [9, 10, 11] and store.read(10).count() == 10 and store.read().where("more = 'x'").count() == 1
+
+
+def test_the_target_grows_with_the_volume(spark, monkeypatch):
+    from quadrille.llm import sharding
+
+    store = ShardStore(spark, scratch(spark, "test"), target_bytes=1)
+    for i in range(4):
+        store.append(spark.range(50).coalesce(1))
+    assert store.compact() is None  # every file is above the target
+    monkeypatch.setattr(sharding, "MOST_SHARDS", 1)
+    assert store.compact_fully() == 5 and len(store.shards()) == 1 and store.read().count() == 200
