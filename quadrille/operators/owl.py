@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_iri, is_literal
 from quadrille.operators.collections import build_lists, read_lists
-from quadrille.operators.quads import Graph
+from quadrille.operators.components import closure, connected
+from quadrille.operators.quads import COLUMNS, Graph
+from quadrille.storage import checkpointed
 from quadrille.terms import DATATYPES, OWL, RDF, RDFS
 
 #: The predefined annotation properties, and the characteristics of object properties.
@@ -115,7 +117,7 @@ def entities(graph: Graph) -> DataFrame:
 
 def contains(graph: Graph, of: DataFrame) -> DataFrame:
     """(s, there): whether the graph, as an ontology, has each of the entities in the one column of `of`: whether it types
-    them."""
+    them. Any typed node counts, so also one that entities() does not list because its type is unknown."""
     typed = graph.df.where(F.col("p") == RDF.type).select("s", F.lit(True).alias("typed")).distinct()
     return of.toDF("s").distinct().join(typed, "s", "left").select("s", F.coalesce("typed", F.lit(False)).alias("there"))
 
@@ -152,6 +154,34 @@ def super_classes(graph: Graph) -> DataFrame:
     return axioms(graph, RDFS.subClassOf)
 
 
+def class_ancestors(graph: Graph) -> DataFrame:
+    """(s, o): every class with all classes above it; those on a cycle are above each other and themselves."""
+    return closure(_edges(graph, RDFS.subClassOf)).toDF("s", "o")
+
+
+def property_ancestors(graph: Graph) -> DataFrame:
+    """(s, o): every property with all properties above it."""
+    return closure(_edges(graph, RDFS.subPropertyOf)).toDF("s", "o")
+
+
+def _edges(graph: Graph, predicate: str) -> DataFrame:
+    return graph.get(None, predicate).df.select(F.col("s").alias("a"), F.col("o").alias("b"))
+
+
+def same_individuals(graph: Graph) -> DataFrame:
+    """(s, same): every individual that owl:sameAs ties to others, with the least of them, its representative."""
+    return connected(_edges(graph, OWL.sameAs)).toDF("s", "same")
+
+
+def merged(graph: Graph) -> Graph:
+    """The graph with every individual replaced by its representative, without owl:sameAs."""
+    same = checkpointed(same_individuals(graph), "same")
+    df = graph.df.where(F.col("p") != OWL.sameAs)
+    for place in ("s", "o"):
+        df = df.join(same.toDF(place, f"_{place}"), place, "left").withColumn(place, F.coalesce(f"_{place}", place)).drop(f"_{place}")
+    return Graph(df.select(*COLUMNS).distinct())
+
+
 def sub_classes(graph: Graph) -> DataFrame:
     return _objects(graph, RDFS.subClassOf, s="o", o="s").select("s", "o")
 

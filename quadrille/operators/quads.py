@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_blank
+from quadrille.operators.isomorphism import isomorphic
 from quadrille.plans.solutions import Solutions
 from quadrille.storage import checkpointed
 from quadrille.terms import RDF, as_key
@@ -72,7 +73,8 @@ class Graph:
         return Graph(self.df.select(*COLUMNS).intersect(other.df.select(*COLUMNS)))
 
     def same(self, other: Graph) -> bool:
-        return (self - other).df.isEmpty() and (other - self).df.isEmpty()
+        """Whether both have the same quads, whatever their blank nodes are called."""
+        return isomorphic(self.df, other.df)
 
     def where(self, condition: Column) -> Graph:
         return Graph(self.df.where(condition))

@@ -8,6 +8,7 @@ columns pushed down to it, and values stay native until they must be written as
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ class TableGraph:
                 iris[variable] = self.prefix(spec.links[column])
         df = self.table(table)
         required = [c for c in properties if c != spec.key]
-        return Solutions(df.dropna(subset=required).select(*columns) if required else df.select(*columns), iris)
+        return Solutions(reduce(DataFrame.where, [F.col(c).isNotNull() for c in required], df).select(*columns), iris)
 
     def _term(self, table: str, column: str, kind: str) -> Column:
         spec, value = TABLES[table], F.col(column)

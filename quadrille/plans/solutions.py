@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_blank, is_literal
 from quadrille.plans.ordering import ordered
+from quadrille.plans.ranges import band_join, triangles
+from quadrille.storage import checkpointed
 
 #: Rows of an order that Spark's own OFFSET and LIMIT may go through.
 DEEP = 20_000
@@ -72,6 +74,26 @@ class Solutions:
         df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [p.df for p in pairs])
         return Solutions(df.select(*columns), iris, maybe)
 
+    def within(self, other: Solutions, variable: str, of: str, below: float, above: float) -> Solutions:
+        """Adjacent patterns without a shared variable, and FILTER(?of >= ?variable - below && ?of <= ?variable + above): a
+        join on ranges of values instead of a nested loop. `variable` is one of this side, `of` of the other."""
+        if self._shared(other):
+            raise ValueError("the sides share a variable: join them and filter")
+        return Solutions(band_join(self.df, other.df, (variable, of), below, above), self.iris | other.iris, self.maybe | other.maybe)
+
+    def triangle(self, second: Solutions, third: Solutions) -> Solutions:
+        """Three patterns that share their variables in a ring, (a, b), (b, c) and (c, a): a cyclic join whose steps in between
+        stay small however many edges a node has."""
+        sides = (self, second, third)
+        if any(len(s.variables) != 2 or s.maybe for s in sides) or len({*self.variables, *second.variables, *third.variables}) != 3:
+            raise ValueError("a triangle has three patterns of two bound variables, each two of them with one in common")
+        if any(x._clash(y) for x, y in ((self, second), (second, third), (third, self))):
+            return self.join(second).join(third)
+        (a,), (b,), (c,) = (set(x.variables) & set(y.variables) for x, y in ((third, self), (self, second), (second, third)))
+        frames = [s.df.select(F.col(x).alias(m), F.col(y).alias(n)) for s, x, y, m, n in ((self, a, b, "a", "b"), (second, b, c, "b", "c"), (third, c, a, "c", "a"))]
+        found = triangles(*frames).select(F.col("a").alias(a), F.col("b").alias(b), F.col("c").alias(c))
+        return Solutions(found, self.iris | second.iris | third.iris)
+
     def optional(self, other: Solutions, *filters: Column) -> Solutions:
         """OPTIONAL: a left join; filters written inside it belong to its condition."""
         shared = self._shared(other)
@@ -168,8 +190,10 @@ class Solutions:
         literal subject or a predicate that is not an IRI are left out."""
         if not template:
             raise ValueError("a template has at least one triple")
-        row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.df.columns])
-        df = self.df.withColumn("__row", F.concat_ws("x", F.hex(row), F.hex(F.monotonically_increasing_id())))
+        df = self.df
+        if any(isinstance(x, str) and x.startswith("_:") for t in template for x in t):
+            # Written down first: a task that runs again must not name a solution's nodes anew.
+            df = checkpointed(df.withColumn("__row", F.hex(F.monotonically_increasing_id())), "solutions")
 
         def part(term: str | Column) -> Column:
             if isinstance(term, Column):

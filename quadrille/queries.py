@@ -530,89 +530,28 @@ def collection_pattern(spark, sf):
     return g.bgp(("?n", EX.pair, "_:h"), *g.list_pattern("_:h", ["?r", "?m"]), ("?n", EX.n_regionkey, "?r")).aggregate(F.count("*").alias("n")).df
 
 
-# OWL views of a small ontology
+# Joins on ranges, cyclic patterns
 
-_ONTOLOGY = """
-@prefix : <http://example.org/> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
-@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
-:onto a owl:Ontology ; rdfs:label "cities" .
-:City a owl:Class ; rdfs:subClassOf :Place . :Place a owl:Class . :Robot a owl:Class ; owl:disjointWith :Place ; owl:deprecated true .
-:Both owl:intersectionOf ( :City :Place ) . :Either owl:unionOf ( :City :Robot ) . :Some owl:oneOf ( :paris :rome ) .
-:near a owl:ObjectProperty, owl:SymmetricProperty, owl:ReflexiveProperty ; rdfs:domain :Place ; rdfs:range :Place .
-:size a owl:DatatypeProperty, owl:FunctionalProperty ; rdfs:range xsd:int . :age a rdf:Property ; rdfs:range xsd:int . :part a rdf:Property ; rdfs:range :Place .
-:paris a :City ; :near :rome ; :size 5 . :rome a owl:NamedIndividual ; owl:differentFrom :paris .
-[] a owl:NegativePropertyAssertion ; owl:sourceIndividual :rome ; owl:assertionProperty :near ; owl:targetIndividual :mars .
-[] a owl:NegativePropertyAssertion ; owl:sourceIndividual :rome ; owl:assertionProperty :size ; owl:targetValue 7 .
-:r1 a owl:Restriction ; owl:onProperty :near ; owl:someValuesFrom :City . :r2 a owl:Restriction ; owl:onProperty :size ; owl:allValuesFrom xsd:int .
-:r3 a owl:Restriction ; owl:onProperty :near ; owl:cardinality "2"^^xsd:nonNegativeInteger ; owl:onClass :City .
-:r4 a owl:Restriction ; owl:onProperty :near ; owl:maxQualifiedCardinality "3"^^xsd:nonNegativeInteger ; owl:onClass :City .
-:r5 a owl:Restriction ; owl:onProperty :size ; owl:minCardinality "1"^^xsd:nonNegativeInteger . :r6 a owl:Restriction ; owl:onProperty :near ; owl:hasValue :rome .
-:r7 a owl:Restriction ; owl:onProperties ( :size :age ) ; owl:someValuesFrom xsd:int .
-:g1 a owl:AllDisjointClasses ; owl:members ( :City :Robot ) . :g2 a owl:AllDifferent ; owl:distinctMembers ( :paris :rome ) .
-"""
 
-
-def _ontology(spark) -> Graph:
-    return turtle.read_text(spark, _ONTOLOGY)
-
-
-def _local(column: str):
-    return F.coalesce(F.regexp_extract(column, r"^<http://example\.org/(.*)>$", 1), F.lit("")).alias(column)
-
-
-def _own(df: DataFrame) -> DataFrame:
-    return df.where(F.startswith("s", F.lit(f"<{BASE}")))
-
-
-@query(
-    "select * from (values ('City', 'Class'), ('Place', 'Class'), ('Robot', 'Class'), ('Both', 'Intersection'), ('Either', 'Union'), ('Some', 'OneOf'), ('r1', 'Restriction'), ('r2', 'Restriction'), "
-    "('r3', 'Restriction'), ('r4', 'Restriction'), ('r5', 'Restriction'), ('r6', 'Restriction'), ('r7', 'Restriction')) t(s, kind)"
-)
-def owl_classes(spark, sf):
-    return _own(owl.classes(_ontology(spark))).select(_local("s"), "kind")
-
-
-@query("select * from (values ('near', 'Object'), ('part', 'Object'), ('size', 'Datatype'), ('age', 'Datatype')) t(s, kind)")
-def owl_properties(spark, sf):
-    return _own(owl.properties(_ontology(spark))).select(_local("s"), "kind")
-
-
-@query("select * from (values ('near', 'Symmetric'), ('near', 'Reflexive'), ('size', 'Functional')) t(s, characteristic)")
-def owl_characteristics(spark, sf):
-    return owl.characteristics(_ontology(spark)).select(_local("s"), "characteristic")
-
-
-@query("select * from (values ('paris'), ('rome')) t(s)")
-def owl_individuals(spark, sf):
-    return owl.individuals(_ontology(spark)).select(_local("s"))
+@query("select a.o_orderkey as o, b.o_orderkey as near, a.o_totalprice as price, b.o_totalprice as near_price from orders a join orders b on b.o_totalprice >= a.o_totalprice - 1 and b.o_totalprice <= a.o_totalprice + 1 and a.o_orderkey < b.o_orderkey")
+def filter_band_join(spark, sf):
+    """Pairs of orders whose prices differ by at most one."""
+    g = TableGraph(spark, sf)
+    found = g.star("orders", "o", o_totalprice="price").within(g.star("orders", "near", o_totalprice="near_price"), "price", "near_price", 1.0, 1.0)
+    return found.filter(C("o") < C("near")).select("o", "near", "price", "near_price").df
 
 
 @query(
-    "select * from (values ('r1', 'ObjectSomeValuesFrom', null, 'City'), ('r2', 'DataAllValuesFrom', null, ''), ('r3', 'ObjectQualifiedExactCardinality', 2, 'City'), ('r4', 'ObjectQualifiedMaxCardinality', 3, 'City'), "
-    "('r5', 'DataMinCardinality', 1, ''), ('r6', 'ObjectHasValue', null, 'rome'), ('r7', 'NAryDataSomeValuesFrom', null, '')) t(s, kind, n, filler)"
+    "select p, s, o from (select distinct l_partkey as p, l_suppkey as s from lineitem where l_quantity > 10) join (select distinct l_suppkey as s, l_orderkey as o from lineitem) using (s) "
+    "join (select distinct l_orderkey as o, l_partkey as p from lineitem where l_discount < 0.05) using (o, p)"
 )
-def owl_restrictions(spark, sf):
-    return owl.restrictions(_ontology(spark)).select(_local("s"), "kind", "n", _local("filler"))
-
-
-@query("select * from (values ('g1', 'AllDisjointClasses', 2), ('g2', 'AllDifferent', 2)) t(s, kind, n)")
-def owl_disjoint_groups(spark, sf):
-    return owl.disjoint_groups(_ontology(spark)).select(_local("s"), "kind", F.size("items").alias("n"))
-
-
-@query("select * from (values ('paris', 'near'), ('paris', 'size')) t(s, p)")
-def owl_facts(spark, sf):
-    return owl.facts(_ontology(spark)).select(_local("s"), _local("p"))
-
-
-@query("select * from (values ('rome', 'near'), ('rome', 'size')) t(s, p)")
-def owl_negative_facts(spark, sf):
-    return owl.negative_facts(_ontology(spark)).select(_local("s"), _local("p"))
-
-
-@query("select * from (values ('City', 'Place')) t(s, o)")
-def owl_super_classes(spark, sf):
-    return owl.super_classes(_ontology(spark)).select(_local("s"), _local("o"))
+def bgp_triangle(spark, sf):
+    """Parts, suppliers and orders that are tied two by two, by three lines that need not be the same."""
+    g = TableGraph(spark, sf)
+    ps = g.star("lineitem", l_partkey="p", l_suppkey="s", l_quantity="q").filter(C("q") > 10).select("p", "s")
+    so = g.star("lineitem", l_suppkey="s", l_orderkey="o").select("s", "o")
+    op = g.star("lineitem", l_orderkey="o", l_partkey="p", l_discount="d").filter(C("d") < 0.05).select("o", "p")
+    return ps.triangle(so, op).select("p", "s", "o").df
 
 
 # Functions by IRI

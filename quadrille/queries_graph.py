@@ -11,7 +11,7 @@ from quadrille.operators.quads import Graph, View
 from quadrille.plans.mapping import BASE, TableGraph
 from quadrille.plans.solutions import Solutions
 from quadrille.register import EX, number, query, resource
-from quadrille.sources import ntriples, turtle
+from quadrille.sources import ntriples, rdfxml, turtle
 from quadrille.sources.store import QuadStore
 from quadrille.storage import shared_folder
 from quadrille.terms import RDF, XSD, literal, literal_column
@@ -87,6 +87,36 @@ def store_read_predicate(spark, sf):
     return store.get(p=EX.c_mktsegment).df.select(number("s", "c"), fn.lexical(C("o")).alias("segment"))
 
 
+@query(
+    "select 'object' as bound, c_custkey as n from customer where c_nationkey = 7 union all select 'subject', c_nationkey from customer where c_custkey = 3 "
+    "union all select 'both', c_custkey from customer where c_nationkey = 8 and c_custkey < 100"
+)
+def store_lookup(spark, sf):
+    """A store of all customers in many small files, read by object and by subject: its index names the few files to open."""
+    customers = TableGraph(spark, sf).materialize("customer")
+    store = QuadStore(spark, shared_folder(spark, "store"), file_quads=500).add(graph=customers).commit()
+    by_object = store.get(p=EX.c_nationkey, o=EX["nation/7"]).df.select(F.lit("object").alias("bound"), number("s", "n"))
+    by_subject = store.get(s=EX["customer/3"]).get(p=EX.c_nationkey).df.select(F.lit("subject"), number("o"))
+    both = store.get(o=EX["nation/8"]).df.select(F.lit("both"), number("s").alias("n")).where("n < 100")
+    return by_object.union(by_subject).union(both)
+
+
+@query("select 'equal' as pair, true as same union all select 'renamed', true union all select 'changed', (select count(*) from customer where c_custkey = 3) = 0")
+def graph_same(spark, sf):
+    """Customers as blank nodes, two by two: a graph, the same with other labels, and one with a change."""
+    customer = TableGraph(spark, sf).table("customer")
+    node = lambda label, key: F.concat(F.lit(f"_:{label}"), F.xxhash64(F.lit(label), key).cast("string"))
+
+    def made(label, changed=-1):
+        nation = resource("nation", F.when(C("c_custkey") == changed, C("c_nationkey") + 1).otherwise(C("c_nationkey")))
+        lives = customer.select(node(label, C("c_custkey")).alias("s"), F.lit(EX.lives).alias("p"), nation.alias("o"))
+        pairs = customer.where("c_custkey % 2 = 1").select(node(label, C("c_custkey")).alias("s"), F.lit(EX.near).alias("p"), node(label, C("c_custkey") + 1).alias("o"))
+        return Graph.from_triples(lives.union(pairs))
+
+    first = made("a")
+    return _rows(spark, "pair string, same boolean", ("equal", first.same(first)), ("renamed", first.same(made("b"))), ("changed", first.same(made("c", 3))))
+
+
 @query("select 'named' as context, 3 * count(*) as n from nation union all select 'all', (select 3 * count(*) from nation) + (select 2 * count(*) from region)")
 def store_context(spark, sf):
     """A store limited to a named graph sees and writes that graph only."""
@@ -159,11 +189,12 @@ def view_frames(spark, sf):
     return _rows(spark, "part string, n long, is_exact boolean", *found)
 
 
-@query("select 1 as k, 3::bigint as n union all select 2, 0")
+@query("select o_custkey as c, count(distinct o_orderstatus) as n from orders group by o_custkey")
 def graph_build(spark, sf):
-    """Graphs of a few triples given in Python, repeated ones once, and the empty graph."""
-    built = Graph.of(spark, [(EX.a, EX.p, 1), (EX.a, EX.p, 1), (EX.a, EX.p, 1.0), (EX.a, EX.p, True)])
-    return _rows(spark, "k int, n long", (1, built.size()), (2, Graph.empty(spark).size()))
+    """A graph of rows of which many repeat: a set has each triple once."""
+    orders = TableGraph(spark, sf).table("orders")
+    built = Graph.from_triples(orders.select(resource("customer", C("o_custkey")).alias("s"), F.lit(EX.status).alias("p"), literal_column(C("o_orderstatus")).alias("o")))
+    return built.df.groupBy(number("s", "c")).agg(F.count("*").alias("n"))
 
 
 @query("select c_custkey as c, 5::bigint as n from customer where c_nationkey = 3")
@@ -383,3 +414,28 @@ def pattern_without_variables(spark, sf):
     nobody = g.pattern(EX["customer/none"], RDF.type, EX.customer).join(Solutions(there.select("c"))).df
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
     return count(there, "customers").union(count(nobody, "nobody"))
+
+
+# Files
+
+
+@query("select c_custkey as c, 'name' as p, c_name as o from customer union all select c_custkey, 'segment', c_mktsegment from customer union all select c_custkey, 'note', 'Line one. ' || chr(10) || c_name || ' .' from customer")
+def turtle_files(spark, sf):
+    """All customers written to files of many statements and read back through blocks, segments and documents; long texts
+    reach over lines."""
+    customer, path = TableGraph(spark, sf).table("customer"), shared_folder(spark, "turtle")
+    about = lambda p, o: customer.select(resource("customer", C("c_custkey")).alias("s"), F.lit(p).alias("p"), literal_column(o).alias("o"))
+    note = F.concat(F.lit("Line one. \n"), C("c_name"), F.lit(" ."))
+    g = Graph.from_triples(about(EX.name, C("c_name")).union(about(EX.segment, C("c_mktsegment"))).union(about(EX.note, note)))
+    turtle.write(g, path, {"": BASE})
+    found = turtle.read(spark, path).df
+    return found.select(number("s", "c"), F.regexp_extract("p", r"([a-z]+)>$", 1).alias("p"), fn.lexical(C("o")).alias("o"))
+
+
+@query("select c_custkey as c, c_name as name from customer")
+def rdfxml_files(spark, sf):
+    """All customers written to RDF/XML files and read back."""
+    customer, path = TableGraph(spark, sf).table("customer"), shared_folder(spark, "rdfxml")
+    g = Graph.from_triples(customer.select(resource("customer", C("c_custkey")).alias("s"), F.lit(EX.name).alias("p"), literal_column(C("c_name")).alias("o")))
+    rdfxml.write(g, path)
+    return rdfxml.read(spark, path).df.select(number("s", "c"), fn.lexical(C("o")).alias("name"))

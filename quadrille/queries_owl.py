@@ -348,3 +348,70 @@ def owl_some_values(spark, sf):
     found = owl.some_values(_geography(spark, sf) | _graph(*made))
     filler = F.coalesce(F.regexp_extract("filler", r"/(\d+)>$", 1).try_cast("long"), F.lit(-1)).alias("filler")
     return found.select(number("s", "r"), F.regexp_extract("property", r"/(\w+)>$", 1).alias("property"), filler)
+
+
+# Property kinds from tables
+
+
+@query(
+    "select c_custkey as c, case c_custkey % 7 when 0 then 'Functional' when 1 then 'InverseFunctional' when 2 then 'Transitive' when 3 then 'Symmetric' when 4 then 'Asymmetric' when 5 then 'Reflexive' else 'Irreflexive' end as characteristic from customer"
+)
+def owl_characteristics(spark, sf):
+    """A property for each customer, each with one of the seven characteristics."""
+    customer = TableGraph(spark, sf).table("customer")
+    kinds = ["Functional", "InverseFunctional", "Transitive", "Symmetric", "Asymmetric", "Reflexive", "Irreflexive"]
+    named = {name: key for key, name in owl.CHARACTERISTICS.items()}
+    kind = F.element_at(F.array(*[F.lit(named[k]) for k in kinds]), (C("c_custkey") % 7 + 1).cast("int"))
+    g = _graph(_said(customer, _customer(), RDF.type, kind), _said(customer, _customer(), RDF.type, OWL.ObjectProperty))
+    return owl.characteristics(g).select(number("s", "c"), "characteristic")
+
+
+@query("select c_custkey as c, case when c_custkey % 3 = 0 then 'Datatype' else 'Object' end as kind from customer where c_custkey % 3 < 2")
+def owl_properties(spark, sf):
+    """A plain rdf:Property for each customer, whose range tells its kind: a datatype, a nation's class, or nothing known."""
+    t = TableGraph(spark, sf).table
+    customer, nation = t("customer"), t("nation")
+    of = F.when(C("c_custkey") % 3 == 0, F.lit(XSD["int"])).when(C("c_custkey") % 3 == 1, _key("nation", "c_nationkey")).otherwise(F.lit(EX.unknown))
+    g = _graph(_said(customer, _customer(), RDF.type, RDF.Property), _said(customer, _customer(), RDFS.range, of), _said(nation, _nation(), RDF.type, OWL.Class))
+    found = owl.properties(g).where(F.startswith("s", F.lit(f"<{BASE}customer/")))
+    return found.select(number("s", "c"), "kind")
+
+
+# Closures
+
+_PLACES = """e(a, b) as (select 'customer/' || c_custkey, 'nation/' || c_nationkey from customer union all select 'nation/' || n_nationkey, 'region/' || n_regionkey from nation
+    union all select 'region/' || r_regionkey, 'region/' || ((r_regionkey + 1) % 3) from region where r_regionkey < 3 union all select 'region/' || r_regionkey, 'place/0' from region)"""
+
+
+def _local(column: str) -> Column:
+    return F.regexp_extract(column, r"([a-z]+/\d+)>$", 1).alias(column)
+
+
+@query(f"with recursive {_PLACES}, c(a, b) as (select a, b from e union select c.a, e.b from c join e on c.b = e.a) select a as s, b as o from c")
+def owl_class_ancestors(spark, sf):
+    """All classes above each customer's, nation's and region's class; three regions are above each other in a ring."""
+    t = TableGraph(spark, sf).table
+    customer, nation, region = t("customer"), t("nation"), t("region")
+    above = RDFS.subClassOf
+    g = _graph(
+        _said(customer, _customer(), above, _key("nation", "c_nationkey")),
+        _said(nation, _nation(), above, _key("region", "n_regionkey")),
+        _said(region.where("r_regionkey < 3"), _key("region", "r_regionkey"), above, resource("region", (C("r_regionkey") + 1) % 3)),
+        _said(region, _key("region", "r_regionkey"), above, EX["place/0"]),
+    )
+    return owl.class_ancestors(g).select(_local("s"), _local("o"))
+
+
+@query(
+    "with recursive e(a, b) as (select c_custkey, c_custkey + 1 from customer where c_custkey % 7 <> 0 union all select c_custkey + 1, c_custkey from customer where c_custkey % 7 <> 0), "
+    "r(a, b) as (select a, a from e union select b, b from e union select r.a, e.b from r join e on r.b = e.a), m as (select a, min('<http://example.org/customer/' || b || '>') as same from r group by a) "
+    "select distinct regexp_extract(coalesce(m.same, '<http://example.org/customer/' || c_custkey || '>'), '(\\d+)>', 1)::bigint as c, c_nationkey as nation from customer left join m on a = c_custkey"
+)
+def owl_merged(spark, sf):
+    """Chains of customers that are the same, merged: the nations of each chain under its representative."""
+    customer = TableGraph(spark, sf).table("customer")
+    g = _graph(
+        _said(customer.where("c_custkey % 7 <> 0"), _customer(), OWL.sameAs, _key("customer", "c_custkey", 1)),
+        _said(customer, _customer(), EX.lives, _key("nation", "c_nationkey")),
+    )
+    return owl.merged(g).df.select(number("s", "c"), number("o", "nation"))

@@ -1,10 +1,12 @@
-"""RDF/XML: documents parsed by a small helper on the XML tree, one document a row; written with Spark's functions."""
+"""RDF/XML: documents parsed by a small helper on the XML tree, one document a row; files are cut into many documents first
+(xml_segments). Written with Spark's functions."""
 
 from __future__ import annotations
 
 import hashlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.terms import is_blank, is_iri, lang, lexical
 from quadrille.operators.quads import Graph
 from quadrille.sources.ntriples import ParseError
-from quadrille.storage import whole_files
+from quadrille.sources.xml_segments import segments
 from quadrille.terms import RDF, blank, iri, literal
 
 _R = f"{{{RDF.base}}}"
@@ -94,32 +96,34 @@ class _Document:
         return o
 
 
-def _triples(name: str, scope: str, text: str, base: str | None) -> list[tuple[str, str, str]]:
+def _triples(name: str, scope: str, home: str, text: str, base: str | None) -> list[tuple[str, str, str]]:
     try:
         root = ET.fromstring(text)
     except ET.ParseError as e:
         raise ParseError(f"{name}: {e}") from e
-    document = _Document(name, scope, root.get(f"{_XML}base", base or name))
+    document = _Document(name, scope, root.get(f"{_XML}base", base or home))
     for x in root if root.tag == f"{_R}RDF" else [root]:
         document.node(x, document.base, root.get(f"{_XML}lang"))
     return document.found
 
 
 def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
-    """(doc, s, p, o) of documents (doc, text); with a column `scope`, a node id means one node in all documents of a scope."""
-    scope = "scope" if "scope" in documents.columns else "doc"
+    """(doc, s, p, o) of documents (doc, text); with a column `scope`, a node id means one node in all documents of a scope;
+    with a column `home`, that is the base of documents that name none, instead of `doc`."""
+    scope, home = ("scope" if "scope" in documents.columns else "doc"), ("home" if "home" in documents.columns else "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, own, text in zip(batch["doc"], batch["scope"], batch["text"], strict=True):
-                yield pd.DataFrame([(doc, *t) for t in _triples(doc, own, text, base)], columns=["doc", "s", "p", "o"], dtype="object")
+            for doc, own, place, text in zip(batch["doc"], batch["scope"], batch["home"], batch["text"], strict=True):
+                yield pd.DataFrame([(doc, *t) for t in _triples(doc, own, place, text, base)], columns=["doc", "s", "p", "o"], dtype="object")
 
-    return documents.select(F.col("doc").cast("string").alias("doc"), F.col(scope).cast("string").alias("scope"), "text").mapInPandas(run, "doc string, s string, p string, o string").distinct()
+    return documents.select(F.col("doc").cast("string").alias("doc"), F.col(scope).cast("string").alias("scope"), F.col(home).cast("string").alias("home"), "text").mapInPandas(run, "doc string, s string, p string, o string").distinct()
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:
-    """The triples of whole files, one document each; the files of one path are one scope of node ids."""
-    return Graph.from_triples(parse(whole_files(spark, *paths), base).select("s", "p", "o"))
+    """The triples of files of any size; the files of one path are one scope of node ids."""
+    documents = reduce(DataFrame.union, [segments(spark, path) for path in paths])
+    return Graph.from_triples(parse(documents, base).select("s", "p", "o"))
 
 
 def read_text(spark: SparkSession, text: str, base: str = "http://example.org/") -> Graph:

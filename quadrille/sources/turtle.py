@@ -2,19 +2,24 @@
 
 Reading turns each document into rows of tokens and finds its structure with windows over the document: the depth of
 brackets gives each token its enclosing bracket or statement, semicolons and commas its place there. The grammar's nested
-forms (blank nodes in brackets, collections) thus need no recursion. A document is one unit of work, since a prefix may
-hold for all that follows it; data that must be split belongs in N-Triples.
+forms (blank nodes in brackets, collections) thus need no recursion. A document is one unit of work; files are cut into many
+documents first (segments).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_blank
 from quadrille.operators.collections import cells
 from quadrille.operators.quads import Graph
-from quadrille.storage import checkpointed, whole_files
+from quadrille.sources.segments import segments
+from quadrille.storage import checkpointed
 from quadrille.terms import ESCAPES, RDF, XSD
 
 _NAME = r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:[\w:%](?:[\w.:%-]*[\w:%-])?)?"
@@ -156,9 +161,10 @@ def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:
-    """The triples of whole files, one document each. The files of one path are one scope of blank node labels, so that what
-    write() spreads over a folder's files stays one node."""
-    return Graph.from_triples(parse(whole_files(spark, *paths), base).select("s", "p", "o"))
+    """The triples of files of any size. The files of one path are one scope of blank node labels, so that what write()
+    spreads over a folder's files stays one node."""
+    documents = reduce(DataFrame.union, [segments(spark, path) for path in paths])
+    return Graph.from_triples(parse(documents, base).select("s", "p", "o"))
 
 
 def read_text(spark: SparkSession, text: str, base: str | None = None) -> Graph:
@@ -236,7 +242,44 @@ def header(prefixes: dict[str, str] | None) -> str:
     return "".join(f"@prefix {name}: <{space}> .\n" for name, space in (prefixes or {}).items())
 
 
-def write(graph: Graph, path: str, prefixes: dict[str, str] | None = None, mode: str = "error", nested: bool = False, indent: int = 4) -> None:
-    """Text files of whole statements; each row carries the header, so every part file is a document of its own."""
-    statements = blocks(graph, prefixes, nested, indent)
-    statements.select(F.concat(F.lit(header(prefixes)), F.col("value")).alias("value")).write.mode(mode).text(path)
+def _lines(head: str, indent: int, objects_a_line: int, spacing: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turtle lines of rows (s, p, o) in order, as they come: only one line is held, whatever the size of a statement. What
+    a partition begins is a statement of its own, and its end ends one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, n, before, margin = None, 0, (None, None), " " * indent
+        for batch in batches:
+            out = [] if line is not None or not batch.num_rows else head.splitlines()
+            for s, p, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                same = (s == before[0]) + ((s, p) == before)
+                if same == 2 and n < objects_a_line:
+                    line, n = f"{line}, {o}", n + 1
+                    continue
+                if line is not None:
+                    out.append(f"{line} {'.;,'[same]}")
+                    out += [""] * (spacing if not same else 0)
+                line, n, before = (f"{s} {p} {o}", f"{margin}{p} {o}", f"{margin * 2}{o}")[same], 1, (s, p)
+            yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+        if line is not None:
+            yield pa.record_batch([pa.array([f"{line} ."])], ["value"])
+
+    return run
+
+
+def write(
+    graph: Graph, path: str, prefixes: dict[str, str] | None = None, mode: str = "error", nested: bool = False, indent: int = 4, objects_a_line: int = 8, spacing: int = 0
+) -> None:
+    """Text files of whole statements, each file a document of its own with the prefixes in front.
+
+    The triples are dealt to files by ranges of subject, predicate and object and sorted there, and a statement is written
+    line by line, so a subject may have any number of objects; one that reaches over files has a statement in each.
+    `objects_a_line` objects stand on a line, and `spacing` empty lines behind a statement. With `nested`, blank nodes that
+    are used once are written in place, and each statement is one row with a header of its own (see blocks)."""
+    if nested:
+        statements = blocks(graph, prefixes, nested, indent)
+        value = F.concat(F.lit(header(prefixes)), F.col("value"), F.lit("\n" * spacing))
+        statements.select(value.alias("value")).write.mode(mode).text(path)
+        return
+    triples = graph.df.select("s", "p", "o").distinct().repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+    rows = triples.select(_shortened(F.col("s"), prefixes).alias("s"), _predicate(F.col("p"), prefixes).alias("p"), _shortened(F.col("o"), prefixes).alias("o"))
+    rows.mapInArrow(_lines(header(prefixes), indent, objects_a_line, spacing), "value string").write.mode(mode).text(path)

@@ -76,6 +76,15 @@ class Versions:
         finally:
             stream.close()
 
+    def first_line(self, version: int) -> str:
+        """The first line alone, however long the file is."""
+        stream = self.files.open(self.path(self.name(version)))
+        try:
+            java = self.spark._jvm.java.io
+            return java.BufferedReader(java.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
     def commit(self, version: int, lines: Iterable[str]) -> None:
         """Makes the lines the content of a version that is not there yet, or raises CommitConflict."""
         self.files.mkdirs(self.path(self.folder))

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quadrille.operators.quads import Graph
 from quadrille.plans.solutions import Solutions
 from quadrille.sources.ntriples import statements
+from quadrille.sources.store import QuadStore
 
 
 def quads(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,3 +25,13 @@ def matches(stream: DataFrame, s=None, p=None, o=None, graph: str | None = None)
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends all that is there to Parquet once, exactly once across restarts with the same checkpoint folder."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into_store(stream: DataFrame, store: QuadStore, name: str, checkpoint: str) -> StreamingQuery:
+    """Commits all that is there to a store, a version for each batch of the stream. The batch's number goes into the manifest
+    under the stream's name, so a batch that is repeated after a failure commits nothing."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        store.add(graph=Graph(batch.select("g", "s", "p", "o").distinct())).commit(name, epoch)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -31,12 +31,36 @@ def test_a_constant_predicate_reads_its_column_alone(spark):
         g.triples("customer", "nothing")
 
 
-def test_the_store_reads_one_partition_for_a_predicate(spark):
-    store = QuadStore(spark, shared_folder(spark, "test")).add(*[(EX.a, EX[f"p{i}"], i) for i in range(20)]).commit()
-    text = plan(store.get(p=EX.p3).df)
-    filters = next(line for line in text.splitlines() if "PartitionFilters" in line)
-    assert "pid" in filters.split("PartitionFilters: [")[1].split("]")[0]
-    assert store.get(p=EX.p3).size() == 1 and store.get(EX.a).size() == 20 and not store.has(p=EX.none)
+def test_the_store_opens_only_files_that_may_hold_the_key(spark):
+    """On all customers, a bound subject or object opens less than a twentieth of the files; a plan reads only those."""
+    customers = TableGraph(spark, SF).materialize("customer")
+    store = QuadStore(spark, shared_folder(spark, "test"), file_quads=10).add(graph=customers).commit()
+    every = len(store.files())
+    subject, value = customers.df.where(f"p = '{EX.c_name}'").select("s", "o").first()
+    for parts in ({"s": subject}, {"o": value}):
+        found = store.files(**parts)
+        assert every > 60 and 1 <= len(found) < every / 20
+        df = store.get(**parts).df
+        assert sorted(f.replace('file:///', 'file:/') for f in df.inputFiles()) == found and df.count() == customers.get(**parts).size() > 0
+        assert "Aggregate" not in plan(df)  # one batch without removals needs no grouping
+    assert store.files(s=EX.nobody) == [] and not store.has(EX.nobody) and not store.has(o=EX.nothing)
+    assert len(store.files(p=EX.c_name)) > 2  # a common predicate has several files of its own
+    assert store.get(p=EX.c_name).size() == customers.get(p=EX.c_name).size()
+    more = store.add((EX.a, EX.c_name, value)).commit()
+    assert len(more.files(s=subject)) <= 2 and more.get(o=value).size() == 2 and len(more.files(s=EX.a)) == 1
+
+
+def test_a_repeated_batch_of_a_stream_commits_nothing(spark):
+    store = QuadStore(spark, shared_folder(spark, "test"))
+    store.add((EX.a, EX.p, 1)).commit("s", 0)
+    store.add((EX.b, EX.p, 1)).commit("s", 0)  # the same batch again
+    store.add((EX.c, EX.p, 1)).commit("other", 0)
+    assert store.versions() == [1, 2] and store.get().size() == 2
+    compacted = store.compact()
+    compacted.add((EX.d, EX.p, 1)).commit("s", 0)
+    assert compacted.get().size() == 2
+    compacted.add((EX.d, EX.p, 1)).commit("s", 1)
+    assert compacted.get().size() == 3
 
 
 def test_two_writers_of_a_store(spark, monkeypatch):
