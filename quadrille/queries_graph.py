@@ -386,6 +386,26 @@ def ntriples_texts(spark, sf):
     return (ntriples.read(spark, path) & g).df.agg(F.count("*").alias("n"))
 
 
+@query("select c_custkey as c, c_custkey % 10 <> 0 as good from customer")
+def ntriples_bad_lines(spark, sf):
+    """Lines of customers' names, of which every tenth lacks its end: which are statements."""
+    customer = TableGraph(spark, sf).table("customer")
+    end = F.when(C("c_custkey") % 10 == 0, "").otherwise(" .")
+    lines = customer.select(F.concat(resource("customer", C("c_custkey")), F.lit(f" {EX.name} "), literal_column(C("c_name")), end).alias("value"))
+    found = ntriples.statements(lines)
+    return found.select(F.regexp_extract("line", r"/(\d+)>", 1).cast("long").alias("c"), C("s").isNotNull().alias("good"))
+
+
+@query("select c_custkey as c, c_custkey % 2 = 1 as blank from customer")
+def filter_isblank(spark, sf):
+    """Objects that are blank nodes for every other customer, and the customers' IRIs for the others."""
+    customer = TableGraph(spark, sf).table("customer")
+    o = F.when(C("c_custkey") % 2 == 1, F.concat(F.lit("_:c"), C("c_custkey"))).otherwise(resource("customer", C("c_custkey")))
+    g = Graph.from_triples(customer.select(resource("customer", C("c_custkey")).alias("s"), F.lit(EX.same).alias("p"), o.alias("o")))
+    blank, iri = (g.pattern("?s", EX.same, "?o").filter(test(C("o"))).df for test in (fn.is_blank, fn.is_iri))
+    return blank.select(number("s", "c"), F.lit(True).alias("blank")).union(iri.select(number("s"), F.lit(False)))
+
+
 @query("select c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) - 1 as pos, c_name as name, c_acctbal as balance from customer")
 def turtle_nested(spark, sf):
     """Lists of blank nodes (every nation's customers), written nested as one Turtle statement a nation, and read again."""

@@ -275,3 +275,16 @@ def test_stream(spark, tmp_path):
     found = ingest.matches(ingest.quads(spark, f"{tmp_path}/in"), "?s", EX.p, "?o").df
     ingest.append_to(found, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "s", "o") == [(EX.a, EX.b)]
+
+
+def test_stream_into_a_store(spark, tmp_path):
+    """Two files arrive one after the other; each batch is a version, and a query that starts again commits nothing twice."""
+    (tmp_path / "in").mkdir()
+    store = QuadStore(spark, f"{tmp_path}/store")
+    for i, name in enumerate("ab"):
+        (tmp_path / "in" / f"{name}.nt").write_text(f"{EX[name]} {EX.p} {EX.o} .\n{EX[name]} {EX.p} {EX.o} .\n")
+        ingest.into_store(ingest.quads(spark, f"{tmp_path}/in"), store, "s", f"{tmp_path}/check").awaitTermination()
+        assert store.versions() == list(range(1, i + 2)) and store.get().size() == i + 1
+    ingest.into_store(ingest.quads(spark, f"{tmp_path}/in"), store, "s", f"{tmp_path}/lost").awaitTermination()
+    assert store.get().size() == 2  # a stream that lost its place reads all again under the first number
+    assert store.has(EX.a) and store.has(EX.b)
