@@ -35,9 +35,9 @@ NONE = (1 << 31) - 1
 #: Pieces up to this many bytes share lanes; longer ones are encoded alone.
 LANE_BYTES = 128
 #: Array cells of one tree that a block of lanes may hold.
-LANE_CELLS = 1 << 20
+LANE_CELLS = 1 << 19
 #: Pieces that a worker keeps; when full, the cache starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Pieces that a single text contributes at a time.
 RUN_PIECES = 400_000
 
