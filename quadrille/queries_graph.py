@@ -82,7 +82,7 @@ def store_lifecycle(spark, sf):
 
 @query("select c_custkey as c, c_mktsegment as segment from customer")
 def store_read_predicate(spark, sf):
-    """A stored table read by predicate: one partition of the store."""
+    """A stored table read by predicate: only files that hold the predicate are opened."""
     store = QuadStore(spark, shared_folder(spark, "store")).add(graph=TableGraph(spark, sf).materialize("customer")).commit()
     return store.get(p=EX.c_mktsegment).df.select(number("s", "c"), fn.lexical(C("o")).alias("segment"))
 
