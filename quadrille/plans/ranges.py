@@ -2,50 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the right side for each bucket, about; buckets at least and at most.
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 5_000, 16, 1024
-
-
-def bucket(value: Column, edges: Sequence[float]) -> Column:
-    """The number of edges that are at most the value, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= float(edges[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(edges))
-
-
-def quantile_edges(df: DataFrame, column: str, rows: int = BUCKET_ROWS, most: int = MOST_BUCKETS) -> list[float]:
-    """Edges that cut a column into buckets of about `rows` rows, from LEAST_BUCKETS to `most` of them."""
-    n = min(most, max(LEAST_BUCKETS, -(-df.count() // rows)))
-    return sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (4 * n))))
-
-
-def band_join(left: DataFrame, right: DataFrame, on: tuple[str, str], below: float, above: float, edges: Sequence[float] | None = None) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, on: tuple[str, str], below: float, above: float) -> DataFrame:
     """Pairs of rows with left - below <= right <= left + above, for numeric columns `on` (left, right) of frames without
     common column names. Nulls and NaN are in no band.
 
-    The values are cut at quantiles of the right side into buckets of equal size, so that skew is even. A row of the right
-    side goes to its bucket, a row of the left side to every bucket that its band meets; the join is on the bucket, and the
-    exact condition comes after it. A bucket that a band meets but does not cover costs at most its own rows for each such
-    row, twice; all other pairs are results. Values that fill a bucket by themselves are left to Spark's skew join.
+    The values are cut into buckets as wide as the band. A row of the right side goes to its bucket, a row of the left side to
+    the two that its band meets; the join is on the bucket, and the exact condition comes after it. Two buckets hold about
+    twice as many rows as the band itself, so the work follows the result. Where values are dense a bucket is large and so is
+    the result; Spark's skew join splits it.
     """
     a, b = F.col(on[0]).cast("double"), F.col(on[1]).cast("double")
-    right = right.where(b.isNotNull() & ~F.isnan(b))
-    left = left.where(a.isNotNull() & ~F.isnan(a))
-    edges = quantile_edges(right.withColumn("_value", b), "_value") if edges is None else edges
-    met = F.sequence(bucket(a - below, edges), bucket(a + above, edges))
-    placed = left.withColumn("_bucket", F.explode(met))
+    width = below + above
+    if width < 0:
+        return left.join(right, F.lit(False))
+    place = lambda value: F.floor(value / width) if width else value
+    ends = place(a - below), place(a + above)
+    met = F.sequence(*ends) if width else F.array(ends[0])
+    placed = left.where(a.isNotNull() & ~F.isnan(a)).withColumn("_bucket", F.explode(met))
     condition = (F.col(on[1]) >= F.col(on[0]) - below) & (F.col(on[1]) <= F.col(on[0]) + above)
-    return placed.join(right.withColumn("_bucket", bucket(b, edges)), "_bucket").where(condition).select(*left.columns, *right.columns)
+    return placed.join(right.where(b.isNotNull() & ~F.isnan(b)).withColumn("_bucket", place(b)), "_bucket").where(condition).select(*left.columns, *right.columns)
 
 
 def triangles(ab: DataFrame, bc: DataFrame, ca: DataFrame) -> DataFrame:

@@ -19,11 +19,10 @@ def frames(spark, n=300, seed=3):
     return left, right, spark.createDataFrame(left, "a int, x double"), spark.createDataFrame(right, "b int, y double")
 
 
-@pytest.mark.parametrize(("below", "above", "rows"), [(1.0, 2.5, 10), (0.0, 0.0, 10), (300.0, 300.0, 50), (1.0, 2.5, 10_000), (-1.0, 2.0, 10)])
-def test_band_join(spark, below, above, rows):
+@pytest.mark.parametrize(("below", "above"), [(1.0, 2.5), (0.0, 0.0), (300.0, 300.0), (-1.0, 2.0), (2.0, -2.0), (1.0, -2.0)])
+def test_band_join(spark, below, above):
     left, right, a, b = frames(spark)
-    edges = ranges.quantile_edges(b.where("y is not null and not isnan(y)"), "y", rows)
-    found = sorted((r["a"], r["b"]) for r in ranges.band_join(a, b, ("x", "y"), below, above, edges).collect())
+    found = sorted((r["a"], r["b"]) for r in ranges.band_join(a, b, ("x", "y"), below, above).collect())
     expected = [(i, j) for i, x in left for j, y in right if x is not None and y is not None and x == x and y == y and x - below <= y <= x + above]
     assert found == expected
 
@@ -37,14 +36,6 @@ def test_band_join_has_no_nested_loop(spark):
         g.star("orders", "o", o_totalprice="p").within(g.star("orders", "o", o_totalprice="q"), "p", "q", 1, 1)
 
 
-def test_buckets_are_even_and_exact(spark):
-    df = spark.range(10_000).select((F.col("id") * F.col("id")).cast("double").alias("v"))
-    edges = ranges.quantile_edges(df, "v", 500)
-    sizes = [r["n"] for r in df.groupBy(ranges.bucket(F.col("v"), edges).alias("b")).agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) == len(edges) + 1 > 15 and max(sizes) < 1500
-    assert all(r["b"] == sum(e <= r["v"] for e in edges) for r in df.limit(300).select("v", ranges.bucket(F.col("v"), edges).alias("b")).collect())
-
-
 def test_triangles(spark):
     rng = random.Random(4)
     edge = lambda n: {(rng.choice([0, rng.randrange(12)]), rng.choice([0, rng.randrange(12)])) for _ in range(n)}
