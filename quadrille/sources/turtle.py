@@ -3,7 +3,8 @@
 Reading turns each document into rows of tokens and finds its structure with windows over the document: the depth of
 brackets gives each token its enclosing bracket or statement, semicolons and commas its place there. The grammar's nested
 forms (blank nodes in brackets, collections) thus need no recursion. A document is one unit of work; files are cut into many
-documents first (segments).
+documents first (segments). The windows' rows take some hundred times a text's room, so documents are dealt, as texts, to
+as many tasks as their length asks for; all windows then run where the text is.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from quadrille.sources.segments import segments
 from quadrille.storage import checkpointed
 from quadrille.terms import ESCAPES, RDF, XSD
 
+#: Characters of documents that a task parses, about.
+TASK_TEXT = 1 << 20
+
 _NAME = r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:[\w:%](?:[\w.:%-]*[\w:%-])?)?"
 _IRI = r"<[^<>\"{}|^`\s]*>"
 _STRING = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""|\'\'\'(?:[^\'\\]++|\\[\s\S]|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n\r]++|\\.)*+"|\'(?:[^\'\\\n\r]++|\\.)*+\''
@@ -88,7 +92,9 @@ def _with_dots(text: Column, tokens: Column) -> Column:
 def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
     """(doc, s, p, o) of documents (doc, text). Blank nodes are labelled apart for each document; with a column `scope`, a
     label means one node in all documents of a scope."""
-    documents = documents.select("doc", "text", *(["scope"] if "scope" in documents.columns else [F.col("doc").alias("scope")]))
+    documents = checkpointed(documents.select("doc", "text", *(["scope"] if "scope" in documents.columns else [F.col("doc").alias("scope")])), "documents")
+    length = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    documents = documents.repartition(-(-length // TASK_TEXT) or 1, "doc")
     by_doc = Window.partitionBy("doc").orderBy("i")
     so_far = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = F.col("tok")
@@ -146,18 +152,19 @@ def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
     )
     rows = rows.select("doc", "i", "ctx", "lv", "kind", "seg", term.alias("term"))
     n = lambda *keys: F.row_number().over(Window.partitionBy("doc", "ctx", "lv", *keys).orderBy("i"))
-    rows = rows.select("*", n().alias("n"), n("seg").alias("m"), F.count("*").over(Window.partitionBy("doc", "ctx", "lv")).alias("size"))
-    shift = F.when((F.col("kind") == ".") & (F.col("seg") == 0), 1).otherwise(0)
     subject = F.first("term").over(Window.partitionBy("doc", "ctx", "lv").orderBy("i"))
+    rows = rows.select("*", n().alias("n"), subject.alias("subject"), F.count("*").over(Window.partitionBy("doc", "ctx", "lv")).alias("size")).withColumn("m", n("seg"))
+    shift = F.when((F.col("kind") == ".") & (F.col("seg") == 0), 1).otherwise(0)
     predicate = F.max(F.when(F.col("m") == shift + 1, F.col("term"))).over(Window.partitionBy("doc", "ctx", "lv", "seg"))
-    rows = rows.select("*", shift.alias("shift"), F.when(F.col("kind") == ".", subject).otherwise(label(F.col("ctx"))).alias("s"), predicate.alias("p"))
-    plain = rows.where((F.col("kind") != "(") & (F.col("m") > F.col("shift") + 1)).select("doc", "s", "p", F.col("term").alias("o"))
+    rows = rows.select("*", shift.alias("shift"), F.when(F.col("kind") == ".", F.col("subject")).otherwise(label(F.col("ctx"))).alias("s"), predicate.alias("p"))
+    plain = F.array(F.struct("s", "p", F.col("term").alias("o")))
     cell = lambda k: F.when(k == 0, label(F.col("ctx"))).when(k == F.col("size"), F.lit(RDF.nil)).otherwise(F.concat(label(F.col("ctx")), F.lit("c"), k.cast("string")))
     chain = F.array(
         F.struct(cell(F.col("n") - 1).alias("s"), F.lit(RDF.first).alias("p"), F.col("term").alias("o")),
         F.struct(cell(F.col("n") - 1).alias("s"), F.lit(RDF.rest).alias("p"), cell(F.col("n")).alias("o")),
     )
-    return plain.union(rows.where("kind = '('").select("doc", F.inline(chain))).distinct()
+    said = F.when(F.col("kind") == "(", chain).when(F.col("m") > F.col("shift") + 1, plain)
+    return rows.select("doc", F.inline(said)).distinct()
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:
