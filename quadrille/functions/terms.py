@@ -5,6 +5,7 @@ Null stands for an unbound variable and for an error alike; SQL's three-valued A
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from quadrille.terms import INTEGERS, NUMERIC, XSD
 
 _NUMERIC = [XSD[n][1:-1] for n in NUMERIC]
 _STRING = XSD.string[1:-1]
+_NUMBER = rf'(?s)^"((?:[^"\\]++|\\.)*+)"\^\^<(?:{"|".join(map(re.escape, _NUMERIC))})>$'
 
 
 def is_iri(key: Column) -> Column:
@@ -75,7 +77,8 @@ def regex(text: Column, pattern: str, flags: str = "") -> Column:
 
 def numeric(key: Column) -> Column:
     """The value of a numeric literal as a double, otherwise null."""
-    return F.when(datatype(key).isin(_NUMERIC), lexical(key).try_cast("double"))
+    # The key stands here once, so that one which is itself computed is computed once; what is escaped in a number is space.
+    return F.regexp_replace(F.regexp_extract(key, _NUMBER, 1), r"\\[nrt]", " ").try_cast("double")
 
 
 def boolean(key: Column) -> Column:
@@ -99,7 +102,7 @@ def effective_boolean(key: Column) -> Column:
         number, text, boolean_, _ = _values_of(x, "a")
         return F.coalesce(boolean_, (number != 0) & ~F.isnan(number), F.length(text) > 0)
 
-    return _bound(_parts(a=key), truth)
+    return _parsed(truth, a=key)
 
 
 def _bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
@@ -112,6 +115,11 @@ def _parts(**keys: Column) -> dict[str, Column]:
     return {f"{n}{part}": value for n, key in keys.items() for part, value in (("", key), ("_text", lexical(key)), ("_type", datatype(key)))}
 
 
+def _parsed(body: Callable[[Column], Column], **keys: Column) -> Column:
+    """body of the parts of keys; a key that is itself computed is computed once, however often its parts read it."""
+    return _bound(keys, lambda k: _bound(_parts(**{n: k[n] for n in keys}), body))
+
+
 def _value(x: Column, n: str, types: list[str], kind: str) -> Column:
     return F.when(x[f"{n}_type"].isin(types), x[f"{n}_text"].try_cast(kind))
 
@@ -132,12 +140,12 @@ def equal(a: Column, b: Column) -> Column:
         same = x["a"] == x["b"]
         return F.when(same, True).otherwise(F.coalesce(by_value, F.when(~unknown, same)))
 
-    return _bound(_parts(a=a, b=b), compared)
+    return _parsed(compared, a=a, b=b)
 
 
 def less(a: Column, b: Column) -> Column:
     """"<" of keys: numbers, texts, booleans, dates; null for what does not compare."""
-    return _bound(_parts(a=a, b=b), lambda x: F.coalesce(*[v < w for v, w in zip(_values_of(x, "a"), _values_of(x, "b"), strict=True)]))
+    return _parsed(lambda x: F.coalesce(*[v < w for v, w in zip(_values_of(x, "a"), _values_of(x, "b"), strict=True)]), a=a, b=b)
 
 
 def order_key(key: Column) -> list[Column]:
@@ -171,7 +179,7 @@ def _kind(x: Column, n: str) -> Column:
 
 def numeric_kind(key: Column) -> Column:
     """0 for integers of any type, 1 decimals, 2 floats, 3 doubles; null for what is not a number of its type."""
-    return _bound(_parts(a=key), lambda x: _kind(x, "a"))
+    return _parsed(lambda x: _kind(x, "a"), a=key)
 
 
 def _number(kind: Column, whole: Column, decimal: Column, double: Column) -> Column:
@@ -188,7 +196,7 @@ def _binary(a: Column, b: Column, whole: str, decimal: str, exact, inexact, leas
         of = lambda kind: [x[f"{n}_text"].try_cast(kind) for n in "ab"]
         return _number(both["k"], exact(*of(whole)), exact(*of(decimal)), inexact(*of("double")))
 
-    return _bound(_parts(a=a, b=b), result)
+    return _parsed(result, a=a, b=b)
 
 
 def add(a: Column, b: Column) -> Column:

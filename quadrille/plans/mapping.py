@@ -19,6 +19,9 @@ from quadrille.terms import RDF, XSD, iri_column, literal_column
 
 BASE = "http://example.org/"
 
+#: Rows that a task unpivots or turns into terms, about: a few MB of a file may hold millions of rows.
+TASK_ROWS = 100_000
+
 #: XSD datatype of a Spark type.
 _XSD = {"int": "int", "bigint": "long", "double": "double", "timestamp": "dateTime", "boolean": "boolean", "date": "date"}
 
@@ -60,6 +63,12 @@ class TableGraph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, name: str) -> DataFrame:
+        """A table for work that makes much of a row: dealt to as many tasks as its rows ask for, however few files it has."""
+        df = self.table(name)
+        tasks = -(-df.count() // TASK_ROWS)
+        return df.repartition(tasks, *([TABLES[name].key] if name in TABLES and TABLES[name].key else [])) if tasks > 1 else df
+
     def prefix(self, table: str) -> str:
         return f"{self.base}{SUBJECTS.get(table, table)}/"
 
@@ -92,7 +101,7 @@ class TableGraph:
         """?s ?p ?o over a table with a key: each row read once and unpivoted to one row per property, and its class. With
         columns, only their properties (`a` is the class): the scan reads these columns alone."""
         spec = TABLES[table]
-        df = self.table(table)
+        df = self.rows(table)
         subject = iri_column(F.concat(F.lit(self.prefix(table)), F.col(spec.key).cast("string")))
         own = [(c, kind) for c, kind in df.dtypes if c != spec.key and c not in spec.left_out and not kind.startswith("array")]
         if unknown := set(columns) - {c for c, _ in own} - {"a"}:

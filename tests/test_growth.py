@@ -1,7 +1,11 @@
 """Work that grows with the tables: it is dealt to more tasks, and what is computed is computed once."""
 
+from pyspark.sql import functions as F
 
+from quadrille.functions import terms as fn
+from quadrille.plans import mapping
 from quadrille.sources import turtle
+from quadrille.terms import XSD, literal
 
 
 def _plan(df):
@@ -15,3 +19,26 @@ def test_turtle_documents_go_to_as_many_tasks_as_their_length_asks(spark, monkey
     found = turtle.parse(docs)
     assert found.rdd.getNumPartitions() >= 20
     assert {tuple(r) for r in found.collect()} == whole and len(whole) == 30 * 8
+
+
+def test_rows_of_one_file_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).select(F.col("id").alias("p_partkey"), F.col("id").cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    g = mapping.TableGraph(spark, str(tmp_path))
+    whole = set(g.materialize("part").df.collect())
+    monkeypatch.setattr(mapping, "TASK_ROWS", 100)
+    df = g.materialize("part").df
+    assert df.rdd.getNumPartitions() == 10
+    assert set(df.collect()) == whole and len(whole) == 2000
+
+
+def test_a_computed_key_is_computed_once(spark):
+    key = F.concat("once", F.lit(""))
+    for column in (fn.numeric(key), fn.less(key, key.substr(1, 9) * 0), fn.add(key, F.lit(literal("1", datatype=XSD.int)))):
+        assert str(column).count("once") <= 2
+    texts = ['"5"', '" 5\\n"', '"5\\\\n"', '"5\\""', '"x"', '""', '"-1.5E3"', '"NaN"']
+    kinds = [XSD.int, XSD.double, XSD.decimal, XSD.string, XSD.date]
+    rows = [(f"{t}^^{k}",) for t in texts for k in kinds] + [('"5"',), ('"5"@en',), ("<5>",), ("_:5",), (None,)]
+    plain = F.when(fn.datatype(F.col("k")).isin([XSD[n][1:-1] for n in ("int", "double", "decimal")]), fn.lexical(F.col("k")).try_cast("double"))
+    found = spark.createDataFrame(rows, "k string").select("k", fn.numeric(F.col("k")).alias("a"), plain.alias("b"))
+    assert [r["k"] for r in found.collect() if str(r["a"]) != str(r["b"])] == []
+    assert found.where("a is not null").count() == 12
