@@ -132,7 +132,7 @@ class Graph:
     def describe(self, resources: DataFrame) -> DataFrame:
         """DESCRIBE: triples whose subject is in the one column of `resources`, and those of blank nodes that they reach.
         Each round joins only subjects that are new, and is written down, so cycles end and lineage stays short."""
-        triples = self.df.select("s", "p", "o").distinct()
+        triples = self.df.select("s", "p", "o")  # only what is found is made distinct
         todo = resources.toDF("s").distinct()
         seen, found = todo, None
         while True:

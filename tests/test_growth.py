@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as fn
+from quadrille.operators.quads import SCHEMA, Graph
 from quadrille.plans import mapping
 from quadrille.sources import turtle
 from quadrille.terms import XSD, literal
@@ -42,3 +43,11 @@ def test_a_computed_key_is_computed_once(spark):
     found = spark.createDataFrame(rows, "k string").select("k", fn.numeric(F.col("k")).alias("a"), plain.alias("b"))
     assert [r["k"] for r in found.collect() if str(r["a"]) != str(r["b"])] == []
     assert found.where("a is not null").count() == 12
+
+
+def test_describe_makes_only_what_it_finds_distinct(spark):
+    rows = [(None, f"<s{i}>", "<p>", f"<o{i}>") for i in range(5)] * 2 + [(None, "<s1>", "<q>", "_:b"), (None, "_:b", "<p>", "<x>")]
+    g = Graph(spark.createDataFrame(rows, SCHEMA))
+    found = g.describe(spark.createDataFrame([("<s1>",)], "s string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("<s1>", "<p>", "<o1>"), ("<s1>", "<q>", "_:b"), ("_:b", "<p>", "<x>")]
+    assert _plan(found).count("Aggregate") == 2  # the resources, and what is found
