@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as fn
+from quadrille.operators.isomorphism import differing
 from quadrille.operators.quads import SCHEMA, Graph
 from quadrille.plans import mapping
 from quadrille.sources import turtle
@@ -51,3 +52,10 @@ def test_describe_makes_only_what_it_finds_distinct(spark):
     found = g.describe(spark.createDataFrame([("<s1>",)], "s string"))
     assert sorted(tuple(r) for r in found.collect()) == [("<s1>", "<p>", "<o1>"), ("<s1>", "<q>", "_:b"), ("_:b", "<p>", "<x>")]
     assert _plan(found).count("Aggregate") == 2  # the resources, and what is found
+
+
+def test_ground_quads_are_compared_in_one_grouping(spark):
+    a = spark.createDataFrame([(None, "<s>", "<p>", "<o>")] * 2 + [("<g>", "<s>", "<p>", "<o>"), (None, "<a>", "<p>", "_:b")], SCHEMA)
+    b = spark.createDataFrame([(None, "<s>", "<p>", "<o>"), (None, "<b>", "<p>", "<o>")], SCHEMA)
+    assert {(r["g"], r["s"]) for r in differing(a, b).collect()} == {("<g>", "<s>"), (None, "<b>")}
+    assert differing(a, a).isEmpty() and "Join" not in _plan(differing(a, b))
