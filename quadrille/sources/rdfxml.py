@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ from quadrille.sources.ntriples import ParseError
 from quadrille.sources.xml_segments import segments
 from quadrille.terms import RDF, blank, iri, literal
 
+#: Triples that a task hands on at a time, at least: one document has few.
+BATCH = 8192
+
 _R = f"{{{RDF.base}}}"
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 _ATTRIBUTES = {f"{_R}{n}" for n in ("about", "ID", "nodeID", "resource", "datatype", "parseType")} | {f"{_XML}lang", f"{_XML}base"}
@@ -112,12 +114,18 @@ def parse(documents: DataFrame, base: str | None = None) -> DataFrame:
     with a column `home`, that is the base of documents that name none, instead of `doc`."""
     scope, home = ("scope" if "scope" in documents.columns else "doc"), ("home" if "home" in documents.columns else "doc")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        written = lambda: pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["doc", "s", "p", "o"])
         for batch in batches:
-            for doc, own, place, text in zip(batch["doc"], batch["scope"], batch["home"], batch["text"], strict=True):
-                yield pd.DataFrame([(doc, *t) for t in _triples(doc, own, place, text, base)], columns=["doc", "s", "p", "o"], dtype="object")
-
-    return documents.select(F.col("doc").cast("string").alias("doc"), F.col(scope).cast("string").alias("scope"), F.col(home).cast("string").alias("home"), "text").mapInPandas(run, "doc string, s string, p string, o string").distinct()
+            for doc, own, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(doc, *t) for t in _triples(doc, own, place, text, base)]
+                if len(rows) >= BATCH:
+                    yield written()
+                    rows = []
+        yield written()
+
+    return documents.select(F.col("doc").cast("string").alias("doc"), F.col(scope).cast("string").alias("scope"), F.col(home).cast("string").alias("home"), "text").mapInArrow(run, "doc string, s string, p string, o string").distinct()
 
 
 def read(spark: SparkSession, *paths: str, base: str | None = None) -> Graph:

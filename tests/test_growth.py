@@ -6,7 +6,7 @@ from quadrille.functions import terms as fn
 from quadrille.operators.isomorphism import differing
 from quadrille.operators.quads import SCHEMA, Graph
 from quadrille.plans import mapping
-from quadrille.sources import turtle
+from quadrille.sources import rdfxml, turtle
 from quadrille.terms import XSD, literal
 
 
@@ -59,3 +59,9 @@ def test_ground_quads_are_compared_in_one_grouping(spark):
     b = spark.createDataFrame([(None, "<s>", "<p>", "<o>"), (None, "<b>", "<p>", "<o>")], SCHEMA)
     assert {(r["g"], r["s"]) for r in differing(a, b).collect()} == {("<g>", "<s>"), (None, "<b>")}
     assert differing(a, a).isEmpty() and "Join" not in _plan(differing(a, b))
+
+
+def test_rdfxml_triples_come_in_batches(spark):
+    text = f"{rdfxml.HEADER}<rdf:Description rdf:about='http://e/s' xmlns:p='http://e/'><p:a>1</p:a><p:b>2</p:b></rdf:Description>{rdfxml.FOOTER}".split("\n", 1)[1]
+    found = rdfxml.parse(spark.range(50).select(F.col("id").cast("string").alias("doc"), F.lit(text).alias("text")))
+    assert "MapInArrow" in _plan(found) and found.count() == 100
