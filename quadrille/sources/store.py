@@ -20,6 +20,8 @@ from quadrille.terms import as_key
 CLUSTERS = {"s": ["s", "p", "o"], "p": ["p", "o", "s"], "o": ["o", "s", "p"]}
 #: Quads of a file, about.
 FILE_QUADS = 1_000_000
+#: Quads that a task sorts, at least; it may write many files. The driver's sample for the ranges grows with the tasks.
+TASK_QUADS = 200_000
 #: The index's Bloom filters: bits for each distinct key of a file, hashes of a key, and bits of a page.
 KEY_BITS, SEEDS, PAGE_BITS = 16, (1, 2), 1 << 15
 _FILES = "cluster string, file string, least string, most string, n_quads bigint, pages bigint"
@@ -136,9 +138,10 @@ class QuadStore:
         batch = uuid.uuid4().hex
         folder = self._folder(batch)
         staged = checkpointed(rows.withColumn("number", F.lit(number).cast("long")), "batch")
-        ranges = -(-staged.count() // self.file_quads) or 1
+        ranges = -(-staged.count() // max(self.file_quads, TASK_QUADS)) or 1
         for cluster, order in CLUSTERS.items():
-            staged.repartitionByRange(ranges, *order, "g").sortWithinPartitions(*order, "g").write.parquet(f"{folder}/{cluster}")
+            ordered = staged.repartitionByRange(ranges, *order, "g").sortWithinPartitions(*order, "g")
+            ordered.write.option("maxRecordsPerFile", self.file_quads if self.file_quads < TASK_QUADS else 0).parquet(f"{folder}/{cluster}")
         keys = [
             self.spark.read.schema(staged.schema).parquet(f"{folder}/{c}").select(F.lit(c).alias("cluster"), F.col("_metadata.file_path").alias("file"), F.col(c).alias("key")) for c in CLUSTERS
         ]
@@ -147,7 +150,7 @@ class QuadStore:
         counted = every.groupBy("cluster", "file", "key").agg(F.count("*").alias("n"))
         pages = F.ceil(F.count("*") * KEY_BITS / PAGE_BITS).cast("long").alias("pages")
         files = counted.groupBy("cluster", "file").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.sum("n").alias("n_quads"), pages)
-        files.coalesce(1).write.parquet(f"{folder}/index/files")  # a row for each file
+        files.write.parquet(f"{folder}/index/files")  # a row for each file
         sized = self.spark.read.schema(_FILES).parquet(f"{folder}/index/files").select("file", "pages")
         placed = counted.join(F.broadcast(sized), "file").select("file", F.explode(F.array(*[_place(F.col("key"), F.col("pages"), s) for s in SEEDS])).alias("place"))
         pages = placed.groupBy("file", F.floor(F.col("place") / PAGE_BITS).cast("long").alias("page"))

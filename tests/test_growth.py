@@ -7,6 +7,8 @@ from quadrille.operators.isomorphism import differing
 from quadrille.operators.quads import SCHEMA, Graph
 from quadrille.plans import mapping
 from quadrille.sources import rdfxml, turtle
+from quadrille.sources.store import QuadStore
+from quadrille.storage import shared_folder
 from quadrille.terms import XSD, literal
 
 
@@ -65,3 +67,11 @@ def test_rdfxml_triples_come_in_batches(spark):
     text = f"{rdfxml.HEADER}<rdf:Description rdf:about='http://e/s' xmlns:p='http://e/'><p:a>1</p:a><p:b>2</p:b></rdf:Description>{rdfxml.FOOTER}".split("\n", 1)[1]
     found = rdfxml.parse(spark.range(50).select(F.col("id").cast("string").alias("doc"), F.lit(text).alias("text")))
     assert "MapInArrow" in _plan(found) and found.count() == 100
+
+
+def test_a_task_of_the_store_writes_many_small_files(spark):
+    quads = spark.range(300).select(F.lit(None).cast("string").alias("g"), F.format_string("<http://e/%03d>", "id").alias("s"), F.lit("<http://e/p>").alias("p"), F.format_string('"%03d"', "id").alias("o"))
+    store = QuadStore(spark, shared_folder(spark, "growth"), file_quads=20).add(graph=Graph(quads)).commit()
+    names = store.files()
+    assert len(names) == 15 and {n.rsplit("/", 1)[1].split("-")[1] for n in names} == {"00000"}
+    assert len(store.files(s="<http://e/007>")) == 1 and store.get(s="<http://e/007>").size() == 1 and store.get().size() == 300
