@@ -280,12 +280,8 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>): the byte-level BPE ids of every whole text, each match of `pattern` encoded separately.
-
-    `ranks_path` is a rank file that every executor can open.
-    """
-    source = df.select(F.col(key), text_or_empty(text).alias("_text"))
+def _encoded(ranks_path: str, pattern: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (key, ids) of batches (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, cache = _encoder(ranks_path, pattern)
@@ -300,8 +296,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
             if arrays:
                 yield pa.record_batch([batch.column(0).slice(lo), list_column(arrays, pa.int32())], [key, "ids"])
 
+    return run
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>): the byte-level BPE ids of every whole text, each match of `pattern` encoded separately.
+
+    `ranks_path` is a rank file that every executor can open.
+    """
+    source = df.select(F.col(key), text_or_empty(text).alias("_text"))
     schema = T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_encoded(ranks_path, pattern, key), schema)
 
 
 @lru_cache(maxsize=4)
@@ -325,9 +330,8 @@ def decode_ids(ids: np.ndarray, path: str) -> bytes:
     return b"".join(out)
 
 
-def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, decoded binary): the bytes of every row's ids."""
-    source = df.select(F.col(key), *keep, F.col(ids).alias("_ids"))
+def _decoded(ranks_path: str, keep: list[str], with_ids: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (*keep, decoded) of batches (*keep, ids); with_ids: (*keep, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,18 +339,32 @@ def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids"
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
             null = column.is_null().to_numpy(zero_copy_only=False)
             texts = [b"" if null[i] else decode_ids(values[offsets[i] : offsets[i + 1]], ranks_path) for i in range(batch.num_rows)]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.binary())], [key, *keep, "decoded"])
+            yield pa.record_batch([*(batch.columns if with_ids else batch.columns[:-1]), pa.array(texts, pa.binary())], [*keep, *(["ids"] if with_ids else []), "decoded"])
+
+    return run
+
 
+def decode(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, decoded binary): the bytes of every row's ids."""
+    source = df.select(F.col(key), *keep, F.col(ids).alias("_ids"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("decoded", T.BinaryType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_decoded(ranks_path, [key, *keep]), schema)
+
+
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode() and decode() of its ids by one Python worker a task, where two in a row would hold a
+    vocabulary, a batch and buffers each."""
+    source = df.select(F.col(key), text_or_empty(text).alias("_text"))
+    schema = T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    encoded, decoded = _encoded(ranks_path, pattern, key), _decoded(ranks_path, [key], with_ids=True)
+    return source.mapInArrow(lambda batches: decoded(encoded(batches)), schema)
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode() and decode()."""
-    encoded = encode(df, ranks_path, pattern).select(
+    return encode_decode(df, ranks_path, pattern).select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode(encoded, ranks_path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
