@@ -229,25 +229,32 @@ def positive(key: Column) -> Column:
     return F.when(numeric_kind(key).isNotNull(), key)
 
 
-def _total(key: Column, aggregate) -> tuple[Column, Column, Column, Column]:
+def _count(key: Column, times: Column | None) -> Column:
+    return F.count(key) if times is None else F.coalesce(F.sum(F.when(key.isNotNull(), times)), F.lit(0))
+
+
+def _total(key: Column, aggregate, times: Column | None = None) -> tuple[Column, Column, Column, Column]:
     """The kind of a group's numbers (null if a bound term is not a number), and an aggregate of their exact and double values."""
     kind, text = numeric_kind(key), lexical(key)
     all_numbers = F.count(key) == F.count(kind)
-    return F.when(all_numbers, F.max(kind)), *[aggregate(text.try_cast(t)) for t in ("decimal(28,0)", "decimal(28,10)", "double")]
+    weights = [1, 1, 1] if times is None else [times.cast("decimal(9,0)"), times.cast("decimal(9,0)"), times]
+    values = [text.try_cast(t) if times is None else text.try_cast(t) * w for t, w in zip(("decimal(28,0)", "decimal(28,10)", "double"), weights, strict=True)]
+    return F.when(all_numbers, F.max(kind)), *[aggregate(v) for v in values]
 
 
-def sum_terms(key: Column, distinct: bool = False) -> Column:
+def sum_terms(key: Column, distinct: bool = False, times: Column | None = None) -> Column:
     """SUM of keys, an aggregate column: a number of the widest kind; 0 of no terms, null if a term is not a number. With
-    distinct, each value counts once."""
-    kind, whole, decimal, double = _total(key, F.sum_distinct if distinct else F.sum)
+    distinct, each value counts once. `times` is how often a row counts (see Solutions.counted)."""
+    kind, whole, decimal, double = _total(key, F.sum_distinct) if distinct else _total(key, F.sum, times)
     return F.when(F.count(key) == 0, F.lit(f'"0"^^{XSD.integer}')).otherwise(_number(kind, whole, decimal, double))
 
 
-def avg_terms(key: Column) -> Column:
-    """AVG of keys, an aggregate column: a decimal for exact numbers."""
-    kind, _, _, double = _total(key, F.avg)
-    exact = F.try_divide(F.sum(lexical(key).try_cast("decimal(28,10)")).cast("decimal(28,10)"), F.count(key).cast("decimal(12,0)"))
-    return F.when(F.count(key) == 0, F.lit(f'"0"^^{XSD.integer}')).otherwise(_number(F.greatest(kind, F.lit(1)), F.lit(None).cast("string"), exact, double))
+def avg_terms(key: Column, times: Column | None = None) -> Column:
+    """AVG of keys, an aggregate column: a decimal for exact numbers. `times` is how often a row counts."""
+    kind, _, decimal, double = _total(key, F.sum, times)
+    n = _count(key, times)
+    exact, mean = F.try_divide(decimal.cast("decimal(28,10)"), n.cast("decimal(12,0)")), F.try_divide(double, n.cast("double"))
+    return F.when(F.count(key) == 0, F.lit(f'"0"^^{XSD.integer}')).otherwise(_number(F.greatest(kind, F.lit(1)), F.lit(None).cast("string"), exact, mean))
 
 
 def _ordered(key: Column) -> Column:

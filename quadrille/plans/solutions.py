@@ -25,6 +25,9 @@ from quadrille.storage import checkpointed
 #: Rows of an order that Spark's own OFFSET and LIMIT may go through.
 DEEP = 20_000
 
+#: How often one row of counted() may count: values of 28 digits times it fit a decimal.
+MOST_TIMES = 999_999_999
+
 
 @dataclass(frozen=True)
 class Solutions:
@@ -169,6 +172,15 @@ class Solutions:
         """COUNT(*), or COUNT(DISTINCT *) over the visible variables, for aggregate()."""
         return F.count_distinct(F.struct(*map(F.col, self.variables))) if distinct else F.count("*")
 
+    def counted(self, *variables: str) -> Solutions:
+        """The different rows of these variables and how often each comes up (`_times`; what comes up more than MOST_TIMES has
+        several rows). Aggregates of terms over them take `times`; those hold texts and so sort their rows, while this
+        count is hashed and combined before its shuffle."""
+        n = F.col("_n")
+        often = F.concat(F.array_repeat(F.lit(MOST_TIMES).cast("long"), F.floor(n / MOST_TIMES).cast("int")), F.filter(F.array(n % MOST_TIMES), lambda x: x > 0))
+        df = self.df.groupBy(*variables).agg(F.count("*").alias("_n"))
+        return self._with(df.select(*variables, F.explode(often).alias("_times")), iris={v: i for v, i in self.iris.items() if v in variables}, maybe=self.maybe & set(variables))
+
     def aggregate(self, *aggregates: Column, by: Sequence[str] = (), having: Column | None = None) -> Solutions:
         """Aggregates; plain variables beside them are the groups."""
         df = self.df.groupBy(*by).agg(*aggregates) if by else self.df.agg(*aggregates)

@@ -265,8 +265,8 @@ def filter_term_compare(spark, sf):
 def agg_terms(spark, sf):
     """Aggregates of literals: exact sums of integers, and the least and greatest by value rather than by text."""
     rows = TableGraph(spark, sf).graph("part", "p_size", "p_brand").bgp(("?part", EX.p_size, "?n"), ("?part", EX.p_brand, "?b"))
-    n = C("n")
-    found = rows.aggregate(fn.sum_terms(n).alias("total"), fn.sum_terms(n, distinct=True).alias("values"), fn.avg_terms(n).alias("mean"), fn.min_term(n).alias("least"), fn.max_term(n).alias("most"), by=["b"]).df
+    n, times = C("n"), C("_times")
+    found = rows.counted("n", "b").aggregate(fn.sum_terms(n, times=times).alias("total"), fn.sum_terms(n, distinct=True).alias("values"), fn.avg_terms(n, times).alias("mean"), fn.min_term(n).alias("least"), fn.max_term(n).alias("most"), by=["b"]).df
     text = [fn.lexical(C(c)).alias(c) for c in ("total", "values", "least", "most")]
     return found.select(fn.lexical(C("b")).alias("brand"), *text, F.round(fn.numeric(C("mean")), 6).alias("mean"))
 

@@ -6,7 +6,8 @@ from quadrille.functions import terms as fn
 from quadrille.operators import isomorphism
 from quadrille.operators.isomorphism import differing
 from quadrille.operators.quads import SCHEMA, Graph
-from quadrille.plans import mapping
+from quadrille.plans import mapping, solutions
+from quadrille.plans.solutions import Solutions
 from quadrille.sources import rdfxml, turtle
 from quadrille.sources.store import QuadStore
 from quadrille.storage import shared_folder
@@ -87,3 +88,19 @@ def test_equal_graphs_and_other_neighbours_are_told_without_rounds(spark, monkey
     assert not isomorphism.isomorphic(a, changed)
     monkeypatch.setattr(isomorphism, "checkpointed", None)
     assert isomorphism.isomorphic(a, a.union(a.limit(3)))
+
+
+def test_aggregates_of_terms_over_counted_rows(spark, monkeypatch):
+    keys = [literal(v, datatype=k) for v, k in (("5", XSD.int), ("7", XSD.int), ("5", XSD.long), ("1.25", XSD.decimal), ("2.5E0", XSD.double))]
+    rows = [(g, k) for g, n in (("a", 3), ("b", 4), ("c", 5)) for i, k in enumerate(keys[:n]) for _ in range(i * 3 + 1)] + [("a", None), ("d", None), ("e", "<x>"), ("e", keys[0])]
+    s = Solutions(spark.createDataFrame(rows, "b string, n string").repartition(3))
+    n = F.col("n")
+    others = [fn.sum_terms(n, distinct=True), fn.min_term(n), fn.max_term(n)]
+    plain = s.aggregate(fn.sum_terms(n), fn.avg_terms(n), *others, by=["b"]).df.collect()
+    counted = s.counted("n", "b")
+    assert counted.df.count() == len(set(rows)) and "Aggregate" in _plan(counted.df)
+    for most in (999_999_999, 2):  # the second: what comes up more often has several rows
+        monkeypatch.setattr(solutions, "MOST_TIMES", most)
+        times = F.col("_times")
+        found = s.counted("n", "b").aggregate(fn.sum_terms(n, times=times), fn.avg_terms(n, times), *others, by=["b"]).df.collect()
+        assert sorted(map(tuple, found), key=str) == sorted(map(tuple, plain), key=str) and len(found) == 5
