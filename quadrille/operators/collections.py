@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import is_literal
 from quadrille.operators.quads import Graph
-from quadrille.storage import checkpointed
+from quadrille.storage import checkpointed, unsent
 from quadrille.terms import RDF
 
 
@@ -46,13 +46,13 @@ def cells(graph: Graph, heads: DataFrame, check: bool = True) -> DataFrame:
     reached = checkpointed(heads.where(F.col("node") != RDF.nil).select("node", F.col("node").alias("cell"), F.lit(0).cast("long").alias("pos")))
     jump, width, n_cells = checkpointed(rest.where(F.col("b") != RDF.nil)), 1, rest.count()
     while width <= 2 * n_cells:
-        further = reached.join(jump, reached.cell == jump.a).select("node", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos"))
+        further = reached.join(unsent(jump), reached.cell == jump.a).select("node", F.col("b").alias("cell"), (F.col("pos") + width).alias("pos"))
         grown = checkpointed(reached.union(further))
         if grown.count() == reached.count():
             return reached
         reached, width = grown, 2 * width
         ahead = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jump = checkpointed(jump.join(ahead, "b").select("a", F.col("c").alias("b")))
+        jump = checkpointed(jump.join(unsent(ahead), "b").select("a", F.col("c").alias("b")))
     if n_cells:
         raise CollectionError("a list has a cycle")
     return reached
@@ -61,7 +61,7 @@ def cells(graph: Graph, heads: DataFrame, check: bool = True) -> DataFrame:
 def members(graph: Graph, heads: DataFrame, check: bool = True) -> DataFrame:
     """(node, pos, val): the members of the lists."""
     first = graph.df.where(F.col("p") == RDF.first).select(F.col("s").alias("cell"), F.col("o").alias("val")).distinct()
-    return cells(graph, heads, check).join(first, "cell").select("node", "pos", "val")
+    return cells(graph, heads, check).join(unsent(first), "cell").select("node", "pos", "val")
 
 
 def read_lists(graph: Graph, heads: DataFrame, check: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as fn
-from quadrille.operators import isomorphism
+from quadrille.operators import collections, isomorphism
 from quadrille.operators.isomorphism import differing
 from quadrille.operators.quads import SCHEMA, Graph
 from quadrille.plans import mapping, solutions
@@ -104,3 +104,26 @@ def test_aggregates_of_terms_over_counted_rows(spark, monkeypatch):
         times = F.col("_times")
         found = s.counted("n", "b").aggregate(fn.sum_terms(n, times=times), fn.avg_terms(n, times), *others, by=["b"]).df.collect()
         assert sorted(map(tuple, found), key=str) == sorted(map(tuple, plain), key=str) and len(found) == 5
+
+
+def _joins_written(monkeypatch, *modules):
+    """The plans of joins that these modules write down, as they come."""
+    plans, write = [], collections.checkpointed
+
+    def seen(df, *label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *label)
+
+    for module in modules:
+        monkeypatch.setattr(module, "checkpointed", seen)
+    return plans
+
+
+def test_cells_of_lists_are_not_broadcast(spark, monkeypatch):
+    lists = spark.range(3).select(F.format_string("_:l%d", "id").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: x.cast("string")).alias("items"))
+    g = Graph.from_triples(collections.build_lists(lists))
+    plans = _joins_written(monkeypatch, collections)
+    members = collections.members(g, lists.select("node"))
+    plans.append(members._jdf.queryExecution().executedPlan().toString())
+    assert members.count() == 30
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
