@@ -13,7 +13,7 @@ from quadrille.plans.solutions import Solutions
 from quadrille.register import EX, number, query, resource
 from quadrille.sources import ntriples, rdfxml, turtle
 from quadrille.sources.store import QuadStore
-from quadrille.storage import shared_folder
+from quadrille.storage import checkpointed, shared_folder, unsent
 from quadrille.terms import RDF, XSD, literal, literal_column
 
 C = F.col
@@ -418,11 +418,12 @@ def turtle_nested(spark, sf):
     triples = collections.build_lists(lists.select("node", "items")).union(lists.select("s", F.lit(EX.customers), "node"))
     triples = triples.union(said(EX.name, literal_column(C("c_name")))).union(said(EX.balance, literal_column(C("c_acctbal"), datatype=XSD.double)))
     text = turtle.blocks(Graph.from_triples(triples), {"": BASE}, nested=True)
-    read = Graph.from_triples(turtle.parse(text.select(C("s").alias("doc"), F.concat(F.lit(turtle.header({"": BASE})), "value").alias("text"))).select("s", "p", "o"))
+    parsed = turtle.parse(text.select(C("s").alias("doc"), F.concat(F.lit(turtle.header({"": BASE})), "value").alias("text")))
+    read = Graph(unsent(checkpointed(Graph.from_triples(parsed.select("s", "p", "o")).df)))  # parsed once for all that reads it
     heads = read.pattern("?nation", EX.customers, "?list").df
     members = collections.members(read, heads.select("list")).withColumnsRenamed({"node": "list", "val": "k"})
     named = read.bgp(("?k", EX.name, "?name"), ("?k", EX.balance, "?balance")).df
-    found = heads.join(members, "list").join(named, "k")
+    found = heads.join(members, "list").join(unsent(named), "k")
     return found.select(number("nation").cast("int").alias("nation"), "pos", fn.lexical(C("name")).alias("name"), fn.numeric(C("balance")).alias("balance"))
 
 

@@ -20,7 +20,7 @@ from quadrille.functions.terms import is_blank
 from quadrille.operators.collections import cells
 from quadrille.operators.quads import Graph
 from quadrille.sources.segments import segments
-from quadrille.storage import checkpointed
+from quadrille.storage import checkpointed, unsent
 from quadrille.terms import ESCAPES, RDF, XSD
 
 #: Characters of documents that a task parses, about.
@@ -205,28 +205,28 @@ def _nested(rows: DataFrame, triples: DataFrame, first: Column) -> DataFrame:
     single = checkpointed(uses.where("n = 1").select(F.col("o").alias("s"), "by"))
     count = lambda p: F.sum((F.col("p") == p).cast("int"))
     shape = triples.groupBy("s").agg(F.count("*").alias("n"), count(RDF.first).alias("f"), count(RDF.rest).alias("r"))
-    cell = checkpointed(shape.where("n = 2 and f = 1 and r = 1").select("s").join(single, "s"))
-    parts = triples.join(cell.select("s"), "s", "left_semi")
+    cell = checkpointed(shape.where("n = 2 and f = 1 and r = 1").select("s").join(unsent(single), "s"))
+    parts = triples.join(unsent(cell.select("s")), "s", "left_semi")
     reached = cells(Graph.from_triples(parts), cell.where(F.col("by") != RDF.rest).select("s"), check=False)
     ends = parts.where((F.col("p") == RDF.rest) & (F.col("o") == RDF.nil)).select(F.col("s").alias("cell"))
-    lists = checkpointed(reached.join(reached.join(ends, "cell").select("node"), "node", "left_semi"))
-    members = lists.join(rows.where(F.col("p") == first).select(F.col("s").alias("cell"), "o", "t"), "cell")
+    lists = checkpointed(reached.join(unsent(reached).join(ends, "cell").select("node").distinct(), "node", "left_semi"))
+    members = unsent(lists).join(rows.where(F.col("p") == first).select(F.col("s").alias("cell"), "o", "t"), "cell")
     members = members.select(F.col("node").alias("s"), F.lit(None).cast("string").alias("p"), "pos", "o", "t")
-    rows = checkpointed(rows.join(lists.select(F.col("cell").alias("s")), "s", "left_anti").unionByName(members))
+    rows = checkpointed(rows.join(unsent(lists.select(F.col("cell").alias("s"))), "s", "left_anti").unionByName(members))
     inner = single.where(F.col("by") != RDF.rest).select("s")
     while True:
-        waits = rows.join(inner.select(F.col("s").alias("o")), "o", "left_semi").select("s")  # an object of theirs is not written yet
-        ready = inner.join(waits, "s", "left_anti")
+        waits = rows.join(unsent(inner.select(F.col("s").alias("o"))), "o", "left_semi").select("s")  # an object of theirs is not written yet
+        ready = unsent(inner.join(unsent(waits), "s", "left_anti"))
         bodies = _bodies(rows.join(ready, "s", "left_semi"), " ; ")
         is_list = rows.where("p is null").select("s", F.lit(True).alias("list")).distinct()
-        written = ready.join(bodies, "s", "left").join(is_list, "s", "left")
+        written = unsent(ready.join(bodies, "s", "left")).join(is_list, "s", "left")
         text = F.when(F.col("list"), F.concat(F.lit("( "), "body", F.lit(" )"))).otherwise(F.coalesce(F.concat(F.lit("[ "), "body", F.lit(" ]")), F.lit("[]")))
         written = checkpointed(written.select(F.col("s").alias("w"), text.alias("text")))
         if written.isEmpty():
             return rows
-        rows = rows.join(written.select(F.col("w").alias("s")), "s", "left_anti").join(written, rows["o"] == written["w"], "left")
+        rows = rows.join(unsent(written.select(F.col("w").alias("s"))), "s", "left_anti").join(unsent(written), rows["o"] == written["w"], "left")
         rows = checkpointed(rows.select("s", "p", "pos", F.when(F.col("w").isNull(), F.col("o")).alias("o"), F.coalesce("text", "t").alias("t")))
-        inner = checkpointed(inner.join(written.select(F.col("w").alias("s")), "s", "left_anti"))
+        inner = checkpointed(inner.join(unsent(written.select(F.col("w").alias("s"))), "s", "left_anti"))
 
 
 def _predicate(key: Column, prefixes: dict[str, str] | None) -> Column:

@@ -127,3 +127,14 @@ def test_cells_of_lists_are_not_broadcast(spark, monkeypatch):
     plans.append(members._jdf.queryExecution().executedPlan().toString())
     assert members.count() == 30
     assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_nested_turtle_is_joined_by_shuffle(spark, monkeypatch):
+    rows = [("<s>", "<p>", "_:h")] + [t for i in range(4) for t in ((f"_:k{i}", "<n>", f'"{i}"'), (f"_:k{i}", "<m>", "_:one" if i == 0 else '"x"'))] + [("_:one", "<n>", '"y"')]
+    lists = spark.createDataFrame([("_:h", [f"_:k{i}" for i in range(4)])], "node string, items array<string>")
+    g = Graph.from_triples(spark.createDataFrame(rows, "s string, p string, o string").union(collections.build_lists(lists)))
+    plans = _joins_written(monkeypatch, collections, turtle)
+    text = turtle.blocks(g, nested=True).collect()
+    assert [r["value"] for r in text] == ['<s> <p> ( [ <m> [ <n> "y" ] ; <n> "0" ] [ <m> "x" ; <n> "1" ] [ <m> "x" ; <n> "2" ] [ <m> "x" ; <n> "3" ] ) .']
+    read = [p for p in plans if "FileScan parquet" in p]  # joins of what was written before
+    assert len(read) > 10 and sum(p.count("BroadcastHashJoin") for p in read) <= 2  # the heads and ends of lists alone
